@@ -890,27 +890,29 @@ def q_f8(spark, sf):
     return out.select("sample_id", "beam", "tie1", "tie2", "finish_order", "done_step")
 
 
+# (sample, beam, part, supplier) is not unique in every table: the score is
+# the last tie-break, and rows equal in all of these are interchangeable.
 @register("f9_position_scores", with_ctes("hyps") + """
-, c AS (SELECT *, sum(score) OVER (PARTITION BY sample_id ORDER BY beam, tie1, tie2
+, c AS (SELECT *, sum(score) OVER (PARTITION BY sample_id ORDER BY beam, tie1, tie2, score
                                    ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum_score FROM hyps)
 SELECT sample_id, beam, tie1, tie2,
-       round(cum_score - coalesce(lag(cum_score) OVER (PARTITION BY sample_id ORDER BY beam, tie1, tie2), 0.0), 6) AS pos_score
+       round(cum_score - coalesce(lag(cum_score) OVER (PARTITION BY sample_id ORDER BY beam, tie1, tie2, score), 0.0), 6) AS pos_score
 FROM c""")
 def q_f9(spark, sf):
-    h = running(S.hypotheses(spark, sf), ["sample_id"], ["beam", "tie1", "tie2"],
+    h = running(S.hypotheses(spark, sf), ["sample_id"], ["beam", "tie1", "tie2", "score"],
                 {"cum_score": ("sum", "score")})
-    out = R.position_scores(h, "sample_id", ["beam", "tie1", "tie2"])
+    out = R.position_scores(h, "sample_id", ["beam", "tie1", "tie2", "score"])
     return out.select("sample_id", "beam", "tie1", "tie2", r6("pos_score").alias("pos_score"))
 
 
 @register("f9_position_scores_array", with_ctes("hyps") + """
-, c AS (SELECT sample_id, list(score ORDER BY beam, tie1, tie2) AS s FROM hyps GROUP BY sample_id)
+, c AS (SELECT sample_id, list(score ORDER BY beam, tie1, tie2, score) AS s FROM hyps GROUP BY sample_id)
 SELECT sample_id, list_transform(s, lambda x: round(x, 6)) AS pos_scores FROM c""")
 def q_f9b(spark, sf):
-    h = running(S.hypotheses(spark, sf), ["sample_id"], ["beam", "tie1", "tie2"],
+    h = running(S.hypotheses(spark, sf), ["sample_id"], ["beam", "tie1", "tie2", "score"],
                 {"cum_score": ("sum", "score")})
     arr = h.groupBy("sample_id").agg(F.transform(
-        F.array_sort(F.collect_list(F.struct("beam", "tie1", "tie2", "cum_score"))),
+        F.array_sort(F.collect_list(F.struct("beam", "tie1", "tie2", "score", "cum_score"))),
         lambda s: s["cum_score"]).alias("cum"))
     return arr.select("sample_id", F.transform(R.position_scores_array("cum"), r6).alias("pos_scores"))
 
@@ -1011,3 +1013,55 @@ def q_j2(spark, sf):
     is_fr = F.col("language").eqNullSafe("fr")
     fr = map_text(s.filter(is_fr), _strip_accents)
     return fr.unionByName(s.filter(~is_fr)).select("sample_id", "language", "text")
+
+
+# ---------------------------------------------------------------- plans (end to end)
+
+@register("prepare_corpus", with_ctes("localized") + """
+SELECT sample_id, pos, language, text, label, sem_type FROM localized
+WHERE language = list_element(['fr', 'es', 'ar', 'de', 'en', 'ja'], CAST(((pos + 1) // 6) % 6 AS INTEGER) + 1)""")
+def q_prepare_corpus(spark, sf):
+    from lexmetric.plans.corpus import prepare_corpus
+    trimmed, _pending = prepare_corpus(S.samples(spark, sf).drop("tokens"),
+                                       S.translation_memory(spark, sf))
+    return trimmed.select("sample_id", "pos", "language", "text", "label", "sem_type")
+
+
+EVAL_PLAN_SQL = with_ctes("encoded", "codes") + """
+, txt AS (
+    SELECT x.sample_id,
+           string_agg(x.token, ' ' ORDER BY x.p) FILTER (WHERE (x.p - 1 + x.sample_id) % 7 <> 0) AS hyp_text,
+           string_agg(x.token, ' ' ORDER BY x.p) AS ref_text
+    FROM exploded x JOIN vocab v ON x.token = v.token AND NOT v.is_special
+    GROUP BY x.sample_id),
+h AS (
+    SELECT e.sample_id, e.pos, e.ids,
+           list_filter(e.ids, lambda x, i: (i - 1 + e.sample_id) % 7 <> 0) AS hyp_ids,
+           coalesce(t.hyp_text, '') AS hyp_text, coalesce(t.ref_text, '') AS ref_text
+    FROM encoded e LEFT JOIN txt t USING (sample_id)),
+best AS (
+    SELECT *, (-1.0 / (len(hyp_ids) + 1)) >= (-2.0 / (len(ids) + 1)) AS pick_hyp FROM h),
+scored AS (
+    SELECT b.pos, c.code,
+           CASE WHEN (CASE WHEN pick_hyp THEN hyp_text ELSE ref_text END) = ref_text THEN 1 ELSE 0 END AS correct,
+           CASE WHEN len(ids) > 0 THEN
+               greatest(len(list_filter(range(1, len(ids) + 1),
+                        lambda i: ids[i] = (CASE WHEN pick_hyp THEN hyp_ids ELSE ids END)[i]))
+                        - greatest(len(ids) - len(CASE WHEN pick_hyp THEN hyp_ids ELSE ids END), 0), 0)::DOUBLE
+               / len(ids) END AS partial
+    FROM best b LEFT JOIN codes c USING (pos))
+""" + REPORT_SQL[REPORT_SQL.index(", t AS ("):]
+
+
+@register("evaluate_hypotheses", EVAL_PLAN_SQL)
+def q_evaluate_hypotheses(spark, sf):
+    from lexmetric.plans.evaluation import evaluate_hypotheses
+    enc = _encoded(spark, sf)
+    hyp = enc.select("sample_id", F.lit(0).alias("beam"),
+                     S.hypothesis_tokens(F.col("ids"), F.col("sample_id")).alias("tokens"),
+                     F.lit(-1.0).alias("score"))
+    ref = enc.select("sample_id", F.lit(1).alias("beam"), F.col("ids").alias("tokens"),
+                     F.lit(-2.0).alias("score"))
+    targets = enc.select("sample_id", "pos", F.col("ids").alias("target_tokens"))
+    out = evaluate_hypotheses(hyp.unionByName(ref), targets, _vocab(spark, sf), S.codes(spark, sf))
+    return out["report"]
