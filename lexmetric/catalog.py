@@ -329,8 +329,9 @@ def _vocab(spark, sf) -> DataFrame:
     return TK.build_vocab(S.samples(spark, sf), "tokens", min_count=2)
 
 
-def _encoded(spark, sf) -> DataFrame:
-    return TK.encode(S.samples(spark, sf), _vocab(spark, sf), "tokens", "ids")
+def _encoded(spark, sf, vocab: DataFrame | None = None) -> DataFrame:
+    vocab = vocab if vocab is not None else _vocab(spark, sf)
+    return TK.encode(S.samples(spark, sf), vocab, "tokens", "ids", keep=["pos"])
 
 
 def _localized(spark, sf) -> DataFrame:
@@ -394,7 +395,8 @@ FROM samples s LEFT JOIN (
     FROM exploded x JOIN vocab v ON x.token = v.token AND NOT v.is_special
     GROUP BY x.sample_id) d USING (sample_id)""")
 def q_c7(spark, sf):
-    return TK.decode(_encoded(spark, sf), _vocab(spark, sf)).select("sample_id", "decoded")
+    vocab = _vocab(spark, sf)
+    return TK.decode(_encoded(spark, sf, vocab), vocab, keep=[]).select("sample_id", "decoded")
 
 
 @register("c7_decode_escape_unk", with_ctes("samples", "vocab", "exploded") + """
@@ -404,8 +406,9 @@ FROM samples s LEFT JOIN (
     FROM exploded x LEFT JOIN vocab v ON x.token = v.token AND NOT v.is_special
     GROUP BY x.sample_id) d USING (sample_id)""")
 def q_c7b(spark, sf):
-    return TK.decode(_encoded(spark, sf), _vocab(spark, sf), skip_specials=False,
-                     escape_unk=True).select("sample_id", "decoded")
+    vocab = _vocab(spark, sf)
+    return TK.decode(_encoded(spark, sf, vocab), vocab, skip_specials=False,
+                     escape_unk=True, keep=[]).select("sample_id", "decoded")
 
 
 @register("c8_edit_tokens", with_ctes("samples") + """
@@ -472,7 +475,7 @@ def q_c12(spark, sf):
     vecs = S.table(spark, sf, "embeddings").select(
         F.col("vec_id").cast("int").alias("token_id"),
         F.transform("embedding", lambda y: y.cast("double")).alias("vec"))
-    emb = TK.embed_tokens(_encoded(spark, sf), vecs, "ids", scale=math.sqrt(64), dim=64)
+    emb = TK.embed_tokens(_encoded(spark, sf), vecs, "ids", scale=math.sqrt(64), dim=64, keep=[])
     total = F.aggregate(emb["vectors"], F.lit(0.0).cast("double"),
                         lambda acc, v: acc + F.aggregate(v, F.lit(0.0).cast("double"), lambda a, y: a + y))
     return emb.select("sample_id", F.size("vectors").alias("n_vectors"), r6(total).alias("checksum"))
@@ -1056,12 +1059,13 @@ scored AS (
 @register("evaluate_hypotheses", EVAL_PLAN_SQL)
 def q_evaluate_hypotheses(spark, sf):
     from lexmetric.plans.evaluation import evaluate_hypotheses
-    enc = _encoded(spark, sf)
+    vocab = _vocab(spark, sf)
+    enc = _encoded(spark, sf, vocab)
     hyp = enc.select("sample_id", F.lit(0).alias("beam"),
                      S.hypothesis_tokens(F.col("ids"), F.col("sample_id")).alias("tokens"),
                      F.lit(-1.0).alias("score"))
     ref = enc.select("sample_id", F.lit(1).alias("beam"), F.col("ids").alias("tokens"),
                      F.lit(-2.0).alias("score"))
     targets = enc.select("sample_id", "pos", F.col("ids").alias("target_tokens"))
-    out = evaluate_hypotheses(hyp.unionByName(ref), targets, _vocab(spark, sf), S.codes(spark, sf))
+    out = evaluate_hypotheses(hyp.unionByName(ref), targets, vocab, S.codes(spark, sf))
     return out["report"]

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from lexmetric.functions.columns import strip_text, words
 from lexmetric.operators.sequence import with_position
+from lexmetric.operators.sizing import broadcast_if_small
 
 # The special symbols and their ids, first in every vocabulary
 # (beginning of sentence, padding, end of sentence, unknown).
@@ -49,63 +50,85 @@ def build_vocab(df: DataFrame, tokens: str = "tokens", specials: Sequence[str] =
     body = ranked.select(
         (F.col("_rank") + F.lit(len(all_specials))).cast("int").alias("token_id"),
         "token", F.col("n").cast("long").alias("n"), F.lit(False).alias("is_special"))
-    head = spark.createDataFrame(
-        [(i, s, 0, True) for i, s in enumerate(all_specials)],
-        "token_id INT, token STRING, n LONG, is_special BOOLEAN")
+    head = spark.range(1).select(F.inline(F.array(*[
+        F.struct(F.lit(i).alias("token_id"), F.lit(s).alias("token"),
+                 F.lit(0).cast("long").alias("n"), F.lit(True).alias("is_special"))
+        for i, s in enumerate(all_specials)])))
     return head.unionByName(body)
 
 
-def _ordered_values(exploded: DataFrame, key: str, pos: str, value: Column, out: str) -> DataFrame:
+def _ordered_values(exploded: DataFrame, key: str, pos: str, value: Column, out: str,
+                    keep: Sequence[str] = ()) -> DataFrame:
     return exploded.groupBy(key).agg(
         F.transform(
             F.array_sort(F.collect_list(F.when(F.col(pos).isNotNull(),
                                                F.struct(F.col(pos).alias("p"), value.alias("v"))))),
-            lambda s: s["v"]).alias(out))
+            lambda s: s["v"]).alias(out),
+        *[F.first(c).alias(c) for c in keep])
+
+
+def _attach(df: DataFrame, values: DataFrame, key: str, keep: Sequence[str] | None) -> DataFrame:
+    """Join the per-key result back to ``df`` -- unless the wanted columns
+    were carried through the aggregation (``keep``), which saves a shuffle."""
+    return values if keep is not None else df.join(values, key, "left")
 
 
 def encode(df: DataFrame, vocab: DataFrame, tokens: str = "tokens", out: str = "ids",
-           key: str = "sample_id", unk: int = UNK) -> DataFrame:
-    """Tokens -> ids; unknown tokens -> ``unk``.  ``key`` must be unique."""
-    exploded = df.select(key, F.posexplode_outer(tokens).alias("_p", "token"))
-    joined = exploded.join(vocab.select("token", "token_id"), "token", "left")
-    ids = _ordered_values(joined, key, "_p", F.coalesce(F.col("token_id"), F.lit(unk)), out)
-    return df.join(ids, key, "left")
+           key: str = "sample_id", unk: int = UNK, keep: Sequence[str] | None = None) -> DataFrame:
+    """Tokens -> ids; unknown tokens -> ``unk``.  ``key`` must be unique.
+
+    With ``keep`` (small scalar columns) the result is ``key, out, *keep``
+    carried through the aggregation; otherwise every column of ``df`` is
+    joined back.
+    """
+    carry = list(keep or [])
+    exploded = df.select(key, *carry, F.posexplode_outer(tokens).alias("_p", "token"))
+    joined = exploded.join(broadcast_if_small(vocab.select("token", "token_id")), "token", "left")
+    ids = _ordered_values(joined, key, "_p", F.coalesce(F.col("token_id"), F.lit(unk)), out, carry)
+    return _attach(df, ids, key, keep)
 
 
 def pad(df: DataFrame, tokens: str = "ids", pad_id: int = PAD, length: int | None = None,
         left: bool = False, out: str | None = None) -> DataFrame:
-    """C4: pad to the longest row (one global max, a single number) or a length."""
+    """C4: pad to the longest row or to a given length.
+
+    The longest row is a scalar subquery (one number); adaptive execution
+    shares its exchanges with the main plan instead of computing them twice.
+    """
     out = out or tokens
-    if length is None:
-        length = df.agg(F.max(F.size(tokens))).first()[0] or 0
-    fill = F.array_repeat(F.lit(pad_id), F.greatest(F.lit(length) - F.size(tokens), F.lit(0)))
+    target = F.lit(length) if length is not None else F.coalesce(
+        df.agg(F.max(F.size(tokens))).scalar(), F.lit(0))
+    fill = F.array_repeat(F.lit(pad_id), F.greatest(target - F.size(tokens), F.lit(0)))
     padded = F.concat(fill, F.col(tokens)) if left else F.concat(F.col(tokens), fill)
     return df.withColumn(out, padded)
 
 
 def decode(df: DataFrame, vocab: DataFrame, ids: str = "ids", out: str = "decoded",
            key: str = "sample_id", skip_specials: bool = True, escape_unk: bool = False,
-           eos: int = EOS, unk: int = UNK) -> DataFrame:
+           eos: int = EOS, unk: int = UNK, keep: Sequence[str] | None = None) -> DataFrame:
     """Ids -> space-joined text.
 
     ``skip_specials`` drops every special id.  Otherwise specials stay except
     eos, and with ``escape_unk`` the unknown id prints as ``<<unk>>``.
     """
     if skip_specials:
-        keep = lambda x: ~x.isin(*range(len(SPECIALS)))
+        keep_id = lambda x: ~x.isin(*range(len(SPECIALS)))
     else:
-        keep = lambda x: x != F.lit(eos)
+        keep_id = lambda x: x != F.lit(eos)
 
     def render(x, tok):
         if escape_unk and not skip_specials:
             return F.when(x == F.lit(unk), F.lit(UNK_ESCAPED)).otherwise(tok)
         return tok
 
-    exploded = df.select(key, F.posexplode_outer(F.filter(F.col(ids), keep)).alias("_p", "token_id"))
-    joined = exploded.join(vocab.select("token_id", "token"), "token_id", "left")
+    carry = list(keep or [])
+    exploded = df.select(key, *carry,
+                         F.posexplode_outer(F.filter(F.col(ids), keep_id)).alias("_p", "token_id"))
+    joined = exploded.join(broadcast_if_small(vocab.select("token_id", "token")), "token_id", "left")
     toks = _ordered_values(joined, key, "_p",
-                           render(F.col("token_id"), F.col("token")), "_toks")
-    return df.join(toks.select(key, F.array_join("_toks", " ").alias(out)), key, "left")
+                           render(F.col("token_id"), F.col("token")), "_toks", carry)
+    toks = toks.select(key, *carry, F.array_join("_toks", " ").alias(out))
+    return _attach(df, toks, key, keep)
 
 
 def collate(df: DataFrame, tokens: str = "ids", batch: str = "batch_id", pad_id: int = PAD,
@@ -137,18 +160,19 @@ def unknown_rate(df: DataFrame, ids: str = "ids", unk: int = UNK, out: str = "un
 
 def embed_tokens(df: DataFrame, vectors: DataFrame, ids: str = "ids", key: str = "sample_id",
                  scale: float = 1.0, pad_id: int = PAD, dim: int | None = None,
-                 out: str = "vectors") -> DataFrame:
+                 out: str = "vectors", keep: Sequence[str] | None = None) -> DataFrame:
     """Look up a vector per token, scaled by ``scale`` (1 or sqrt(dim));
     pad and ids without a vector give zero vectors."""
     if dim is None:
         dim = vectors.select(F.size("vec")).first()[0]
     zeros = F.array_repeat(F.lit(0.0), dim)
-    exploded = df.select(key, F.posexplode_outer(ids).alias("_p", "token_id"))
-    joined = exploded.join(vectors.select("token_id", "vec"), "token_id", "left")
+    carry = list(keep or [])
+    exploded = df.select(key, *carry, F.posexplode_outer(ids).alias("_p", "token_id"))
+    joined = exploded.join(broadcast_if_small(vectors.select("token_id", "vec")), "token_id", "left")
     vec = F.when((F.col("token_id") == F.lit(pad_id)) | F.col("vec").isNull(), zeros).otherwise(
         F.transform("vec", lambda x: x.cast("double") * F.lit(float(scale))))
-    emb = _ordered_values(joined, key, "_p", vec, out)
-    return df.join(emb, key, "left")
+    emb = _ordered_values(joined, key, "_p", vec, out, carry)
+    return _attach(df, emb, key, keep)
 
 
 def vocab_with_vectors(vocab: DataFrame, vectors: DataFrame) -> DataFrame:
@@ -186,15 +210,21 @@ def repeated_ngrams(df: DataFrame, n: int, tokens: str = "tokens",
 
 def banned_next_tokens(df: DataFrame, n: int, tokens: str = "tokens",
                        key: str = "sample_id") -> DataFrame:
-    """C14: tokens that would repeat an n-gram if generated next: the
-    continuations of the sample's last n-1 tokens."""
+    """C14: tokens that would repeat an n-gram if generated next: every token
+    that followed the sample's last n-1 tokens earlier in the same sample.
+
+    A scan inside each row (compare every window with the last one), so no
+    n-gram is shuffled; rows shorter than n give none.
+    """
     if n < 2:
         raise ValueError("n must be at least 2")
-    last = df.filter(F.size(tokens) >= n - 1).select(
-        key, F.slice(tokens, -(n - 1), n - 1).alias("prefix"))
-    cont = ngram_continuations(df, n, tokens, key)
-    return (last.join(cont, [key, "prefix"])
-            .select(key, F.explode("continuations").alias("token")))
+    t = F.col(tokens)
+    last = F.slice(t, -(n - 1), n - 1)
+    starts = F.filter(F.sequence(F.lit(1), F.size(t) - n + 1),
+                      lambda i: F.slice(t, i, n - 1) == last)
+    nxt = F.array_distinct(F.transform(starts, lambda i: F.element_at(t, i + (n - 1))))
+    return (df.filter(F.size(t) >= n)
+            .select(key, F.explode(nxt).alias("token")))
 
 
 def ban_tokens(cands: DataFrame, banned: DataFrame, key: str = "sample_id",
@@ -206,11 +236,19 @@ def ban_tokens(cands: DataFrame, banned: DataFrame, key: str = "sample_id",
 def expand_prefixes(df: DataFrame, src: str = "src_tokens", tgt: str = "tgt_tokens",
                     horizon: int = -1, key: str = "sample_id", out: str = "tokens") -> DataFrame:
     """One row per target prefix 1..T placed after the source; with a
-    horizon only the last ``horizon + 1`` prefix positions are kept."""
-    rows = df.select(key, src, tgt, F.explode(F.sequence(F.lit(1), F.size(tgt))).alias("prefix_len")) \
-        .filter(F.size(tgt) > 0)
-    prefix = F.slice(tgt, 1, F.col("prefix_len"))
+    horizon only the last ``horizon + 1`` prefix positions are kept.
+
+    Each row slices the kept window straight out of the target, so a row
+    costs the window, never the whole prefix.  Without a horizon every prefix
+    is whole by definition (output size is quadratic in T, as in the
+    reference's loop).
+    """
+    rows = df.filter(F.size(tgt) > 0).select(
+        key, src, tgt, F.explode(F.sequence(F.lit(1), F.size(tgt))).alias("prefix_len"))
+    i = F.col("prefix_len")
     if horizon >= 0:
-        keep = F.least(F.col("prefix_len"), F.lit(horizon + 1))
-        prefix = F.slice(prefix, F.col("prefix_len") - keep + 1, keep)
-    return rows.select(key, "prefix_len", F.concat(F.col(src), prefix).alias(out))
+        keep = F.least(i, F.lit(horizon + 1))
+        window = F.slice(tgt, i - keep + 1, keep)
+    else:
+        window = F.slice(tgt, 1, i)
+    return rows.select(key, "prefix_len", F.concat(F.col(src), window).alias(out))

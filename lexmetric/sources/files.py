@@ -28,6 +28,21 @@ _TSV = {"sep": "\t", "quote": '"', "escape": '"', "multiLine": "true",
         "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
 
 
+def read_table(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
+    """A table spread over at least the session's default parallelism.
+
+    When the files give fewer scan splits than cores (one large row group is
+    one task), the rows are spread round-robin once, so the text work after
+    the scan (splitting, exploding, partial aggregation) runs on every core.
+    On a cluster the files give thousands of splits and this is a no-op.
+    """
+    df = spark.read.format(fmt).load(path)
+    want = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < want:
+        df = df.repartition(want)
+    return df
+
+
 def read_samples(spark: SparkSession, path: str, schema: T.StructType = SAMPLE_SCHEMA) -> DataFrame:
     """A1: headerless three-column TSV (text, label, sem_type)."""
     return spark.read.schema(schema).options(**_TSV).option("header", "false").csv(path)

@@ -18,7 +18,8 @@ from lexmetric.sources.codes import attach_codes
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    from lexmetric.sources.files import read_table
+    return read_table(spark, f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
