@@ -37,9 +37,15 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the session's checkpoint folder, setting one only if unset."""
-    sc = spark.sparkContext
+def ensure_checkpoint_dir(spark: SparkSession) -> str | None:
+    """Return the session's checkpoint folder, setting one only if unset.
+
+    (A remote session has no local SparkContext: its server's setting rules.)
+    """
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - remote session
+        return spark.conf.get("spark.checkpoint.dir", None)
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir", None)
     current = sc.getCheckpointDir()
@@ -56,6 +62,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def shared_dir(spark: SparkSession, name: str = "scratch") -> str:
     """A fresh folder under the shared checkpoint folder (never reused)."""
     base = ensure_checkpoint_dir(spark)
+    if not base:
+        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

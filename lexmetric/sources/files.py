@@ -37,10 +37,12 @@ def read_table(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFram
     On a cluster the files give thousands of splits and this is a no-op.
     """
     df = spark.read.format(fmt).load(path)
-    want = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < want:
-        df = df.repartition(want)
-    return df
+    try:
+        want = spark.sparkContext.defaultParallelism
+        have = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - remote session: leave the scan as it is
+        return df
+    return df.repartition(want) if have < want else df
 
 
 def read_samples(spark: SparkSession, path: str, schema: T.StructType = SAMPLE_SCHEMA) -> DataFrame:
