@@ -172,12 +172,7 @@ def q_a9(spark, sf):
 
 
 def _report(spark, sf) -> DataFrame:
-    sc = S.scored(spark, sf)
-    full = E.full_accuracy(sc)
-    part = E.partial_accuracy_table(sc)
-    order = sc.groupBy(F.coalesce(F.col("code"), F.lit("None")).alias("key")).agg(
-        F.min("pos").alias("first_pos"))
-    return E.report_lines(full, part, order)
+    return E.report_lines(E.summary_table(S.scored(spark, sf)))
 
 
 REPORT_SQL = with_ctes("scored") + """
@@ -190,8 +185,7 @@ lines AS (
     SELECT 0 AS block, is_overall, first_pos, key, printf('%9s %80s: %.3f', 'full', key, full_v) AS line FROM t
     UNION ALL
     SELECT 1, is_overall, first_pos, key, printf('%9s %80s: %.3f', 'partial', key, partial_v) FROM t)
-SELECT row_number() OVER (ORDER BY block, is_overall DESC,
-                          CASE WHEN is_overall THEN NULL ELSE first_pos END NULLS LAST, key) - 1 AS line_no,
+SELECT row_number() OVER (ORDER BY block, is_overall DESC, first_pos NULLS LAST, key) - 1 AS line_no,
        line
 FROM lines"""
 
@@ -1069,3 +1063,21 @@ def q_evaluate_hypotheses(spark, sf):
     targets = enc.select("sample_id", "pos", F.col("ids").alias("target_tokens"))
     out = evaluate_hypotheses(hyp.unionByName(ref), targets, vocab, S.codes(spark, sf))
     return out["report"]
+
+
+
+def _vector_sum_model():
+    import numpy as np
+
+    def fn(batch):
+        return np.asarray(batch, dtype="float64").reshape(len(batch), -1).sum(axis=1)
+    return fn
+
+
+@register("j1_predict_numeric", with_ctes("vecs") + """
+SELECT vec_id, round(list_sum(vec), 6) AS prediction FROM vecs""")
+def q_j1_numeric(spark, sf):
+    from lexmetric.operators.predict import predict_numeric
+    v = S.vectors(spark, sf)
+    out = predict_numeric(v, _vector_sum_model, "vec", batch_size=64, input_shape=[64])
+    return out.select("vec_id", r6("prediction").alias("prediction"))

@@ -109,28 +109,40 @@ def token_totals(df: DataFrame, tokens: str = "hyp_tokens", rank: str | None = N
                     F.count(F.lit(1)).alias("n_hypotheses"))
 
 
-def report_lines(full: DataFrame, partial: DataFrame, order: DataFrame | None = None) -> DataFrame:
+def summary_table(df: DataFrame, code: str = "code", correct: str = "correct",
+                  partial: str = "partial", pos: str = "pos") -> DataFrame:
+    """E3 + E5 in one pass: per code and overall, ``n``, ``full``,
+    ``partial`` and the first position where the code appears (the order
+    of the report).  One grouping-set aggregation over the scored rows."""
+    g = df.groupingSets([[code], []], code).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.avg(F.col(correct).cast("double")).alias("full"),
+        F.avg(F.col(partial).cast("double")).alias("partial"),
+        F.min(pos).alias("first_pos"),
+        F.grouping(code).alias("_g"))
+    return g.select(
+        code,
+        F.when(F.col("_g") == 1, F.lit(OVERALL)).otherwise(F.col(code).cast("string")).alias("key"),
+        (F.col("_g") == 1).alias("is_overall"), "n", "full", "partial", "first_pos")
+
+
+def report_lines(summary: DataFrame) -> DataFrame:
     """The text report, one row per line with its line number.
 
-    ``full`` / ``partial`` are E3 / E5 tables.  Lines are
-    ``     full <key right-aligned to 80>: 0.000`` then the same with
-    ``  partial``; keys run ``average`` first, then codes in the order given
-    by ``order`` (``key, first_pos``), else by key.  The tables have one row
-    per code, so sorting them is bounded by the number of codes.
+    ``summary`` is a ``summary_table``.  Lines are
+    ``     full <key right-aligned to 80>: 0.000`` for every key, then the
+    same with ``  partial``; ``average`` comes first, then codes in order of
+    first appearance.  A missing code prints as ``None``.  The table has one
+    row per code, so numbering its lines is bounded by the number of codes.
     """
-    def lines(t: DataFrame, label: str, col: str, block: int) -> DataFrame:
-        keyed = t.select(F.coalesce(F.col("key"), F.lit("None")).alias("key"), "is_overall",
-                         F.col(col).alias("v"))
-        if order is not None:
-            keyed = keyed.join(order, "key", "left")
-        else:
-            keyed = keyed.withColumn("first_pos", F.lit(0))
-        return keyed.select(
-            F.lit(block).alias("block"), "is_overall", "first_pos", "key",
-            F.format_string(f"%9s %80s: %.3f", F.lit(label), F.col("key"),
-                            F.col("v")).alias("line"))
-
-    both = lines(full, "full", "full", 0).unionByName(lines(partial, "partial", "partial", 1))
+    def lines(label: str, col: str, block: int) -> DataFrame:
+        return summary.select(
+            F.lit(block).alias("block"), "is_overall", "first_pos",
+            F.coalesce(F.col("key"), F.lit("None")).alias("key"),
+            F.format_string("%9s %80s: %.3f", F.lit(label),
+                            F.coalesce(F.col("key"), F.lit("None")), F.col(col)).alias("line"))
+
+    both = lines("full", "full", 0).unionByName(lines("partial", "partial", 1))
     from lexmetric.operators.sequence import with_position
     ranked = with_position(both, [F.col("block"), F.desc("is_overall"),
                                   F.col("first_pos").asc_nulls_last(), F.col("key")],

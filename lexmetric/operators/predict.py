@@ -43,3 +43,16 @@ def map_text(df: DataFrame, fn: Callable[[str], str], col: str = "text",
         return s.map(lambda x: None if x is None else fn(x))
 
     return df.withColumn(out or col, udf(F.col(col)))
+
+
+def predict_numeric(df: DataFrame, make_fn, input_col: str, return_type=T.DoubleType(),
+                    batch_size: int = 64, input_shape: list[int] | None = None,
+                    out: str = "prediction") -> DataFrame:
+    """J1 for numeric models: ``pyspark.ml.functions.predict_batch_udf``
+    (Arrow batches; ``make_fn`` is called once per Python worker and returns
+    a function from a numpy batch to a numpy batch)."""
+    from pyspark.ml.functions import predict_batch_udf
+
+    udf = predict_batch_udf(make_fn, return_type=return_type, batch_size=batch_size,
+                            input_tensor_shapes=[input_shape] if input_shape else None)
+    return df.withColumn(out, udf(F.col(input_col)))

@@ -50,14 +50,10 @@ def evaluate_hypotheses(hyps: DataFrame, targets: DataFrame, vocab: DataFrame,
     scored = attach_codes(joined, codes).withColumn(
         "correct", exact("hyp_text", "ref_text")).withColumn(
         "partial", partial_accuracy("tokens", "target_tokens"))
-    full = E.full_accuracy(scored)
-    part = E.partial_accuracy_table(scored)
-    order = scored.groupBy(F.coalesce(F.col("code"), F.lit("None")).alias("key")).agg(
-        F.min("pos").alias("first_pos"))
+    summary = E.summary_table(scored)
     return {
         "scored": scored,
-        "full": full,
-        "partial": part,
+        "summary": summary,
         "top1": E.top1_accuracy(scored),
-        "report": E.report_lines(full, part, order),
+        "report": E.report_lines(summary),
     }

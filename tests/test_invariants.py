@@ -127,6 +127,8 @@ def test_strict_reader_quarantines_bad_lines(spark):
     good, bad = A.read_strict_tsv(spark, path)
     assert [tuple(r) for r in good.collect()] == [("0", "a", "b", "c", "fr")]
     assert sorted(r.n_fields for r in bad.collect()) == [2, 6]
+    with pytest.raises(ValueError):
+        A.read_strict_tsv(spark, path, on_bad="raise")
 
 
 def test_report_refuses_to_overwrite(spark):
@@ -164,3 +166,30 @@ def test_chunked_running_survives_a_hot_group(spark):
         ka = {r.t: (r.s, r.c, r.mn, r.mx) for r in a.collect()}
         kb = {r.t: (r.s, r.c, r.mn, r.mx) for r in b.collect()}
         assert ka == kb
+
+
+def test_scan_dir_reads_only_matching_entries(spark):
+    base = shared_dir(spark, "t-a4")
+    s = S.samples(spark, SF_SMALL).select("pos", "text", "label", "sem_type", "language")
+    A.write_samples(s, f"{base}/gen_translated.tsv")
+    A.write_samples(s.limit(3), f"{base}/dev.tsv")
+    got = A.scan_dir(spark, base, "translated", A.read_translated)
+    assert got.count() == s.count()
+    assert got.filter(~F.col("source_file").contains("translated")).count() == 0
+
+
+def test_parallel_lines_stop_at_the_shortest(spark):
+    base = shared_dir(spark, "t-a5")
+    a = spark.createDataFrame([(i, f"a{i}") for i in range(5)], "pos long, line string")
+    b = spark.createDataFrame([(i, f"b{i}") for i in range(3)], "pos long, line string")
+    A.write_lines(a, f"{base}/x.src")
+    A.write_lines(b, f"{base}/x.tgt")
+    rows = A.read_parallel_lines(spark, [f"{base}/x.src", f"{base}/x.tgt"], ["src", "tgt"]).collect()
+    assert sorted((r.pos, r.src, r.tgt) for r in rows) == [(0, "a0", "b0"), (1, "a1", "b1"), (2, "a2", "b2")]
+
+
+def test_evaluation_plan_report_has_average_first(spark):
+    import __spark_entry__ as ent
+    lines = sorted(ent.queries()["evaluate_hypotheses"](spark, SF_SMALL).collect(), key=lambda r: r.line_no)
+    assert lines[0].line.strip().startswith("full") and lines[0].line.rstrip().split(":")[0].endswith("average")
+    assert [r.line_no for r in lines] == list(range(len(lines)))
