@@ -1053,8 +1053,9 @@ scored AS (
 @register("evaluate_hypotheses", EVAL_PLAN_SQL)
 def q_evaluate_hypotheses(spark, sf):
     from lexmetric.plans.evaluation import evaluate_hypotheses
+    from lexmetric.session import materialize
     vocab = _vocab(spark, sf)
-    enc = _encoded(spark, sf, vocab)
+    enc = materialize(_encoded(spark, sf, vocab))   # feeds three branches
     hyp = enc.select("sample_id", F.lit(0).alias("beam"),
                      S.hypothesis_tokens(F.col("ids"), F.col("sample_id")).alias("tokens"),
                      F.lit(-1.0).alias("score"))
