@@ -17,7 +17,7 @@ from lexmetric.operators.sequence import group_top_k, running
 NEG_INF = float("-inf")
 
 
-def running_loss(log: DataFrame, strategy: str = "chunked") -> DataFrame:
+def running_loss(log: DataFrame, strategy: str = "auto") -> DataFrame:
     """running mean of the loss within an epoch (per run and split), with
     the running sum and count it is made of."""
     out = running(log, ["run", "split", "epoch"], ["step"],
@@ -28,7 +28,7 @@ def running_loss(log: DataFrame, strategy: str = "chunked") -> DataFrame:
 
 def running_accuracy(df: DataFrame, code: str = "code", batch: str = "batch_id",
                      correct: str = "correct", partial: str = "partial",
-                     strategy: str = "chunked") -> DataFrame:
+                     strategy: str = "auto") -> DataFrame:
     """full and partial accuracy so far after each batch, per code and
     overall (``key = 'average'``).  Aggregate per (code, batch) first, then a
     running sum over batches -- linear, where the reference re-averages its
@@ -72,12 +72,13 @@ def n_best(hyps: DataFrame, n: int, rank: str = "rank") -> DataFrame:
 
 def rank_hypotheses(hyps: DataFrame, score: str = "score", key: str = "sample_id",
                     tie: tuple[str, ...] = ("beam",), top: int | None = None,
-                    rank: str = "rank", strategy: str = "chunked") -> DataFrame:
+                    rank: str = "rank", strategy: str = "auto") -> DataFrame:
     """rank per sample by score descending, ties by ``tie`` ascending.
 
     With ``top`` only the best ``top`` rows are kept and ranked
     (``WindowGroupLimit``: each task pre-filters its own top rows).  The full
-    ranking is a running count, chunked so a hot sample is never one task.
+    ranking is a running count, chunked when a sample is too large for one
+    task.
     """
     order = [F.desc(score)] + [F.asc(t) for t in tie]
     if top is not None:

@@ -146,7 +146,7 @@ def test_partition_independence(spark, parts):
     ref = sorted(docs.collect(), key=lambda r: (r.n_chars, r.doc_id))
     assert pos == {r.doc_id: i for i, r in enumerate(ref)}
     hyps = S.hypotheses(spark, SF_SMALL).repartition(parts)
-    ranked = R.rank_hypotheses(hyps, tie=("beam", "tie1", "tie2"))
+    ranked = R.rank_hypotheses(hyps, tie=("beam", "tie1", "tie2"), strategy="chunked")
     windowed = R.rank_hypotheses(hyps, tie=("beam", "tie1", "tie2"), strategy="window")
     a = {(r.sample_id, r.beam, r.tie1, r.tie2): r.rank for r in ranked.collect()}
     b = {(r.sample_id, r.beam, r.tie1, r.tie2): r.rank for r in windowed.collect()}
@@ -161,7 +161,7 @@ def test_chunked_running_survives_a_hot_group(spark):
         F.col("id").alias("t"), (F.col("id") % 13).cast("double").alias("v"))
     specs = {"s": ("sum", "v"), "c": ("count", "v"), "mn": ("min", "v"), "mx": ("max", "v")}
     for exclusive in (False, True):
-        a = running(df, ["g"], ["t"], specs, exclusive=exclusive, num_chunks=16)
+        a = running(df, ["g"], ["t"], specs, exclusive=exclusive, num_chunks=16, strategy="chunked")
         b = running(df, ["g"], ["t"], specs, exclusive=exclusive, strategy="window")
         ka = {r.t: (r.s, r.c, r.mn, r.mx) for r in a.collect()}
         kb = {r.t: (r.s, r.c, r.mn, r.mx) for r in b.collect()}
@@ -193,3 +193,13 @@ def test_evaluation_plan_report_has_average_first(spark):
     lines = sorted(ent.queries()["evaluate_hypotheses"](spark, SF_SMALL).collect(), key=lambda r: r.line_no)
     assert lines[0].line.strip().startswith("full") and lines[0].line.rstrip().split(":")[0].endswith("average")
     assert [r.line_no for r in lines] == list(range(len(lines)))
+
+
+def test_auto_strategy_picks_chunks_for_a_hot_group(spark):
+    from lexmetric.operators import sequence as Q
+    df = spark.range(3000).select((F.col("id") % 3 == 0).cast("string").alias("g"),
+                                  F.col("id").alias("t"), F.lit(1.0).alias("v"))
+    assert Q.largest_group(df, ["g"]) == 2000
+    a = running(df, ["g"], ["t"], {"s": ("sum", "v")}, max_window_rows=100)   # chunked
+    b = running(df, ["g"], ["t"], {"s": ("sum", "v")})                        # window
+    assert {r.t: r.s for r in a.collect()} == {r.t: r.s for r in b.collect()}
