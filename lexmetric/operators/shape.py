@@ -37,8 +37,10 @@ def localize(df: DataFrame, memory: DataFrame, source: str = SOURCE_LANGUAGE,
     translation from a memory ``(src_text, language, translated)``; label and
     sem_type ride along.  A row with no translation keeps a null text (D3
     lists what is missing)."""
+    # The memory grows with the corpus (one row per text and language) and
+    # its static size estimate is far below its real size: never broadcast.
     mem = memory.select(F.col("src_text").alias("_src"), F.col("language").alias("_lang"),
-                        F.col("translated").alias("_tr"))
+                        F.col("translated").alias("_tr")).hint("merge")
     joined = df.join(mem, (F.col(text) == F.col("_src")) & (F.col(language) == F.col("_lang"))
                      & (F.col(language) != F.lit(source)), "left")
     return (joined.withColumn(text, F.when(F.col(language) == F.lit(source), F.col(text))
@@ -51,7 +53,7 @@ def pending_translations(df: DataFrame, memory: DataFrame, source: str = SOURCE_
     """D3: distinct (text, language) pairs that still need a translation."""
     need = df.filter(F.col(language) != F.lit(source)).select(
         F.col(text).alias("text"), F.col(language).alias("language"))
-    mem = memory.select(F.col("src_text").alias("text"), "language")
+    mem = memory.select(F.col("src_text").alias("text"), "language").hint("merge")
     return need.join(mem, ["text", "language"], "left_anti").dropDuplicates(["text", "language"])
 
 
