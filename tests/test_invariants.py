@@ -203,3 +203,47 @@ def test_auto_strategy_picks_chunks_for_a_hot_group(spark):
     a = running(df, ["g"], ["t"], {"s": ("sum", "v")}, max_window_rows=100)   # chunked
     b = running(df, ["g"], ["t"], {"s": ("sum", "v")})                        # window
     assert {r.t: r.s for r in a.collect()} == {r.t: r.s for r in b.collect()}
+
+
+def _brute_force_packing(rows, max_tokens, max_sentences, shard_rows):
+    """Pure-Python restatement of D8's rule on a small fixture."""
+    import math as m
+    def bucket(n):
+        return 0 if n <= 1 else int(m.ceil(m.log2(n)))
+    ordered = sorted(rows, key=lambda r: (bucket(r[1]), r[1], r[0]))
+    out = {}
+    shards = {}
+    for gpos, (key, n) in enumerate(ordered):
+        shards.setdefault((bucket(n), gpos // shard_rows), []).append((key, n))
+    for (b, sh), members in shards.items():
+        members.sort(key=lambda r: (r[1], r[0]))
+        k = count = longest = 0
+        for key, n in members:
+            new_longest = max(longest, n)
+            if count and (count + 1 > max_sentences or (count + 1) * new_longest > max_tokens):
+                k, count, longest = k + 1, 0, 0
+                new_longest = n
+            count, longest = count + 1, new_longest
+            out[key] = f"{b}-{sh}-{k}"
+    return out
+
+
+def test_token_budget_batches_match_brute_force(spark):
+    s = S.samples(spark, SF_SMALL).withColumn("n_tokens", F.size("tokens"))
+    got = {r.sample_id: r.batch_id for r in
+           D.token_budget_batches(s, max_tokens=3000, max_sentences=8, shard_rows=40).collect()}
+    rows = [(r.sample_id, r.n_tokens) for r in s.select("sample_id", "n_tokens").collect()]
+    assert got == _brute_force_packing(rows, 3000, 8, 40)
+
+
+def test_stream_totals_over_several_micro_batches(spark):
+    from lexmetric.streaming import stream_accuracy
+    src = shared_dir(spark, "t-stream-src")
+    ev = S.table(spark, SF_SMALL, "events")
+    ev.repartition(3).write.parquet(src)            # three files -> three micro-batches
+    stream = (spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1).parquet(src)
+              .select(F.col("event_type").alias("code"), (F.col("value") > 50).alias("ok")))
+    got = {r.code: (r.n_correct, r.n) for r in stream_accuracy(spark, stream).collect()}
+    batch = ev.select(F.col("event_type").alias("code"), (F.col("value") > 50).cast("int").alias("correct"))
+    want = {r.code: (r.n_correct, r.n) for r in E.accuracy_by_code(batch).collect()}
+    assert got == want
