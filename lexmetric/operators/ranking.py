@@ -121,10 +121,15 @@ def finished_quota(hyps: DataFrame, beam: int, max_len: int, key: str = "sample_
 
 
 def position_scores(df: DataFrame, key: str, order: list[str], cumulative: str = "cum_score",
-                    out: str = "pos_score") -> DataFrame:
-    """F9 (long form): cumulative -> per-position scores, ``s - lag(s, 1, 0)``."""
-    w = Window.partitionBy(key).orderBy(*order)
-    return df.withColumn(out, F.col(cumulative) - F.lag(cumulative, 1, 0.0).over(w))
+                    out: str = "pos_score", strategy: str = "auto") -> DataFrame:
+    """F9 (long form): cumulative -> per-position scores, ``s - lag(s, 1, 0)``.
+
+    The lag is a running scan, chunked when a sample is too large for one
+    task (the previous row of a chunk's first row comes from the last row of
+    the chunk before it)."""
+    lagged = running(df, [key], order, {"_prev": ("lag", cumulative)}, strategy=strategy)
+    return lagged.withColumn(out, F.col(cumulative) - F.coalesce(F.col("_prev"), F.lit(0.0))) \
+        .drop("_prev")
 
 
 def position_scores_array(c) -> "F.Column":

@@ -101,7 +101,8 @@ def running(df: DataFrame, by, order, aggs: dict[str, tuple[str, str | Column]],
     """Running aggregates along ``order`` within ``by`` groups.
 
     ``aggs`` maps an output name to ``(kind, column)`` with kind in
-    sum / count / min / max.  Inclusive of the current row unless
+    sum / count / min / max, or ``lag`` (the value of the previous row, null
+    on the first row of a group).  Inclusive of the current row unless
     ``exclusive`` (then the rows strictly before it; null when there are none,
     0 for count).  ``order`` must be unique within a group.
 
@@ -118,28 +119,39 @@ def running(df: DataFrame, by, order, aggs: dict[str, tuple[str, str | Column]],
         strategy = "window" if small else "chunked"
 
     if strategy == "window":
-        w = (Window.partitionBy(*by_names) if by_names else Window.partitionBy()) \
-            .orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, end)
+        w_ord = (Window.partitionBy(*by_names) if by_names else Window.partitionBy()) \
+            .orderBy(*order_cols)
+        w = w_ord.rowsBetween(Window.unboundedPreceding, end)
         out = df
         for name, (kind, c) in specs.items():
-            out = out.withColumn(name, _AGG[kind](c).over(w))
+            agg = F.lag(c, 1).over(w_ord) if kind == "lag" else _AGG[kind](c).over(w)
+            out = out.withColumn(name, agg)
         return out
 
     n = num_chunks or _default_chunks(df)
     by_cols = [F.col(b) for b in by_names]
     ranged = materialize(df.repartitionByRange(n, *by_cols, *order_cols).withColumn(
         "_chunk", F.spark_partition_id()))
-    w_local = Window.partitionBy("_chunk", *by_names).orderBy(*order_cols) \
-        .rowsBetween(Window.unboundedPreceding, end)
-    local = ranged
+    w_local_ord = Window.partitionBy("_chunk", *by_names).orderBy(*order_cols)
+    w_local = w_local_ord.rowsBetween(Window.unboundedPreceding, end)
+    local = (ranged.withColumn("_rn", F.row_number().over(w_local_ord))
+             .withColumn("_cnt", F.count(F.lit(1)).over(Window.partitionBy("_chunk", *by_names))))
     for name, (kind, c) in specs.items():
-        local = local.withColumn(f"_l_{name}", _AGG[kind](c).over(w_local))
-
-    totals = ranged.groupBy("_chunk", *by_names).agg(
-        *[_AGG[kind](c).alias(f"_t_{name}") for name, (kind, c) in specs.items()])
+        agg = F.lag(c, 1).over(w_local_ord) if kind == "lag" else _AGG[kind](c).over(w_local)
+        local = local.withColumn(f"_l_{name}", agg)
+
+    def chunk_total(kind: str, c: Column) -> Column:
+        if kind == "lag":   # the value on the chunk's last row of the group
+            return F.max(F.when(F.col("_rn") == F.col("_cnt"), c))
+        return _AGG[kind](c)
+
+    # One row per (chunk, group); the rows of a chunk are read from the same
+    # checkpoint as ``local``, so both agree on every chunk number.
+    totals = local.groupBy("_chunk", *by_names).agg(
+        *[chunk_total(kind, c).alias(f"_t_{name}") for name, (kind, c) in specs.items()])
     w_prev = (Window.partitionBy(*by_names) if by_names else Window.partitionBy()) \
         .orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    prev_kind = {"sum": F.sum, "count": F.sum, "min": F.min, "max": F.max}
+    prev_kind = {"sum": F.sum, "count": F.sum, "min": F.min, "max": F.max, "lag": F.last}
     offsets = totals.select(
         F.col("_chunk").alias("_o_chunk"),
         *[F.col(b).alias(f"_o_{b}") for b in by_names],
@@ -156,12 +168,14 @@ def running(df: DataFrame, by, order, aggs: dict[str, tuple[str, str | Column]],
             val = F.coalesce(lc, F.lit(0)) + F.coalesce(oc, F.lit(0))
             if kind == "sum":
                 val = F.when(lc.isNull() & oc.isNull(), F.lit(None)).otherwise(val)
+        elif kind == "lag":
+            val = F.when(F.col("_rn") == 1, oc).otherwise(lc)
         elif kind == "min":
             val = F.least(lc, oc)
         else:
             val = F.greatest(lc, oc)
         joined = joined.withColumn(name, val)
-    drop = ["_chunk", "_o_chunk"] + [f"_o_{b}" for b in by_names]
+    drop = ["_chunk", "_o_chunk", "_rn", "_cnt"] + [f"_o_{b}" for b in by_names]
     drop += [f"_l_{n_}" for n_ in specs] + [f"_o_{n_}" for n_ in specs]
     return joined.drop(*drop)
 

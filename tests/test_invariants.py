@@ -81,9 +81,10 @@ def test_log_softmax_sums_to_one(spark):
 def test_position_scores_sum_back(spark):
     h = running(S.hypotheses(spark, SF_SMALL), ["sample_id"], ["beam", "tie1", "tie2", "score"],
                 {"cum_score": ("sum", "score")})
-    out = R.position_scores(h, "sample_id", ["beam", "tie1", "tie2", "score"])
-    bad = out.filter(F.abs(F.col("pos_score") - F.col("score")) > 1e-9).count()
-    assert bad == 0
+    for strategy in ("window", "chunked"):
+        out = R.position_scores(h, "sample_id", ["beam", "tie1", "tie2", "score"], strategy=strategy)
+        bad = out.filter(F.abs(F.col("pos_score") - F.col("score")) > 1e-9).count()
+        assert bad == 0
 
 
 def test_stream_final_state_equals_batch(spark):
@@ -159,12 +160,13 @@ def test_chunked_running_survives_a_hot_group(spark):
         F.when(F.col("id") % 2 == 0, F.lit("hot")).when(F.col("id") % 7 == 1, F.lit(None))
         .otherwise((F.col("id") % 5).cast("string")).alias("g"),
         F.col("id").alias("t"), (F.col("id") % 13).cast("double").alias("v"))
-    specs = {"s": ("sum", "v"), "c": ("count", "v"), "mn": ("min", "v"), "mx": ("max", "v")}
+    specs = {"s": ("sum", "v"), "c": ("count", "v"), "mn": ("min", "v"), "mx": ("max", "v"),
+             "lg": ("lag", "v")}
     for exclusive in (False, True):
         a = running(df, ["g"], ["t"], specs, exclusive=exclusive, num_chunks=16, strategy="chunked")
         b = running(df, ["g"], ["t"], specs, exclusive=exclusive, strategy="window")
-        ka = {r.t: (r.s, r.c, r.mn, r.mx) for r in a.collect()}
-        kb = {r.t: (r.s, r.c, r.mn, r.mx) for r in b.collect()}
+        ka = {r.t: (r.s, r.c, r.mn, r.mx, r.lg) for r in a.collect()}
+        kb = {r.t: (r.s, r.c, r.mn, r.mx, r.lg) for r in b.collect()}
         assert ka == kb
 
 
