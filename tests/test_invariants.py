@@ -152,6 +152,15 @@ def test_partition_independence(spark, parts):
     a = {(r.sample_id, r.beam, r.tie1, r.tie2): r.rank for r in ranked.collect()}
     b = {(r.sample_id, r.beam, r.tie1, r.tie2): r.rank for r in windowed.collect()}
     assert a == b
+    # D5 on a repartitioned expansion, F3 on a repartitioned log.
+    exp = _expanded_fixture(spark, 120).repartition(parts)
+    kept = sorted(r.pos for r in D.rotating_sample(exp).collect())
+    assert kept == sorted(r.pos for r in D.rotating_sample(_expanded_fixture(spark, 120)).collect())
+    log = S.training_log(spark, SF_SMALL).repartition(parts)
+    best = {(r.split, r.epoch): r.improved for r in R.best_checkpoints(E.epoch_loss(log)).collect()}
+    base = {(r.split, r.epoch): r.improved
+            for r in R.best_checkpoints(E.epoch_loss(S.training_log(spark, SF_SMALL))).collect()}
+    assert best == base
 
 
 def test_chunked_running_survives_a_hot_group(spark):
