@@ -36,16 +36,18 @@ def localize(df: DataFrame, memory: DataFrame, source: str = SOURCE_LANGUAGE,
     """Source-language rows pass through; the others take their
     translation from a memory ``(src_text, language, translated)``; label and
     sem_type ride along.  A row with no translation keeps a null text (D3
-    lists what is missing)."""
+    lists what is missing).  Only the rows that need a translation are
+    shuffled for the join."""
+    is_source = F.col(language).eqNullSafe(F.lit(source))
     # The memory grows with the corpus (one row per text and language) and
     # its static size estimate is far below its real size: never broadcast.
     mem = memory.select(F.col("src_text").alias("_src"), F.col("language").alias("_lang"),
                         F.col("translated").alias("_tr")).hint("merge")
-    joined = df.join(mem, (F.col(text) == F.col("_src")) & (F.col(language) == F.col("_lang"))
-                     & (F.col(language) != F.lit(source)), "left")
-    return (joined.withColumn(text, F.when(F.col(language) == F.lit(source), F.col(text))
-                              .otherwise(F.col("_tr")))
-            .drop("_src", "_lang", "_tr"))
+    others = df.filter(~is_source)
+    joined = others.join(mem, (F.col(text) == F.col("_src")) & (F.col(language) == F.col("_lang")),
+                         "left")
+    translated = joined.withColumn(text, F.col("_tr")).drop("_src", "_lang", "_tr")
+    return df.filter(is_source).unionByName(translated)
 
 
 def pending_translations(df: DataFrame, memory: DataFrame, source: str = SOURCE_LANGUAGE,
