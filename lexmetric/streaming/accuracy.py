@@ -25,18 +25,30 @@ def stream_totals(stream: DataFrame, code: str = "code", ok: str = "ok") -> Data
 
 def stream_accuracy(spark: SparkSession, stream: DataFrame, code: str = "code", ok: str = "ok",
                     out_dir: str | None = None, checkpoint: str | None = None,
-                    available_now: bool = True) -> DataFrame:
-    """Run the totals to completion over what is available and return them."""
+                    available_now: bool = True, history: bool = False):
+    """Run the totals to completion over what is available and return them.
+
+    With ``history`` also return the totals as they stood after every
+    micro-batch (``batch_id`` = the stream's epoch), the running report the
+    reference prints after each batch; a replayed epoch overwrites its own
+    partition of that table, so it is written once however often it runs.
+    """
     base = out_dir or shared_dir(spark, "stream-accuracy")
     target = f"{base}/totals"
+    trail = f"{base}/history"
     ckpt = checkpoint or f"{base}/_checkpoint"
 
     def publish(batch: DataFrame, epoch_id: int) -> None:
         batch.write.mode("overwrite").parquet(target)
+        if history:   # one folder per epoch; the folder name carries batch_id
+            batch.write.mode("overwrite").parquet(f"{trail}/batch_id={epoch_id}")
 
     writer = (stream_totals(stream, code, ok).writeStream.outputMode("complete")
               .option("checkpointLocation", ckpt).foreachBatch(publish))
     writer = writer.trigger(availableNow=True) if available_now else writer
     query = writer.start()
     query.awaitTermination()
-    return spark.read.parquet(target)
+    totals = spark.read.parquet(target)
+    if history:
+        return totals, spark.read.parquet(trail)
+    return totals

@@ -254,7 +254,14 @@ def test_stream_totals_over_several_micro_batches(spark):
     ev.repartition(3).write.parquet(src)            # three files -> three micro-batches
     stream = (spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1).parquet(src)
               .select(F.col("event_type").alias("code"), (F.col("value") > 50).alias("ok")))
-    got = {r.code: (r.n_correct, r.n) for r in stream_accuracy(spark, stream).collect()}
+    totals, trail = stream_accuracy(spark, stream, history=True)
+    got = {r.code: (r.n_correct, r.n) for r in totals.collect()}
+    epochs = sorted({r.batch_id for r in trail.select("batch_id").collect()})
+    assert len(epochs) == 3
+    last = {r.code: (r.n_correct, r.n) for r in trail.filter(F.col("batch_id") == epochs[-1]).collect()}
+    assert last == got
+    sizes = [trail.filter(F.col("batch_id") == e).agg(F.sum("n")).first()[0] for e in epochs]
+    assert sizes == sorted(sizes) and sizes[-1] == ev.count()
     batch = ev.select(F.col("event_type").alias("code"), (F.col("value") > 50).cast("int").alias("correct"))
     want = {r.code: (r.n_correct, r.n) for r in E.accuracy_by_code(batch).collect()}
     assert got == want
