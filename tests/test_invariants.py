@@ -265,3 +265,16 @@ def test_stream_totals_over_several_micro_batches(spark):
     batch = ev.select(F.col("event_type").alias("code"), (F.col("value") > 50).cast("int").alias("correct"))
     want = {r.code: (r.n_correct, r.n) for r in E.accuracy_by_code(batch).collect()}
     assert got == want
+
+
+def test_score_predictions_plan(spark):
+    from lexmetric.catalog import _reverse_words_predictor
+    from lexmetric.plans.evaluation import score_predictions
+    s = S.samples(spark, SF_SMALL).select("sample_id", "text", "label", "language", "sem_type")
+    out = score_predictions(s, _reverse_words_predictor)
+    rows = s.collect()
+    fn = _reverse_words_predictor()
+    want = sum(1 for r in rows if fn([r.text])[0] == r.label) / len(rows)
+    assert math.isclose(out["exact_match"].first().exact_match, want)
+    cube = out["breakdown"].filter("level = 3").first()
+    assert cube.n == len(rows)
