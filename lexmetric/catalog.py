@@ -314,7 +314,7 @@ FROM hyps""")
 def q_b11(spark, sf):
     h = S.hypotheses(spark, sf)
     return h.select("sample_id", "beam", "tie1", "tie2", r6(C.to_log2("score")).alias("score_log2"),
-                    F.format_string("%.4f", C.to_log2("score")).alias("rendered"))
+                    C.format_fixed(C.to_log2("score"), 4).alias("rendered"))
 
 
 # ---------------------------------------------------------------- C: tokens and arrays

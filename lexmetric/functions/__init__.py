@@ -7,6 +7,8 @@ from lexmetric.functions.columns import (  # noqa: F401
     clean_id_string,
     drop_first,
     exact,
+    format_exact,
+    format_fixed,
     from_offset,
     ids_to_string,
     l2_normalize,

@@ -1,13 +1,14 @@
 """Column helpers.
 
-All of them are plain Spark expressions: they stay inside whole-stage codegen
-and never leave the JVM.
+All of them are plain Spark expressions that stay inside whole-stage codegen,
+except ``format_exact`` (an Arrow-batched formatter for small report tables).
 """
 
 from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -72,10 +73,30 @@ def to_log2(c) -> Column:
     return _col(c) / F.lit(LN2)
 
 
-def render_scores(c, decimals: int = 4, sep: str = " ") -> Column:
-    """An array of scores rendered ``%.4f`` and space-joined."""
+def format_fixed(c, decimals: int = 4) -> Column:
+    """A number with a fixed count of decimals, rounded half-even (JVM
+    ``format_number`` without grouping commas).  ``format_string('%.4f')``
+    rounds half-up on the shortest decimal form instead, which differs from
+    Python and C formatting on decimal ties."""
+    return F.regexp_replace(F.format_number(_col(c), decimals), ",", "")
+
+
+def format_exact(c, decimals: int = 3) -> Column:
+    """Python's ``'%.{decimals}f' % x`` exactly (correct rounding of the
+    binary value).  An Arrow-batched helper for small report tables; the
+    per-row path is ``format_fixed``."""
     fmt = f"%.{decimals}f"
-    return F.array_join(F.transform(_col(c), lambda x: F.format_string(fmt, x)), sep)
+
+    @F.pandas_udf("string")
+    def fixed(v: pd.Series) -> pd.Series:
+        return v.map(lambda x: None if pd.isna(x) else fmt % x)
+
+    return fixed(_col(c).cast("double"))
+
+
+def render_scores(c, decimals: int = 4, sep: str = " ") -> Column:
+    """An array of scores rendered with 4 decimals and space-joined."""
+    return F.array_join(F.transform(_col(c), lambda x: format_fixed(x, decimals)), sep)
 
 
 def strip_pad(tokens, pad) -> Column:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmetric.functions.columns import exact, partial_accuracy
+from lexmetric.functions.columns import exact, format_exact, partial_accuracy
 
 OVERALL = "average"
 
@@ -139,8 +139,9 @@ def report_lines(summary: DataFrame) -> DataFrame:
         return summary.select(
             F.lit(block).alias("block"), "is_overall", "first_pos",
             F.coalesce(F.col("key"), F.lit("None")).alias("key"),
-            F.format_string("%9s %80s: %.3f", F.lit(label),
-                            F.coalesce(F.col("key"), F.lit("None")), F.col(col)).alias("line"))
+            F.concat(F.format_string("%9s %80s: ", F.lit(label),
+                                     F.coalesce(F.col("key"), F.lit("None"))),
+                     format_exact(col, 3)).alias("line"))
 
     both = lines("full", "full", 0).unionByName(lines("partial", "partial", 1))
     from lexmetric.operators.sequence import with_position

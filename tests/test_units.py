@@ -122,3 +122,14 @@ def test_collate_moves_eos_and_pads(spark):
     df = spark.createDataFrame([(0, [5, 6, 2]), (0, [7, 2])], "batch_id long, ids array<int>")
     out = [r.ids for r in TK.collate(df, move_eos_to_front=True).collect()]
     assert out == [[2, 5, 6], [2, 7, 1]]
+
+
+def test_report_numbers_format_like_python(spark):
+    vals = [0.0625, 1.0005, 0.0005, 0.1235, 2.675, -0.0625, 0.0, 1.0]
+    df = spark.createDataFrame([(v,) for v in vals], "v double")
+    got = [r.s for r in df.select(C.format_exact("v", 3).alias("s")).collect()]
+    assert got == ["%.3f" % v for v in vals]
+    four = [r.s for r in df.select(C.format_fixed("v", 4).alias("s")).collect()]
+    assert four == ["%.4f" % v for v in vals]
+    big = spark.createDataFrame([(-12345.67891,)], "v double")
+    assert big.select(C.format_fixed("v", 4).alias("s")).first().s == "-12345.6789"
