@@ -94,6 +94,8 @@ def pad(df: DataFrame, tokens: str = "ids", pad_id: int = PAD, length: int | Non
 
     The longest row is a scalar subquery (one number); adaptive execution
     shares its exchanges with the main plan instead of computing them twice.
+    Padding a whole corpus to its longest row multiplies its size by
+    ``longest / mean``; for training batches use ``collate`` (per batch).
     """
     out = out or tokens
     target = F.lit(length) if length is not None else F.coalesce(
