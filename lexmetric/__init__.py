@@ -6,6 +6,6 @@ functions.  Nothing here creates a session, collects rows in a loop or
 windows a whole table into one partition.
 """
 
-from lexmetric.session import shared_dir, build_session  # noqa: F401
+from lexmetric.session import build_session, prepare, shared_dir  # noqa: F401
 
-__all__ = ["shared_dir", "build_session"]
+__all__ = ["build_session", "prepare", "shared_dir"]
