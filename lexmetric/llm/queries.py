@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmetric.llm import mixing, secrets, spotsigs
+from lexmetric.llm import hilbert, jaccard, mixing, secrets, spotsigs, tiling, toxicity
 from lexmetric.llm.common import table
 
 QUERIES: dict = {}
@@ -42,3 +42,29 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", *kinds,
                        F.sha2(secrets.render(F.col("base")), 256).alias("base_sha256"),
                        secrets.render(F.col("found")).alias("spans"))
+
+
+@query
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiling.coverage(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rows = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return rows.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score",
+                       (F.col("score") >= 0.5).cast("int").alias("predicted"), "neighbours", "cosines")
+
+
+@query
+def op9_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = hilbert.assign(table(spark, sf_dir, "documents"), shards=16)
+    return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+                       F.lit(None).cast("int").alias("grown_shard"), "cell")
+
+
+@query
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"), k=4, num=85, den=100).select(
+        "doc_id", "n_shingles", "component_id")
