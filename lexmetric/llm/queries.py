@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmetric.llm import hilbert, jaccard, mixing, secrets, spotsigs, tiling, toxicity
+from lexmetric.llm import chat, extraction, hilbert, jaccard, lines, mixing, secrets, spotsigs, tiling, toxicity
 from lexmetric.llm.common import table
 
 QUERIES: dict = {}
@@ -68,3 +68,22 @@ def op9_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"), k=4, num=85, den=100).select(
         "doc_id", "n_shingles", "component_id")
+
+
+@query
+def op1_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return extraction.extract(pages, extraction.fit(pages))
+
+
+@query
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedup(table(spark, sf_dir, "pages"))
+
+
+ORACLE["op2_line_dedup"] = lines.dedup_sql()
+
+
+@query
+def op4_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.repair(table(spark, sf_dir, "conversations"))
