@@ -25,7 +25,8 @@ from lexmetric.llm.common import cut
 #: Labelled rows used, at most (smallest hashed ids).
 MAX_EXAMPLES = 20_000
 #: Terms kept, at most, by chi-squared, and the least chi-squared and count of one.
-MAX_TERMS, MIN_CHI, MIN_COUNT = 4000, 12.0, 4
+#: (Among millions of terms, chance alone reaches about 30.)
+MAX_TERMS, MIN_CHI, MIN_COUNT = 2000, 40.0, 4
 #: Neighbours that vote, examples in an index block, and the weight of the base rate.
 K, BLOCK, PRIOR_WEIGHT = 15, 64, 1.0
 
@@ -132,25 +133,27 @@ class Index:
     def __init__(self, names: list[str], idf: np.ndarray, rows: list[tuple[int, int, dict[str, int]]],
                  k: int = K):
         self.vocabulary, self.idf, self.k = Vocabulary(names), idf, k
-        rows = sorted(rows, key=lambda r: (sorted(r[2]), r[0]))  # alike examples share blocks
-        self.ids = np.array([r[0] for r in rows], dtype=np.int64)
-        self.y = np.array([r[1] for r in rows], dtype=np.float64)
-        self.prior = float(self.y.mean()) if len(rows) else 0.0
+        labels = [r[1] for r in rows]
+        self.prior = float(np.mean(labels)) if rows else 0.0
         silent = [r[1] for r in rows if not r[2]]
-        #: Base rate of examples without any term.
+        #: Base rate of examples without any term; they are never neighbours.
         self.silent = (sum(silent) + self.prior) / (len(silent) + 1.0)
-        self.n_blocks = max(1, -(-len(rows) // BLOCK))
-        self.top = np.zeros((len(names), self.n_blocks))
-        self.postings: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
-        lists: dict[tuple[int, int], list] = {}
-        for i, (_, _, counts) in enumerate(rows):
-            at, weight = self.vector(counts)
-            for t, x in zip(at, weight, strict=True):
-                lists.setdefault((int(t), i // BLOCK), []).append((i % BLOCK, x))
-        for key, got in lists.items():
-            w = np.array([x for _, x in got])
-            self.postings[key] = (np.array([i for i, _ in got]), w)
-            self.top[key] = w.max()
+        rows = sorted((r for r in rows if r[2]), key=lambda r: (sorted(r[2]), r[0]))  # alike examples share blocks
+        self.ids = np.array([r[0] for r in rows], dtype=np.int64)
+        self.y = np.array([r[1] for r in rows], dtype=np.float64)
+        # Block b holds the weights of its examples by term: its posting lists side by side.
+        self.blocks, tops = [], []
+        for lo in range(0, len(rows), BLOCK):
+            weights = np.zeros((len(names), min(BLOCK, len(rows) - lo)))
+            for i, (_, _, counts) in enumerate(rows[lo:lo + BLOCK]):
+                at, weight = self.vector(counts)
+                weights[at, i] = weight
+            held = np.flatnonzero(weights.any(axis=1))
+            where = np.full(len(names), len(held), dtype=np.int32)
+            where[held] = np.arange(len(held))
+            self.blocks.append((where, np.vstack((weights[held], np.zeros((1, weights.shape[1]))))))
+            tops.append(weights.max(axis=1))
+        self.top = np.stack(tops, axis=1) if tops else np.zeros((len(names), 0))
         self.memo: dict = {}
 
     def vector(self, counts: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
@@ -171,12 +174,10 @@ class Index:
         for b in np.argsort(-bound, kind="stable").tolist():
             if bound[b] <= 0 or (len(best) == self.k and bound[b] < -best[-1][0] - 1e-12):
                 break
-            acc = np.zeros(BLOCK)
-            for t, x in zip(at.tolist(), weight.tolist(), strict=True):
-                hit = self.postings.get((t, b))
-                if hit is not None:
-                    acc[hit[0]] += x * hit[1]
-            got = np.flatnonzero(acc > 0)
+            where, weights = self.blocks[b]
+            acc = weight @ weights[where[at]]
+            floor = -best[-1][0] - 1e-12 if len(best) == self.k else 0.0
+            got = np.flatnonzero((acc > 0) & (acc >= floor))
             best += [(-round(float(acc[i]), 12), int(self.ids[b * BLOCK + i]), b * BLOCK + int(i)) for i in got]
             best = sorted(best)[:self.k]
         return [(-c, i) for c, _, i in best]
