@@ -9,20 +9,20 @@ tested against brute force.
 """
 
 from lexmetric.llm import hilbert, jaccard, mixing, tiling, toxicity
-from lexmetric.llm.common import table
-from lexmetric.session import prepare, shared_dir
+from lexmetric.llm.common import ready, table
+from lexmetric.session import shared_dir
 
 
 def drop_toxic(spark, docs, sf_dir):
     """Documents scored toxic go (operator 8)."""
-    prepare(spark)
+    ready(spark)
     return toxicity.keep_clean(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_near_copies(spark, docs, sf_dir):
     """One document of each group of near copies stays (operator 10): five-word
     shingles, Jaccard of 0.8 or more."""
-    prepare(spark)
+    ready(spark)
     return jaccard.keep_first(docs, k=5, num=80, den=100)
 
 
@@ -33,13 +33,13 @@ def drop_benchmark_copies(spark, docs, sf_dir):
 
 def mix_sources(spark, docs, sf_dir):
     """Documents as often as their source's target asks (operator 5)."""
-    prepare(spark)
+    ready(spark)
     return mixing.mixed_rows(docs)
 
 
 def shard(spark, docs, sf_dir):
     """Rows with shard and slot along the Hilbert curve (operator 9)."""
-    prepare(spark)
+    ready(spark)
     return hilbert.shard_rows(docs, shards=16)
 
 

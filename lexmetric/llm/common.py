@@ -11,15 +11,27 @@ from lexmetric.session import materialize, prepare
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Rows of an Arrow batch: texts can be long, so a Python worker holds few at a time.
+BATCH_ROWS = 256
+
+
+def ready(spark: SparkSession) -> None:
+    """The session's shared folder and package, and small Arrow batches."""
+    prepare(spark)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "10000")) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table."""
-    prepare(spark)
+    ready(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Write a narrow frame to the shared checkpoint folder and go on from there."""
-    prepare(df.sparkSession)
+    ready(df.sparkSession)
     return materialize(df)
 
 

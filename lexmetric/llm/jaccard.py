@@ -203,7 +203,7 @@ def entered(docs: DataFrame, k: int, rule: Rule, text_col: str) -> DataFrame:
                 keys.append(e.astype(np.int64))
                 nodes.append(np.full(len(e), node, dtype=np.int64))
                 held += len(e)
-                if held >= 500_000:
+                if held >= 100_000:
                     yield pd.DataFrame({"key": np.concatenate(keys), "node": np.concatenate(nodes)})
                     keys, nodes, held = [], [], 0
             if keys:
@@ -360,7 +360,7 @@ def across(buckets: DataFrame, roots: DataFrame, points: DataFrame, rule: Rule)
             la = Leaves(node[left], comp[left], n[left], [_fold(vec[i]) for i in left])
             lb = la if t[a] == u[a] else Leaves(node[right], comp[right], n[right], [_fold(vec[i]) for i in right])
             out += [(min(p), max(p)) for p in _surviving(la, lb, rule)]
-            if len(out) > 200_000:
+            if len(out) > 100_000:
                 yield pd.DataFrame(out, columns=["a", "b"]).drop_duplicates()
                 out = []
         yield pd.DataFrame(out, columns=["a", "b"]).drop_duplicates()
