@@ -37,12 +37,12 @@ from lexmetric.llm.common import cut, partitions
 from lexmetric.llm.graph import components
 from lexmetric.llm.tiling import _MIX, _chunks, window_hashes
 
-#: Coordinates of the points: of sets under LARGE shingles, and of the others.
-GROUPS, GROUPS_LARGE, LARGE = 128, 512, 800
+#: Coordinates of the points by set size: (least size, groups).
+GROUPS = ((1600, 2048), (96, 512), (0, 128))
 #: Members of an entry compared in one task at a time, and points in a leaf.
 TILE, LEAF = 512, 16
 #: Hubs each class is verified against.
-HUBS = 2
+HUBS = 1
 #: Bits of the filter of classes whose sets are needed again.
 FILTER_BITS = 1 << 23
 
@@ -100,10 +100,17 @@ def digest(s: np.ndarray) -> tuple[int, int]:
     return both[0], both[1]
 
 
-def point(s: np.ndarray) -> np.ndarray:
-    """Group counts of a set."""
-    n = GROUPS_LARGE if len(s) >= LARGE else GROUPS
-    return np.bincount((s & np.uint64(n - 1)).astype(np.int64), minlength=n).astype(np.uint32)
+def point(s: np.ndarray) -> bytes:
+    """Group counts of a set: a byte each, or four (after a first byte of 1) where one passes 255."""
+    n = next(g for least, g in GROUPS if len(s) >= least)
+    counts = np.bincount((s & np.uint64(n - 1)).astype(np.int64), minlength=n)
+    if counts.max() > 255:
+        return b"\x01" + counts.astype(np.uint32).tobytes()
+    return b"\x00" + counts.astype(np.uint8).tobytes()
+
+
+def _fold(vec: bytes) -> np.ndarray:
+    return np.frombuffer(vec, np.uint32 if vec[0] else np.uint8, offset=1).astype(np.int64)
 
 
 class Rule:
@@ -174,16 +181,15 @@ def _tie(text: Column) -> Column:
 
 
 def described(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, tie, n, node, check, vec) of every row."""
+    """(doc_id, tie, n, node, check) of every row."""
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            sets = list(map(lambda s: (len(s), *digest(s), point(s).tobytes() if len(s) else None),
+            sets = list(map(lambda s: (len(s), *digest(s)),
                             shingle_sets(frame["text"].fillna("").tolist(), k)))
             yield pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64"), "tie": frame["tie"],
-                                "n": [x[0] for x in sets], "node": [x[1] for x in sets], "check": [x[2] for x in sets],
-                                "vec": [x[3] for x in sets]})
+                                "n": [x[0] for x in sets], "node": [x[1] for x in sets], "check": [x[2] for x in sets]})
     return _sets(docs, id_col, text_col).mapInPandas(
-        work, "doc_id long, tie long, n long, node long, check long, vec binary")
+        work, "doc_id long, tie long, n long, node long, check long")
 
 
 def entered(docs: DataFrame, k: int, rule: Rule, text_col: str) -> DataFrame:
@@ -237,15 +243,15 @@ def _needed(nodes: DataFrame):
     return nodes.sparkSession.sparkContext.broadcast(bits)
 
 
-def sets_of(docs: DataFrame, nodes: DataFrame, k: int, text_col: str) -> DataFrame:
-    """(node, n, elements) of the classes in ``nodes``, from the texts again: a
-    bit table keeps most other sets out of the shuffle, the join the rest."""
+def again(docs: DataFrame, nodes: DataFrame, k: int, text_col: str, make) -> DataFrame:
+    """(node, n, data) of the classes in ``nodes``, ``make(set)`` from the texts
+    again: a bit table keeps most other sets out of the shuffle, the join the rest."""
     bits = _needed(nodes)
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         met: set[int] = set()
         for frame in frames:
-            out = []
+            out, held = [], 0
             for s in shingle_sets(frame["text"].fillna("").tolist(), k):
                 node = digest(s)[0]
                 at = node % FILTER_BITS
@@ -253,23 +259,23 @@ def sets_of(docs: DataFrame, nodes: DataFrame, k: int, text_col: str) -> DataFra
                     if len(met) >= 200_000:
                         met.clear()
                     met.add(node)
-                    out.append((node, len(s), s.tobytes()))
-                    if sum(len(x[2]) for x in out[-64:]) > 1 << 22:
-                        yield pd.DataFrame(out, columns=["node", "n", "elements"])
-                        out = []
-            yield pd.DataFrame(out, columns=["node", "n", "elements"])
-    rows = docs.select(F.col(text_col).alias("text")).mapInPandas(work, "node long, n long, elements binary")
-    return rows.dropDuplicates(["node"])
+                    out.append((node, len(s), make(s)))
+                    held += len(s)
+                    if held > 500_000:
+                        yield pd.DataFrame(out, columns=["node", "n", "data"])
+                        out, held = [], 0
+            yield pd.DataFrame(out, columns=["node", "n", "data"])
+    rows = docs.select(F.col(text_col).alias("text")).mapInPandas(work, "node long, n long, data binary")
+    return rows.join(nodes, "node", "left_semi").dropDuplicates(["node"])
 
 
 def verified(pairs: DataFrame, docs: DataFrame, k: int, rule: Rule, text_col: str) -> DataFrame:
-    """The pairs (a, b) whose whole sets link."""
+    """The pairs (a, b) whose whole sets link.  Each set moves once, and once more for each pair."""
     pairs = cut(pairs.select("a", "b").distinct())
     nodes = cut(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
-    sets = sets_of(docs, nodes, k, text_col)
-    sets = cut(sets.join(nodes, "node", "left_semi"))
-    one = pairs.join(sets.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("elements").alias("eb")), "b")
-    two = one.join(sets.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("elements").alias("ea")), "a")
+    sets = again(docs, nodes, k, text_col, lambda s: s.tobytes())
+    one = pairs.join(sets.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("data").alias("eb")), "b")
+    two = one.join(sets.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("data").alias("ea")), "a")
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -280,10 +286,6 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, rule: Rule, text_col: st
     return two.mapInPandas(work, "a long, b long")
 
 
-def _fold(vec: bytes) -> np.ndarray:
-    return np.frombuffer(vec, np.uint32).astype(np.int64)
-
-
 class Leaves:
     """Points packed by size into leaves with bounding boxes (one level of an R-tree)."""
 
@@ -320,20 +322,21 @@ def _surviving(a: Leaves, b: Leaves, rule: Rule) -> Iterator[tuple[int, int]]:
                 yield int(a.node[ai][x]), int(b.node[bj][y])
 
 
-def across(buckets: DataFrame, roots: DataFrame, points: DataFrame, rule: Rule) -> DataFrame:
+def across(buckets: DataFrame, roots: DataFrame, docs: DataFrame, k: int, rule: Rule, text_col: str) -> DataFrame:
     """Pairs (a, b) of one bucket and different components that the R-tree
     lets through.  Buckets are cut into tiles of TILE members; every pair of
     tiles is one unit of work, so no bucket has to fit a task."""
     rows = buckets.join(roots, "node", "left").select(
         "bucket", "node", F.coalesce("root", "node").alias("comp"), "members")
     mixed = rows.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("bucket")
-    rows = rows.join(mixed, "bucket")
+    rows = cut(rows.join(mixed, "bucket"))
+    points = again(docs, cut(rows.select("node").distinct()), k, text_col, point)
     rows = rows.withColumn("tiles", F.ceil(F.col("members") / TILE).cast("int"))
     rows = rows.withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
     rows = rows.withColumn("other", other).select(
         "bucket", F.least("tile", "other").alias("t"), F.greatest("tile", "other").alias("u"),
-        F.col("tile"), "node", "comp").join(points.select("node", "n", "vec"), "node")
+        F.col("tile"), "node", "comp").join(points, "node")
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = None
@@ -349,7 +352,7 @@ def across(buckets: DataFrame, roots: DataFrame, points: DataFrame, rule: Rule)
     def units(frame: pd.DataFrame, starts) -> Iterator[pd.DataFrame]:
         out: list[tuple[int, int]] = []
         node, comp, n, tile = (frame[c].to_numpy() for c in ("node", "comp", "n", "tile"))
-        vec, t, u = frame["vec"].to_list(), frame["t"].to_numpy(), frame["u"].to_numpy()
+        vec, t, u = frame["data"].to_list(), frame["t"].to_numpy(), frame["u"].to_numpy()
         for a, b in zip(starts[:-1], starts[1:], strict=True):
             if b - a < 2 or (comp[a:b] == comp[a]).all():
                 continue
@@ -394,11 +397,11 @@ def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str
     rule = Rule(num, den)
     rows = cut(described(docs, k, id_col, text_col))
     classes = cut(rows.where("n > 0").groupBy("node", "check", "n").agg(
-        F.min("doc_id").alias("first"), F.first("vec").alias("vec")))
+        F.min("doc_id").alias("first")))
     buckets = cut(gathered(entered(docs, k, rule, text_col)))
     links = cut(verified(hub_pairs(buckets), docs, k, rule, text_col))
     roots = cut(components(links))
-    more = verified(across(buckets, roots, classes, rule), docs, k, rule, text_col)
+    more = verified(across(buckets, roots, docs, k, rule, text_col), docs, k, rule, text_col)
     roots = components(links.union(more))
     home = classes.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
     least = home.groupBy("root").agg(F.min("first").alias("component_id"))
@@ -416,11 +419,11 @@ def keep_first(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_co
     found = join(docs, k, num, den, id_col, text_col)
     first = found.where("root is not null").groupBy("root").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie")).alias("f"))
-    stay = cut(first.select(F.col("f.doc_id").alias("__id"), F.col("f.tie").alias("__tie")))
+    name = lambda c: F.coalesce(c.cast("string"), F.lit("none"))
+    stay = cut(first.select(name(F.col("f.doc_id")).alias("__id"), F.col("f.tie").alias("__tie")))
     blank = ~F.coalesce(F.col(text_col), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    full = docs.where(~blank)
-    kept = full.join(stay, full[id_col].eqNullSafe(stay["__id"]) & (_tie(full[text_col]) == stay["__tie"]), "left_semi")
-    # Rows alike in id and text: one of them, by the hash of all columns.
-    one = Window.partitionBy(id_col, "__tie").orderBy(F.xxhash64(*[F.col(c) for c in docs.columns]))
-    kept = kept.withColumn("__tie", _tie(F.col(text_col))).withColumn("__r", F.row_number().over(one))
+    full = docs.where(~blank).withColumn("__id", name(F.col(id_col))).withColumn("__tie", _tie(F.col(text_col)))
+    # Rows alike in id and text: one of them, by the hash of all columns.  The join's layout serves the window.
+    one = Window.partitionBy("__id", "__tie").orderBy(F.xxhash64(*[F.col(c) for c in docs.columns]))
+    kept = full.join(stay, ["__id", "__tie"], "left_semi").withColumn("__r", F.row_number().over(one))
     return kept.where("__r = 1").select(*docs.columns).unionByName(docs.where(blank))
