@@ -320,7 +320,7 @@ def q_b11(spark, sf):
 # ---------------------------------------------------------------- C: tokens and arrays
 
 def _vocab(spark, sf) -> DataFrame:
-    return TK.build_vocab(S.samples(spark, sf), "tokens", min_count=2)
+    return TK.build_vocab(S.samples(spark, sf), "tokens")
 
 
 def _encoded(spark, sf, vocab: DataFrame | None = None) -> DataFrame:
@@ -580,6 +580,13 @@ def q_d7(spark, sf):
     return D.batches(S.samples(spark, sf), 64).select("sample_id", "batch_id")
 
 
+@register("d7_batches_shuffled", with_ctes("samples") + """
+SELECT sample_id, CAST((row_number() OVER (ORDER BY md5('7:' || sample_id), sample_id) - 1) // 64 AS BIGINT) AS batch_id
+FROM samples""")
+def q_d7_shuffled(spark, sf):
+    return D.batches(S.samples(spark, sf), 64, shuffle=True, seed=7).select("sample_id", "batch_id")
+
+
 @register("d8_token_budget_batches")
 def q_d8(spark, sf):
     s = S.samples(spark, sf).withColumn("n_tokens", F.size("tokens"))

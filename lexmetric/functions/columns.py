@@ -78,18 +78,21 @@ def format_fixed(c, decimals: int = 4) -> Column:
     ``format_number`` without grouping commas).  ``format_string('%.4f')``
     rounds half-up on the shortest decimal form instead, which differs from
     Python and C formatting on decimal ties."""
-    return F.regexp_replace(F.format_number(_col(c), decimals), ",", "")
+    v = _col(c).cast("double")
+    return (F.when(F.isnan(v), F.lit("nan")).when(v == F.lit(float("inf")), F.lit("inf"))
+            .when(v == F.lit(float("-inf")), F.lit("-inf"))
+            .otherwise(F.regexp_replace(F.format_number(v, decimals), ",", "")))
 
 
 def format_exact(c, decimals: int = 3) -> Column:
     """Python's ``'%.{decimals}f' % x`` exactly (correct rounding of the
-    binary value).  An Arrow-batched helper for small report tables; the
+    binary value); a missing value prints as ``nan``.  An Arrow-batched helper for small report tables; the
     per-row path is ``format_fixed``."""
     fmt = f"%.{decimals}f"
 
     @F.pandas_udf("string")
     def fixed(v: pd.Series) -> pd.Series:
-        return v.map(lambda x: None if pd.isna(x) else fmt % x)
+        return v.map(lambda x: "nan" if pd.isna(x) else fmt % x)
 
     return fixed(_col(c).cast("double"))
 

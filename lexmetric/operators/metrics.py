@@ -8,7 +8,7 @@ overall row of a per-code table is a grouping set, labelled with
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexmetric.functions.columns import exact, format_exact, partial_accuracy
@@ -171,16 +171,19 @@ def epoch_loss(log: DataFrame) -> DataFrame:
 def ensemble_logprob(cands: DataFrame, group: list[str], lprob: str = "lprob") -> DataFrame:
     """Log-mean-exp of log-probs over models, per group.
 
-    ``m + ln(sum(exp(lp - m))) - ln(count)`` with ``m`` the group max.  The
-    max is a partial aggregate joined back on the group key (a hot group is
-    split by AQE's skew join), then a second partial aggregate.
+    ``m + ln(sum(exp(lp - m))) - ln(count)`` with ``m`` the group max; a group
+    of nothing but ``-inf`` stays ``-inf``.  A group has a row per model, so
+    the max is a window over the very shuffle the sum needs, and null keys are
+    groups like any other.
     """
-    m = cands.groupBy(*group).agg(F.max(lprob).alias("_m"))
-    return (cands.join(m, group)
-            .groupBy(*group)
-            .agg((F.first("_m") + F.log(F.sum(F.exp(F.col(lprob) - F.col("_m"))))
-                  - F.log(F.count(F.lit(1)).cast("double"))).alias("ensemble_lprob"),
-                 F.count(F.lit(1)).alias("n_models")))
+    w = Window.partitionBy(*group)
+    rows = cands.select(*group, F.col(lprob).alias("_lp"), F.max(lprob).over(w).alias("_m"))
+    m = F.first("_m")
+    return rows.groupBy(*group).agg(
+        F.when(m == F.lit(float("-inf")), m).otherwise(
+            m + F.log(F.sum(F.exp(F.col("_lp") - F.col("_m")))) - F.log(F.count(F.lit(1)).cast("double"))
+        ).alias("ensemble_lprob"),
+        F.count(F.lit(1)).alias("n_models"))
 
 
 def mean_attention(attn: DataFrame) -> DataFrame:

@@ -114,10 +114,9 @@ def finished_quota(hyps: DataFrame, beam: int, max_len: int, key: str = "sample_
     rank) order; ``done_step`` is the step of the ``beam``-th one, else
     ``max_len``."""
     kept = group_top_k(hyps, key, [F.asc(step), F.asc(rank)], beam, "finish_order")
-    done = kept.groupBy(key).agg(
-        F.max(F.when(F.col("finish_order") == beam, F.col(step))).alias("_d"))
-    return kept.join(done, key).withColumn(
-        "done_step", F.coalesce(F.col("_d"), F.lit(max_len)).cast("long")).drop("_d")
+    # At most ``beam`` rows a sample are left, so a window over them is bounded.
+    done = F.max(F.when(F.col("finish_order") == beam, F.col(step))).over(Window.partitionBy(key))
+    return kept.withColumn("done_step", F.coalesce(done, F.lit(max_len)).cast("long"))
 
 
 def position_scores(df: DataFrame, key: str, order: list[str], cumulative: str = "cum_score",
@@ -145,13 +144,13 @@ def log_softmax(cands: DataFrame, group: list[str], temperature: float = 1.0,
     """``x/T - m - ln(sum(exp(x/T - m)))`` within each group."""
     if not temperature > 0:
         raise ValueError("temperature must be greater than 0")
+    # A group is one score table, bounded by the vocabulary: one shuffle, null keys kept.
+    w = Window.partitionBy(*group)
     scaled = cands.withColumn("_x", F.col(logit) / F.lit(float(temperature)))
-    stats = scaled.groupBy(*group).agg(F.max("_x").alias("_m"))
-    z = (scaled.join(stats, group).groupBy(*group)
-         .agg(F.first("_m").alias("_m2"), F.log(F.sum(F.exp(F.col("_x") - F.col("_m")))).alias("_lse")))
-    return (scaled.join(z, group)
-            .withColumn(out, F.col("_x") - F.col("_m2") - F.col("_lse"))
-            .drop("_x", "_m2", "_lse"))
+    scaled = scaled.withColumn("_m", F.max("_x").over(w))
+    return (scaled.withColumn("_lse", F.log(F.sum(F.exp(F.col("_x") - F.col("_m"))).over(w)))
+            .withColumn(out, F.col("_x") - F.col("_m") - F.col("_lse"))
+            .drop("_x", "_m", "_lse"))
 
 
 def constrain_scores(cands: DataFrame, pad: int, unk: int, eos: int,

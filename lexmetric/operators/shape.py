@@ -7,6 +7,7 @@ from collections.abc import Callable, Sequence
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lexmetric.operators.sequence import with_position
 
@@ -41,8 +42,9 @@ def localize(df: DataFrame, memory: DataFrame, source: str = SOURCE_LANGUAGE,
     is_source = F.col(language).eqNullSafe(F.lit(source))
     # The memory grows with the corpus (one row per text and language) and
     # its static size estimate is far below its real size: never broadcast.
-    mem = memory.select(F.col("src_text").alias("_src"), F.col("language").alias("_lang"),
-                        F.col("translated").alias("_tr")).hint("merge")
+    # Several translations of one text: the smallest, so no sample is doubled.
+    mem = memory.groupBy(F.col("src_text").alias("_src"), F.col("language").alias("_lang")).agg(
+        F.min("translated").alias("_tr")).hint("merge")
     others = df.filter(~is_source)
     joined = others.join(mem, (F.col(text) == F.col("_src")) & (F.col(language) == F.col("_lang")),
                          "left")
@@ -81,12 +83,13 @@ def replicate(df: DataFrame, k: int, copy: str = "copy") -> DataFrame:
 
 
 def batches(df: DataFrame, size: int, order: str | None = "pos", shuffle: bool = False,
-            seed: int = 0, batch: str = "batch_id") -> DataFrame:
+            seed: int = 0, batch: str = "batch_id", key: str = "sample_id") -> DataFrame:
     """Batch ids over the order (or a seeded shuffle); the last batch may
     be short.  Positions come from D4, never a global window."""
     if shuffle:
-        keyed = df.withColumn("_r", F.rand(seed)).withColumn("_h", F.xxhash64(*df.columns))
-        ranked = with_position(keyed, ["_r", "_h"], name="_bpos").drop("_r", "_h")
+        # The order hangs on seed and key alone, not on the rows' layout.
+        draw = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit("null"))))
+        ranked = with_position(df.withColumn("_r", draw), ["_r", key], name="_bpos").drop("_r")
         return ranked.withColumn(batch, F.floor(F.col("_bpos") / size).cast("long")).drop("_bpos")
     return df.withColumn(batch, F.floor(F.col(order) / size).cast("long"))
 
@@ -123,7 +126,7 @@ def token_budget_batches(df: DataFrame, max_tokens: int, max_sentences: int,
         b = pdf["_bucket"].astype(str) + "-" + pdf["_shard"].astype(str) + "-"
         return pd.DataFrame({key: pdf[key].values, batch: (b + pd.Series(ids, index=pdf.index).astype(str)).values})
 
-    schema = f"{key} long, {batch} string"
+    schema = T.StructType([T.StructField(key, df.schema[key].dataType), T.StructField(batch, T.StringType())])
     packed = staged.groupBy("_bucket", "_shard").applyInPandas(pack, schema)
     return df.join(packed, key)
 

@@ -110,23 +110,26 @@ def decode(df: DataFrame, vocab: DataFrame, ids: str = "ids", out: str = "decode
            eos: int = EOS, unk: int = UNK, keep: Sequence[str] | None = None) -> DataFrame:
     """Ids -> space-joined text.
 
-    ``skip_specials`` drops every special id.  Otherwise specials stay except
-    eos, and with ``escape_unk`` the unknown id prints as ``<<unk>>``.
+    ``skip_specials`` drops every id the vocabulary marks as special, added
+    ones included.  Otherwise specials stay except eos, and with ``escape_unk``
+    the unknown id prints as ``<<unk>>``.  An id outside the vocabulary prints
+    as the unknown token, so it never makes a wrong sequence look right.
     """
-    if skip_specials:
-        keep_id = lambda x: ~x.isin(*range(len(SPECIALS)))
-    else:
-        keep_id = lambda x: x != F.lit(eos)
+    keep_id = lambda x: F.lit(True) if skip_specials else x != F.lit(eos)
 
     def render(x, tok):
-        if escape_unk and not skip_specials:
-            return F.when(x == F.lit(unk), F.lit(UNK_ESCAPED)).otherwise(tok)
-        return tok
+        unknown = F.lit(UNK_ESCAPED if escape_unk and not skip_specials else SPECIALS[unk])
+        shown = F.when(x.isNotNull() & tok.isNull(), unknown).otherwise(tok)
+        if skip_specials:
+            return F.when(~F.coalesce(F.col("is_special"), F.lit(False)), shown)
+        if escape_unk:
+            return F.when(x == F.lit(unk), unknown).otherwise(shown)
+        return shown
 
     carry = list(keep or [])
     exploded = df.select(key, *carry,
                          F.posexplode_outer(F.filter(F.col(ids), keep_id)).alias("_p", "token_id"))
-    joined = exploded.join(broadcast_if_small(vocab.select("token_id", "token")), "token_id", "left")
+    joined = exploded.join(broadcast_if_small(vocab.select("token_id", "token", "is_special")), "token_id", "left")
     toks = _ordered_values(joined, key, "_p",
                            render(F.col("token_id"), F.col("token")), "_toks", carry)
     toks = toks.select(key, *carry, F.array_join("_toks", " ").alias(out))
@@ -230,9 +233,13 @@ def banned_next_tokens(df: DataFrame, n: int, tokens: str = "tokens",
 
 
 def ban_tokens(cands: DataFrame, banned: DataFrame, key: str = "sample_id",
-               token: str = "token") -> DataFrame:
-    """C14: drop candidate tokens that are banned for their sample (left anti)."""
-    return cands.join(banned.select(key, F.col("token").alias(token)), [key, token], "left_anti")
+               token: str = "token", score: str = "lprob") -> DataFrame:
+    """C14: candidates banned for their sample score ``-inf``; no row is dropped."""
+    marks = banned.select(F.col(key).alias("_bk"), F.col("token").alias("_bt")).distinct()
+    hit = F.col(key).eqNullSafe(F.col("_bk")) & (F.col(token) == F.col("_bt"))
+    return cands.join(marks, hit, "left").withColumn(
+        score, F.when(F.col("_bt").isNotNull(), F.lit(float("-inf"))).otherwise(F.col(score))
+    ).drop("_bk", "_bt")
 
 
 def expand_prefixes(df: DataFrame, src: str = "src_tokens", tgt: str = "tgt_tokens",

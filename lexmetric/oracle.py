@@ -80,8 +80,7 @@ CTES: dict[str, str] = {
         UNION ALL
         SELECT CAST(row_number() OVER (ORDER BY n DESC, token) + 3 AS INTEGER), token, n, false
         FROM (SELECT token, count(*) AS n FROM (SELECT unnest(tokens) AS token FROM samples)
-              GROUP BY token HAVING count(*) >= 2
-                 AND token NOT IN ('<s>', '<pad>', '</s>', '<unk>'))""",
+              GROUP BY token HAVING token NOT IN ('<s>', '<pad>', '</s>', '<unk>'))""",
     "exploded": """
         SELECT sample_id, unnest(tokens) AS token, generate_subscripts(tokens, 1) AS p FROM samples""",
     "encoded": """

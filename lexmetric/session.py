@@ -62,6 +62,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str | None:
     if configured:
         sc.setCheckpointDir(configured)
         return sc.getCheckpointDir() or configured
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and every executor can reach")
     local = tempfile.mkdtemp(prefix="lexmetric-ckpt-")
     sc.setCheckpointDir(local)
     return sc.getCheckpointDir() or local

@@ -26,21 +26,14 @@ def test_expand_multiplies_by_six(spark):
     assert _expanded_fixture(spark, 100).count() == 600
 
 
-def test_rotating_sample_matches_restated_loop(spark):
+def test_rotating_sample_keeps_the_language_on_duty(spark):
     exp = _expanded_fixture(spark, 600)
     kept = D.rotating_sample(exp).collect()
-    # Restated loop over 3600 rows in order (the reference's sampler).
-    langs = list(D.LANGUAGES)
-    rows = sorted(exp.collect(), key=lambda r: r.pos)
-    keep, lang_id = [], 0
-    for i, r in enumerate(rows):
-        if i % 6 + 1 == 6:
-            lang_id += 1
-        if lang_id == 6:
-            lang_id = 0
-        if r.language == langs[lang_id]:
-            keep.append(r.pos)
-    assert sorted(r.pos for r in kept) == keep
+    # Seven samples by hand: positions 0-4 fall to the first language, 5-10 to the
+    # second and so on, so the duty changes one row before each sample ends; the
+    # fifth sample meets its language twice and the sixth not at all.
+    first = {(r.sample_id, r.pos) for r in kept if r.sample_id < 7}
+    assert first == {(0, 0), (1, 7), (2, 14), (3, 21), (4, 28), (4, 29), (6, 36)}
     assert len(kept) == 600
     per_lang = {}
     for r in kept:
