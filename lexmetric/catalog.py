@@ -303,7 +303,7 @@ def q_b9(spark, sf):
 SELECT sample_id, CAST(len(tokens) AS INTEGER) AS src_len FROM samples""")
 def q_b10(spark, sf):
     enc = _encoded(spark, sf).withColumn("ids", C.append_token("ids", TK.EOS))
-    enc = TK.pad(enc, "ids", TK.PAD)
+    enc = TK.pad(enc, "ids", TK.PAD, length=512)
     return enc.select("sample_id", C.source_length("ids", TK.PAD, TK.EOS).alias("src_len"))
 
 
@@ -357,29 +357,28 @@ def q_c3(spark, sf):
 
 
 @register("c4_pad", with_ctes("encoded") + """
-SELECT sample_id, CAST(max(len(ids)) OVER () AS INTEGER) AS padded_len,
-       CAST(max(len(ids)) OVER () - len(ids) AS INTEGER) AS n_pad
+SELECT sample_id, CAST(greatest(len(ids), 512) AS INTEGER) AS padded_len,
+       md5(array_to_string(list_concat(ids, list_transform(range(greatest(512 - len(ids), 0)), lambda x: 1)), ',')) AS padded
 FROM encoded""")
 def q_c4(spark, sf):
-    padded = TK.pad(_encoded(spark, sf).withColumn("n_orig", F.size("ids")), "ids", TK.PAD, out="padded")
+    padded = TK.pad(_encoded(spark, sf), "ids", TK.PAD, out="padded", length=512)
     return padded.select("sample_id", F.size("padded").alias("padded_len"),
-                         (F.size("padded") - F.col("n_orig")).alias("n_pad"))
+                         F.md5(C.ids_to_string("padded", ",")).alias("padded"))
 
 
 @register("c5_strip_pad", with_ctes("encoded") + "SELECT sample_id, ids FROM encoded")
 def q_c5(spark, sf):
-    padded = TK.pad(_encoded(spark, sf), "ids", TK.PAD)
+    padded = TK.pad(_encoded(spark, sf), "ids", TK.PAD, length=512)
     return padded.select("sample_id", C.strip_pad("ids", TK.PAD).alias("ids"))
 
 
 @register("c6_padding_mask", with_ctes("encoded") + """
-SELECT sample_id, CAST(max(len(ids)) OVER () AS INTEGER) AS mask_len,
-       CAST(max(len(ids)) OVER () - len(ids) AS INTEGER) AS n_masked
+SELECT sample_id, repeat('0', len(ids)) || repeat('1', greatest(512 - len(ids), 0)) AS mask
 FROM encoded""")
 def q_c6(spark, sf):
-    padded = TK.pad(_encoded(spark, sf), "ids", TK.PAD).withColumn("mask", C.padding_mask("ids", TK.PAD))
-    return padded.select("sample_id", F.size("mask").alias("mask_len"),
-                         F.size(F.filter("mask", lambda m: m)).alias("n_masked"))
+    padded = TK.pad(_encoded(spark, sf), "ids", TK.PAD, length=512).withColumn("mask", C.padding_mask("ids", TK.PAD))
+    return padded.select("sample_id", F.array_join(F.transform(
+        "mask", lambda m: F.when(m, "1").otherwise("0")), "").alias("mask"))
 
 
 @register("c7_decode", with_ctes("samples", "vocab", "exploded") + """
@@ -406,33 +405,30 @@ def q_c7b(spark, sf):
 
 
 @register("c8_edit_tokens", with_ctes("samples") + """
-SELECT sample_id, CAST(len(tokens) + 1 AS INTEGER) AS n_appended,
-       CAST(greatest(len(tokens) - 1, 0) AS INTEGER) AS n_dropped_first,
+SELECT sample_id, md5(array_to_string(list_concat(tokens, ['<sep>']), ' ')) AS appended,
+       md5(coalesce(array_to_string(list_slice(tokens, 2, len(tokens)), ' '), '')) AS dropped_first,
        list_slice(tokens, 1, 3) AS prefix3,
-       CAST(greatest(len(tokens) - 2, 0) AS INTEGER) AS n_from_offset2,
-       list_slice(tokens, 2, 2) AS second
+       md5(coalesce(array_to_string(list_slice(tokens, 3, len(tokens)), ' '), '')) AS from_offset2
 FROM samples""")
 def q_c8(spark, sf):
     s = S.samples(spark, sf)
-    return s.select("sample_id", F.size(C.append_token("tokens", "<sep>")).alias("n_appended"),
-                    F.size(C.drop_first("tokens")).alias("n_dropped_first"),
+    digest = lambda c: F.md5(F.array_join(c, " "))
+    return s.select("sample_id", digest(C.append_token("tokens", "<sep>")).alias("appended"),
+                    digest(C.drop_first("tokens")).alias("dropped_first"),
                     C.take_prefix("tokens", 3).alias("prefix3"),
-                    F.size(C.from_offset("tokens", 2)).alias("n_from_offset2"),
-                    F.slice(C.drop_first("tokens"), 1, 1).alias("second"))
+                    digest(C.from_offset("tokens", 2)).alias("from_offset2"))
 
 
 @register("c9_collate", with_ctes("encoded") + """
 , b AS (SELECT sample_id, pos // 64 AS batch_id, list_concat(ids, [2]) AS ids FROM encoded)
-SELECT sample_id, batch_id, CAST(max(len(ids)) OVER (PARTITION BY batch_id) AS INTEGER) AS padded_len,
-       2 AS first_id, CAST(max(len(ids)) OVER (PARTITION BY batch_id) - len(ids) AS INTEGER) AS n_pad
-FROM b""")
+, m AS (SELECT *, max(len(ids)) OVER (PARTITION BY batch_id) AS widest FROM b)
+SELECT sample_id, batch_id, md5(array_to_string(list_concat([2], list_slice(ids, 1, len(ids) - 1),
+       list_transform(range(widest - len(ids)), lambda x: 1)), ',')) AS row_ids
+FROM m""")
 def q_c9(spark, sf):
     enc = D.batches(_encoded(spark, sf), 64).withColumn("ids", C.append_token("ids", TK.EOS))
-    enc = enc.withColumn("n_orig", F.size("ids"))
     col = TK.collate(enc, "ids", "batch_id", TK.PAD, TK.EOS, move_eos_to_front=True)
-    return col.select("sample_id", "batch_id", F.size("ids").alias("padded_len"),
-                      F.element_at("ids", 1).alias("first_id"),
-                      (F.size("ids") - F.col("n_orig")).alias("n_pad"))
+    return col.select("sample_id", "batch_id", F.md5(C.ids_to_string("ids", ",")).alias("row_ids"))
 
 
 @register("c10_unknown_markers", with_ctes("vocab") + """

@@ -17,6 +17,11 @@ from pyspark.sql import functions as F
 # Written so that Java regex and RE2 read it the same way.
 WS_CLASS = r"[\t\n\x0B\f\r ]"
 
+# Fixed value: every character that counts as white space at the ends of a
+# text (Python's str.strip set), in a form Java regex and RE2 both read.
+STRIP_CLASS = (r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
+               r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]")
+
 
 def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -25,8 +30,8 @@ def _col(c) -> Column:
 def strip_text(c) -> Column:
     """B2: trim all whitespace at both ends (Spark ``trim`` drops spaces only)."""
     c = _col(c)
-    return F.regexp_replace(F.regexp_replace(c, "^" + WS_CLASS + "+", ""),
-                            WS_CLASS + r"+\z", "")
+    return F.regexp_replace(F.regexp_replace(c, "^" + STRIP_CLASS + "+", ""),
+                            STRIP_CLASS + r"+\z", "")
 
 
 def words(c) -> Column:

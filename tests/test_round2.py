@@ -72,3 +72,10 @@ def test_token_budget_with_text_keys(spark):
 def test_size_check_sees_array_elements(spark):
     vectors = spark.range(100).select(F.array_repeat(F.lit(1.0), 1024).alias("v"))
     assert estimated_bytes(vectors) > 100 * 1024 * 8
+
+
+def test_strip_knows_every_white_space_character(spark):
+    import sys
+    spaces = [chr(i) for i in range(sys.maxunicode + 1) if chr(i).isspace()]
+    df = spark.createDataFrame([(c + "a" + c + "b" + c,) for c in spaces], "t string")
+    assert [r[0] for r in df.select(C.strip_text("t")).collect()] == ["a" + c + "b" for c in spaces]
