@@ -29,8 +29,10 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 #: Labelled sample for training: at most so many documents (smallest hashed ids).
 TRAIN_DOCS = 2000
+#: Weight of the back-off distribution in a row, as so many steps.
+BACK_OFF = 20.0
 #: Least mean log-likelihood ratio per character step (nats).
-MIN_RATIO = 0.8
+MIN_RATIO = 1.5
 
 _SPAN = "array<struct<start:bigint,rank:int,end:bigint,kind:string>>"
 
@@ -100,16 +102,20 @@ def labelled_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def train(strings: DataFrame) -> list[float]:
     """Log-likelihood ratios random : plain for every character step, row major
-    over ``ALPHABET``, add-one smoothed.  Bounded by the alphabet's square."""
+    over ``ALPHABET``; each row backs off to how often a character occurs at all
+    (add-one).  Bounded by the alphabet's square."""
     n = len(ALPHABET)
     at = {c: i for i, c in enumerate(ALPHABET)}
-    counts = {"random": [1.0] * (n * n), "plain": [1.0] * (n * n)}
+    counts = {"random": [0.0] * (n * n), "plain": [0.0] * (n * n)}
     for r in transitions(strings).where(
             F.col("a").isin(*ALPHABET) & F.col("b").isin(*ALPHABET)).collect():
         counts[r["label"]][at[r["a"]] * n + at[r["b"]]] += r["n"]
     logs = {}
     for label, table in counts.items():
-        logs[label] = [math.log(table[i * n + j] / sum(table[i * n:(i + 1) * n]))
+        ends = [1.0 + sum(table[j::n]) for j in range(n)]
+        total = sum(ends)
+        logs[label] = [math.log((table[i * n + j] + BACK_OFF * ends[j] / total)
+                                / (sum(table[i * n:(i + 1) * n]) + BACK_OFF))
                        for i in range(n) for j in range(n)]
     return [a - b for a, b in zip(logs["random"], logs["plain"], strict=True)]
 
