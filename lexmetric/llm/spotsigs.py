@@ -137,18 +137,16 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                        F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     n = n_buckets or 2 * partitions(docs)
     cuts = rows.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n + 1)], 100 * n)
-                    .alias("q"), F.max("doc_id").alias("top"),
-                    F.count(F.when(F.col("doc_id").isNull(), 1)).alias("nulls")).first()
+                    .alias("q"), F.max("doc_id").alias("top")).first()
     bounds = sorted({int(x) for x in (cuts["q"] or [])} | ({int(cuts["top"])} if cuts["top"] is not None else set()))
-    # Bucket 0 holds null ids, bucket k ids up to bounds[k - 1].
+    # Bucket k holds the ids up to bounds[k - 1], the first one null ids as well.
     if bounds:
         above = F.array(*[F.lit(b).cast("long") for b in bounds])
-        mine = F.when(F.col("doc_id").isNull(), 0).otherwise(
+        mine = F.when(F.col("doc_id").isNull(), 1).otherwise(
             F.size(F.filter(above, lambda b: b < F.col("doc_id"))) + 1)
         is_bound = F.coalesce(F.array_contains(above, F.col("doc_id")), F.lit(False))
         # The largest id closes the circle below the smallest bucket.
-        last = F.lit(0 if cuts["nulls"] else 1)
-        target = F.when(F.col("doc_id") == bounds[-1], last).otherwise(F.col("bucket") + 1)
+        target = F.when(F.col("doc_id") == bounds[-1], F.lit(1)).otherwise(F.col("bucket") + 1)
     else:
         mine, is_bound, target = F.lit(0), F.lit(False), F.lit(0)
     placed = rows.withColumn("bucket", mine.cast("int"))
