@@ -15,6 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexmetric.functions.columns import STRIP_CLASS
 from lexmetric import functions as C
 from lexmetric import standins as S
 from lexmetric.operators import metrics as E
@@ -96,9 +97,10 @@ A3_SQL = with_ctes("localized") + r"""
     FROM localized)
 SELECT parts[1] AS idx, parts[2] AS text, parts[3] AS label, parts[4] AS sem_type,
        parts[5] AS language
-FROM (SELECT value, string_split(value, chr(9)) AS parts FROM lines)
+FROM (SELECT string_split(value, chr(9)) AS parts, value
+      FROM (SELECT regexp_replace(regexp_replace(value, '^@WS+', ''), '@WS+\z', '') AS value FROM lines))
 WHERE len(parts) = 5 AND value <> 'idx' || chr(9) || 'text' || chr(9) || 'label' || chr(9)
-      || 'sem_type' || chr(9) || 'language'"""
+      || 'sem_type' || chr(9) || 'language'""".replace("@WS", STRIP_CLASS)
 
 
 @register("a3_read_strict_tsv", A3_SQL)
@@ -109,6 +111,17 @@ def q_a3(spark, sf):
     return good
 
 
+@register("a3_quarantined_lines", A3_SQL.split("SELECT parts[1]")[0] + """
+SELECT value AS raw, CAST(len(string_split(value, chr(9))) AS INTEGER) AS n_fields
+FROM (SELECT regexp_replace(regexp_replace(value, '^@WS+', ''), '@WS+\\z', '') AS value FROM lines)
+WHERE len(string_split(value, chr(9))) <> 5""".replace("@WS", STRIP_CLASS))
+def q_a3_bad(spark, sf):
+    path = shared_dir(spark, "a3") + "/gen_translated.tsv"
+    A.write_plain_tsv(_localized(spark, sf).withColumnRenamed("pos", "idx"), path)
+    _good, bad = A.read_strict_tsv(spark, path)
+    return bad
+
+
 @register("a4_scan_dir", with_ctes("localized") + """
 SELECT pos AS idx, text, label, sem_type, language FROM localized""")
 def q_a4(spark, sf):
@@ -146,7 +159,7 @@ def q_a7(spark, sf):
     path = shared_dir(spark, "a7") + "/gen_translated.tsv"
     A.write_samples(_localized(spark, sf), path)
     schema = "_c0 STRING, text STRING, label STRING, sem_type STRING, language STRING"
-    return (spark.read.schema(schema).options(**A._TSV).option("header", "true").csv(path))
+    return (spark.read.schema(schema).options(**A._TSV_READ).option("header", "true").csv(path))
 
 
 @register("a8_prediction_batches", with_ctes("preds") + """
@@ -288,7 +301,7 @@ def q_b8(spark, sf):
 @register("b9_output_length_limit", with_ctes("samples") + """
 , l AS (SELECT sample_id, pos // 64 AS batch_id, len(tokens) AS src_len FROM samples)
 SELECT sample_id, CAST(least(floor(1.5 * src_len + 10), 1023) AS BIGINT) AS max_len,
-       CAST(least(floor(1.5 * max(src_len) OVER (PARTITION BY batch_id) + 10), 1023) AS BIGINT) AS match_max_len
+       CAST(max(src_len) OVER (PARTITION BY batch_id) AS BIGINT) AS match_max_len
 FROM l""")
 def q_b9(spark, sf):
     s = D.batches(S.samples(spark, sf), 64).withColumn("src_len", F.size("tokens"))
@@ -296,7 +309,7 @@ def q_b9(spark, sf):
     s = s.join(batch_max, "batch_id")
     return s.select("sample_id",
                     C.output_length_limit("src_len", 1.5, 10, 1024, min_len=1).alias("max_len"),
-                    C.output_length_limit("_bm", 1.5, 10, 1024).alias("match_max_len"))
+                    C.output_length_limit("_bm", 1.5, 10, 1024, match=True).alias("match_max_len"))
 
 
 @register("b10_source_length", with_ctes("samples") + """
@@ -512,12 +525,12 @@ def q_c14c(spark, sf):
 
 @register("c15_expand_prefixes", with_ctes("samples") + """
 SELECT sample_id, prefix_len,
-       list_concat([language, sem_type], list_slice(tokens, greatest(prefix_len - 3, 1), prefix_len)) AS tokens
+       list_concat(list_concat([language, sem_type], list_slice(tokens, greatest(prefix_len - 2, 1), prefix_len)), ['</s>']) AS tokens
 FROM (SELECT sample_id, language, sem_type, tokens, CAST(unnest(range(1, len(tokens) + 1)) AS INTEGER) AS prefix_len
       FROM samples WHERE len(tokens) > 0)""")
 def q_c15(spark, sf):
     s = S.samples(spark, sf).withColumn("src_tokens", F.array("language", "sem_type"))
-    return TK.expand_prefixes(s, "src_tokens", "tokens", horizon=3)
+    return TK.expand_prefixes(s, "src_tokens", "tokens", horizon=3, end="</s>")
 
 
 # ---------------------------------------------------------------- D: joins and shaping
@@ -713,11 +726,11 @@ def q_e11(spark, sf):
 
 
 @register("e11_code_accuracy_line", with_ctes("scored") + """
-, t AS (SELECT code, sum(correct) / count(*) AS accuracy FROM scored GROUP BY code)
-SELECT 'Code type Accuracy : ' || string_agg(coalesce(code, 'None') || ' : ' || CAST(accuracy AS VARCHAR), '  ;  ' ORDER BY code NULLS FIRST) AS line
+, t AS (SELECT code, sum(correct) / count(*) AS accuracy, min(pos) AS first_pos FROM scored GROUP BY code)
+SELECT 'Code type Accuracy : ' || string_agg(coalesce(code, 'None') || ' : ' || CAST(accuracy AS VARCHAR), '  ;  ' ORDER BY first_pos) AS line
 FROM t""")
 def q_e11b(spark, sf):
-    return E.code_accuracy_line(E.accuracy_by_code(S.scored(spark, sf)))
+    return E.code_accuracy_line(E.accuracy_by_code(S.scored(spark, sf), pos="pos"))
 
 
 # Losses carry two decimals, so their sums rounded to 6 decimals are exact on
@@ -870,9 +883,9 @@ def q_f6(spark, sf):
 , top AS (SELECT *, CAST(row_number() OVER (PARTITION BY sample_id, step ORDER BY lprob DESC, token_id, model)
                          AS INTEGER) AS cand_rank FROM cands QUALIFY cand_rank <= 4)
 SELECT sample_id, step, token_id, model, lprob, cand_rank,
-       token_id = 2 AND cand_rank <= 2 AND lprob <> '-inf'::DOUBLE AS finished,
-       token_id <> 2 AND row_number() OVER (PARTITION BY sample_id, step, token_id = 2 ORDER BY cand_rank) <= 2 AS active
-FROM top""")
+       is_end AND cand_rank <= 2 AS finished,
+       NOT is_end AND row_number() OVER (PARTITION BY sample_id, step, is_end ORDER BY cand_rank) <= 2 AS active
+FROM (SELECT *, token_id = 2 AND lprob <> '-inf'::DOUBLE AS is_end FROM top)""")
 def q_f7(spark, sf):
     out = R.top_candidates(S.candidates(spark, sf), 2, ["sample_id", "step"], TK.EOS, tie=("model",))
     return out.select("sample_id", "step", "token_id", "model", "lprob", "cand_rank", "finished", "active")

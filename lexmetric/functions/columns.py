@@ -55,10 +55,13 @@ def list_repr(c) -> Column:
 
 
 def output_length_limit(src_len, a: float, b: float, cap: int,
-                        min_len: int | None = None) -> Column:
-    """``min(int(a*src_len + b), cap - 1)``; fails the task below ``min_len``."""
-    limit = F.least(F.floor(F.lit(float(a)) * _col(src_len) + F.lit(float(b))),
-                    F.lit(cap - 1).cast("long"))
+                        min_len: int | None = None, match: bool = False) -> Column:
+    """``min(int(a*src_len + b), cap - 1)``; fails the task below ``min_len``.
+
+    With ``match`` the limit is ``src_len`` itself (give the batch's longest
+    source): output as long as input, no factor and no cap."""
+    limit = _col(src_len).cast("long") if match else F.least(
+        F.floor(F.lit(float(a)) * _col(src_len) + F.lit(float(b))), F.lit(cap - 1).cast("long"))
     if min_len is None:
         return limit
     return F.when(F.assert_true(limit >= F.lit(min_len),

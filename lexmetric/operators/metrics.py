@@ -32,10 +32,13 @@ def exact_match(df: DataFrame, hyp: str = "generated", ref: str = "label") -> Da
                   F.count(F.lit(1)).alias("n"))
 
 
-def accuracy_by_code(df: DataFrame, code: str = "code", correct: str = "correct") -> DataFrame:
-    """Correct and total per code, and their ratio."""
+def accuracy_by_code(df: DataFrame, code: str = "code", correct: str = "correct",
+                     pos: str | None = None) -> DataFrame:
+    """Correct and total per code, and their ratio; with ``pos`` also
+    ``first_pos``, the first position where the code appears."""
+    first = [F.min(pos).alias("first_pos")] if pos else []
     return (df.groupBy(code)
-            .agg(F.sum(correct).cast("long").alias("n_correct"), F.count(F.lit(1)).alias("n"))
+            .agg(F.sum(correct).cast("long").alias("n_correct"), F.count(F.lit(1)).alias("n"), *first)
             .withColumn("accuracy", F.col("n_correct") / F.col("n")))
 
 
@@ -153,11 +156,14 @@ def report_lines(summary: DataFrame) -> DataFrame:
 
 def code_accuracy_line(by_code: DataFrame, code: str = "code") -> DataFrame:
     """``Code type Accuracy : a : 0.5  ;  b : 1.0`` (one row; its length
-    is bounded by the number of codes)."""
+    is bounded by the number of codes).  Codes come in order of ``first_pos``
+    when the table has it (see ``accuracy_by_code``), else by code."""
+    # Fixed values here and in report_lines: the shapes of the report's lines.
+    by = [F.col(c) for c in ("first_pos",) if c in by_code.columns] + [F.col(code).alias("k")]
     item = F.concat(F.coalesce(F.col(code).cast("string"), F.lit("None")), F.lit(" : "),
                     F.col("accuracy").cast("string"))
     return by_code.agg(F.concat(F.lit("Code type Accuracy : "), F.array_join(
-        F.transform(F.array_sort(F.collect_list(F.struct(F.col(code).alias("k"), item.alias("s")))),
+        F.transform(F.array_sort(F.collect_list(F.struct(*by, item.alias("s")))),
                     lambda s: s["s"]), "  ;  ")).alias("line"))
 
 

@@ -17,7 +17,7 @@ from lexmetric.operators.sequence import group_top_k, running
 NEG_INF = float("-inf")
 
 
-def running_loss(log: DataFrame, strategy: str = "auto") -> DataFrame:
+def running_loss(log: DataFrame, strategy: str = "chunked") -> DataFrame:
     """running mean of the loss within an epoch (per run and split), with
     the running sum and count it is made of."""
     out = running(log, ["run", "split", "epoch"], ["step"],
@@ -28,7 +28,7 @@ def running_loss(log: DataFrame, strategy: str = "auto") -> DataFrame:
 
 def running_accuracy(df: DataFrame, code: str = "code", batch: str = "batch_id",
                      correct: str = "correct", partial: str = "partial",
-                     strategy: str = "auto") -> DataFrame:
+                     strategy: str = "chunked") -> DataFrame:
     """full and partial accuracy so far after each batch, per code and
     overall (``key = 'average'``).  Aggregate per (code, batch) first, then a
     running sum over batches -- linear, where the reference re-averages its
@@ -72,7 +72,7 @@ def n_best(hyps: DataFrame, n: int, rank: str = "rank") -> DataFrame:
 
 def rank_hypotheses(hyps: DataFrame, score: str = "score", key: str = "sample_id",
                     tie: tuple[str, ...] = ("beam",), top: int | None = None,
-                    rank: str = "rank", strategy: str = "auto") -> DataFrame:
+                    rank: str = "rank", strategy: str = "chunked") -> DataFrame:
     """rank per sample by score descending, ties by ``tie`` ascending.
 
     With ``top`` only the best ``top`` rows are kept and ranked
@@ -92,14 +92,15 @@ def top_candidates(cands: DataFrame, beam: int, group: list[str], eos: int,
                    tie: tuple[str, ...] = ()) -> DataFrame:
     """per group the ``2 * beam`` best candidates, each tagged
 
-    * ``finished``: eos within the first ``beam`` with a finite score;
-    * ``active``: among the first ``beam`` candidates that are not eos;
+    * ``finished``: eos within the first ``beam`` with a score above ``-inf``;
+    * ``active``: among the first ``beam`` candidates that end nothing, an eos
+      of score ``-inf`` included (it may fill a slot like any other token);
     * neither: kept for the record with both flags false.
     """
     order = [F.desc(score), F.asc(token)] + [F.asc(t) for t in tie]
     top = group_top_k(cands, group, order, 2 * beam, "cand_rank")
-    is_eos = F.col(token) == F.lit(eos)
-    finished = is_eos & (F.col("cand_rank") <= beam) & (F.col(score) != F.lit(NEG_INF))
+    is_eos = F.coalesce((F.col(token) == F.lit(eos)) & (F.col(score) != F.lit(NEG_INF)), F.lit(False))
+    finished = is_eos & (F.col("cand_rank") <= beam)
     nonfinal = top.withColumn("_eos", is_eos)
     w = Window.partitionBy(*group, "_eos").orderBy("cand_rank")
     return (nonfinal.withColumn("_r2", F.row_number().over(w))
@@ -120,7 +121,7 @@ def finished_quota(hyps: DataFrame, beam: int, max_len: int, key: str = "sample_
 
 
 def position_scores(df: DataFrame, key: str, order: list[str], cumulative: str = "cum_score",
-                    out: str = "pos_score", strategy: str = "auto") -> DataFrame:
+                    out: str = "pos_score", strategy: str = "chunked") -> DataFrame:
     """F9 (long form): cumulative -> per-position scores, ``s - lag(s, 1, 0)``.
 
     The lag is a running scan, chunked when a sample is too large for one
@@ -156,9 +157,13 @@ def log_softmax(cands: DataFrame, group: list[str], temperature: float = 1.0,
 def constrain_scores(cands: DataFrame, pad: int, unk: int, eos: int,
                      unk_penalty: float = 0.0, min_len: int = 1, max_len: int | None = None,
                      token: str = "token_id", step: str = "step",
-                     score: str = "lprob") -> DataFrame:
+                     score: str = "lprob", prefix: str | None = None) -> DataFrame:
     """NaN -> -inf; pad -> -inf; unk minus a penalty; at ``max_len``
-    only eos survives; below ``min_len`` eos is banned."""
+    only eos survives; below ``min_len`` eos is banned.
+
+    ``prefix`` names a column with the token forced at this step (null or pad:
+    none).  Where one is forced only that token keeps its score (F12) and the
+    minimum length does not apply."""
     s, t = F.col(score), F.col(token)
     inf = F.lit(NEG_INF)
     v = F.when(F.isnan(s), inf).otherwise(s)
@@ -166,7 +171,12 @@ def constrain_scores(cands: DataFrame, pad: int, unk: int, eos: int,
     v = F.when(t == F.lit(unk), v - F.lit(float(unk_penalty))).otherwise(v)
     if max_len is not None:
         v = F.when((F.col(step) >= F.lit(max_len)) & (t != F.lit(eos)), inf).otherwise(v)
-    v = F.when((F.col(step) < F.lit(min_len)) & (t == F.lit(eos)), inf).otherwise(v)
+    short = (F.col(step) < F.lit(min_len)) & (t == F.lit(eos))
+    if prefix is None:
+        v = F.when(short, inf).otherwise(v)
+    else:
+        forced = F.coalesce(F.col(prefix) != F.lit(pad), F.lit(False))
+        v = F.when(F.when(forced, t != F.col(prefix)).otherwise(short), inf).otherwise(v)
     return cands.withColumn(score, v)
 
 

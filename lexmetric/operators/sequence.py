@@ -10,12 +10,11 @@ A DataFrame has no row order, yet the reference's data is defined by it
   count table has one row per partition, so broadcasting it is size-bounded.
 
 * ``running`` : running sum / count / min / max along an order inside groups.
-  With ``strategy="chunked"`` a hot group (say a third of all rows) is split
-  into ordered chunks by range partitioning on (group, order); each chunk is
-  scanned locally and then shifted by the totals of the chunks before it, so
-  no task ever holds a whole group.  ``strategy="window"`` is the plain
-  window, right when groups are bounded (a beam, a batch, an epoch table);
-  ``"auto"`` measures the largest group and picks.
+  A hot group (say a third of all rows) is split into ordered chunks by range
+  partitioning on (group, order); each chunk is scanned locally and then
+  shifted by the totals of the chunks before it, so no task ever holds a
+  whole group, at any size.  ``strategy="window"`` is the plain window, for
+  callers whose groups are bounded by contract (a beam, a batch).
 
 Both read their range-partitioned, chunk-tagged frame twice (rows and
 per-chunk totals).  That frame is checkpointed once into the shared
@@ -85,19 +84,9 @@ def with_position(df: DataFrame, order, name: str = "pos",
     )
 
 
-MAX_WINDOW_GROUP_ROWS = 1_000_000
-
-
-def largest_group(df: DataFrame, by: Sequence[str]) -> int:
-    """Rows in the largest ``by`` group (a partial aggregate; one number)."""
-    top = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0]
-    return int(top or 0)
-
-
 def running(df: DataFrame, by, order, aggs: dict[str, tuple[str, str | Column]],
-            exclusive: bool = False, strategy: str = "auto",
-            num_chunks: int | None = None,
-            max_window_rows: int = MAX_WINDOW_GROUP_ROWS) -> DataFrame:
+            exclusive: bool = False, strategy: str = "chunked",
+            num_chunks: int | None = None) -> DataFrame:
     """Running aggregates along ``order`` within ``by`` groups.
 
     ``aggs`` maps an output name to ``(kind, column)`` with kind in
@@ -106,17 +95,15 @@ def running(df: DataFrame, by, order, aggs: dict[str, tuple[str, str | Column]],
     ``exclusive`` (then the rows strictly before it; null when there are none,
     0 for count).  ``order`` must be unique within a group.
 
-    ``strategy="auto"`` measures the largest group first: a plain window when
-    it has at most ``max_window_rows`` rows, the chunked scan otherwise (and
-    always when there is no group key).
+    ``strategy`` is ``chunked`` (any group size) or ``window`` (a group must
+    fit a task); the caller decides, the data's size does not.
     """
     by_names = _names(by)
     order_cols = _order_cols(order)
     end = -1 if exclusive else 0
     specs = {out: (kind, F.col(c) if isinstance(c, str) else c) for out, (kind, c) in aggs.items()}
-    if strategy == "auto":
-        small = by_names and largest_group(df, by_names) <= max_window_rows
-        strategy = "window" if small else "chunked"
+    if strategy not in ("chunked", "window"):
+        raise ValueError(f"unknown strategy {strategy!r}")
 
     if strategy == "window":
         w_ord = (Window.partitionBy(*by_names) if by_names else Window.partitionBy()) \
@@ -181,7 +168,7 @@ def running(df: DataFrame, by, order, aggs: dict[str, tuple[str, str | Column]],
 
 
 def row_number_in_group(df: DataFrame, by, order, name: str = "rank",
-                        strategy: str = "auto") -> DataFrame:
+                        strategy: str = "chunked") -> DataFrame:
     """1-based row number within ``by`` along ``order`` (a running count)."""
     return running(df, by, order, {name: ("count", F.lit(1))}, strategy=strategy)
 

@@ -67,6 +67,12 @@ def _ordered_values(exploded: DataFrame, key: str, pos: str, value: Column, out:
         *[F.first(c).alias(c) for c in keep])
 
 
+def _by_key(df: DataFrame, key: str) -> DataFrame:
+    """Rows dealt by their (unique) key before an explode: the regrouping that
+    follows a broadcast lookup then finds its partitioning and moves no token."""
+    return df.repartition(F.col(key))
+
+
 def _attach(df: DataFrame, values: DataFrame, key: str, keep: Sequence[str] | None) -> DataFrame:
     """Join the per-key result back to ``df`` -- unless the wanted columns
     were carried through the aggregation (``keep``), which saves a shuffle."""
@@ -82,7 +88,7 @@ def encode(df: DataFrame, vocab: DataFrame, tokens: str = "tokens", out: str = "
     joined back.
     """
     carry = list(keep or [])
-    exploded = df.select(key, *carry, F.posexplode_outer(tokens).alias("_p", "token"))
+    exploded = _by_key(df, key).select(key, *carry, F.posexplode_outer(tokens).alias("_p", "token"))
     joined = exploded.join(broadcast_if_small(vocab.select("token", "token_id")), "token", "left")
     ids = _ordered_values(joined, key, "_p", F.coalesce(F.col("token_id"), F.lit(unk)), out, carry)
     return _attach(df, ids, key, keep)
@@ -127,8 +133,8 @@ def decode(df: DataFrame, vocab: DataFrame, ids: str = "ids", out: str = "decode
         return shown
 
     carry = list(keep or [])
-    exploded = df.select(key, *carry,
-                         F.posexplode_outer(F.filter(F.col(ids), keep_id)).alias("_p", "token_id"))
+    exploded = _by_key(df, key).select(key, *carry,
+                                       F.posexplode_outer(F.filter(F.col(ids), keep_id)).alias("_p", "token_id"))
     joined = exploded.join(broadcast_if_small(vocab.select("token_id", "token", "is_special")), "token_id", "left")
     toks = _ordered_values(joined, key, "_p",
                            render(F.col("token_id"), F.col("token")), "_toks", carry)
@@ -172,7 +178,7 @@ def embed_tokens(df: DataFrame, vectors: DataFrame, ids: str = "ids", key: str =
         dim = vectors.select(F.size("vec")).first()[0]
     zeros = F.array_repeat(F.lit(0.0), dim)
     carry = list(keep or [])
-    exploded = df.select(key, *carry, F.posexplode_outer(ids).alias("_p", "token_id"))
+    exploded = _by_key(df, key).select(key, *carry, F.posexplode_outer(ids).alias("_p", "token_id"))
     joined = exploded.join(broadcast_if_small(vectors.select("token_id", "vec")), "token_id", "left")
     vec = F.when((F.col("token_id") == F.lit(pad_id)) | F.col("vec").isNull(), zeros).otherwise(
         F.transform("vec", lambda x: x.cast("double") * F.lit(float(scale))))
@@ -192,7 +198,7 @@ def _ngrams(t: Column, n: int) -> Column:
 
 def ngrams(df: DataFrame, n: int, tokens: str = "tokens", key: str = "sample_id") -> DataFrame:
     """All n-grams with their 1-based start; rows shorter than n give none."""
-    return (df.filter(F.size(tokens) >= n)
+    return (_by_key(df.filter(F.size(tokens) >= n), key)
             .select(key, F.posexplode(_ngrams(F.col(tokens), n)).alias("start", "ngram"))
             .withColumn("start", F.col("start") + 1))
 
@@ -243,9 +249,13 @@ def ban_tokens(cands: DataFrame, banned: DataFrame, key: str = "sample_id",
 
 
 def expand_prefixes(df: DataFrame, src: str = "src_tokens", tgt: str = "tgt_tokens",
-                    horizon: int = -1, key: str = "sample_id", out: str = "tokens") -> DataFrame:
-    """One row per target prefix 1..T placed after the source; with a
-    horizon only the last ``horizon + 1`` prefix positions are kept.
+                    horizon: int = -1, key: str = "sample_id", out: str = "tokens",
+                    end=None) -> DataFrame:
+    """One row per target prefix 1..T placed after the source.
+
+    ``end`` (an end token) is appended to each prefix first; a horizon above 0
+    then keeps the last ``horizon + 1`` positions of prefix and end together.
+    A horizon of 0 or less cuts nothing.
 
     Each row slices the kept window straight out of the target, so a row
     costs the window, never the whole prefix.  Without a horizon every prefix
@@ -255,9 +265,11 @@ def expand_prefixes(df: DataFrame, src: str = "src_tokens", tgt: str = "tgt_toke
     rows = df.filter(F.size(tgt) > 0).select(
         key, src, tgt, F.explode(F.sequence(F.lit(1), F.size(tgt))).alias("prefix_len"))
     i = F.col("prefix_len")
-    if horizon >= 0:
-        keep = F.least(i, F.lit(horizon + 1))
+    if horizon > 0:
+        keep = F.least(i, F.lit(horizon + 1 - (end is not None)))
         window = F.slice(tgt, i - keep + 1, keep)
     else:
         window = F.slice(tgt, 1, i)
+    if end is not None:
+        window = F.concat(window, F.array(F.lit(end)))
     return rows.select(key, "prefix_len", F.concat(F.col(src), window).alias(out))

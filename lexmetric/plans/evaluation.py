@@ -40,13 +40,14 @@ def evaluate_hypotheses(hyps: DataFrame, targets: DataFrame, vocab: DataFrame,
                         codes: DataFrame | None, n: int = 1, penalty: float = 1.0,
                         key: str = "sample_id") -> dict[str, DataFrame]:
     """``hyps``: (sample_id, beam, tokens ARRAY<INT>, score); ``targets``:
-    (sample_id, pos, target_tokens ARRAY<INT>)."""
+    (sample_id, pos, target_tokens ARRAY<INT>).  A sample without a target
+    stays, as a wrong answer without partial accuracy."""
     normed = hyps.withColumn("score", length_normalized("score", F.size("tokens") + 1, penalty))
     best = rank_hypotheses(normed, "score", key, tie=("beam",), top=n)
-    decoded = decode(best.withColumn("_hid", F.concat_ws(":", F.col(key), F.col("beam"))),
-                     vocab, "tokens", "hyp_text", key="_hid")
+    decoded = decode(best.withColumn("_hid", F.struct(key, "beam")),
+                     vocab, "tokens", "hyp_text", key="_hid").drop("_hid")
     tgt = decode(targets, vocab, "target_tokens", "ref_text", key=key)
-    joined = decoded.join(tgt, key)
+    joined = decoded.join(tgt, key, "left")
     scored = attach_codes(joined, codes).withColumn(
         "correct", exact("hyp_text", "ref_text")).withColumn(
         "partial", partial_accuracy("tokens", "target_tokens"))

@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexmetric.operators.sequence import with_position
+from lexmetric.functions.columns import strip_text
+from lexmetric.operators.sequence import running, with_position
 
 SAMPLE_SCHEMA = T.StructType([
     T.StructField("text", T.StringType()),
@@ -26,6 +27,9 @@ TRANSLATED_FIELDS = ("idx", "text", "label", "sem_type", "language")
 
 _TSV = {"sep": "\t", "quote": '"', "escape": '"', "multiLine": "true",
         "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+# A bare empty field reads as null, a quoted one as the empty text: the marker
+# is a text that no field holds, else Spark takes both for null.
+_TSV_READ = {**_TSV, "nullValue": "\x00"}
 
 
 def read_table(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
@@ -47,7 +51,7 @@ def read_table(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFram
 
 def read_samples(spark: SparkSession, path: str, schema: T.StructType = SAMPLE_SCHEMA) -> DataFrame:
     """A1: headerless three-column TSV (text, label, sem_type)."""
-    return spark.read.schema(schema).options(**_TSV).option("header", "false").csv(path)
+    return spark.read.schema(schema).options(**_TSV_READ).option("header", "false").csv(path)
 
 
 def read_translated(spark: SparkSession, path: str) -> DataFrame:
@@ -57,7 +61,7 @@ def read_translated(spark: SparkSession, path: str) -> DataFrame:
     """
     schema = T.StructType([T.StructField("idx", T.LongType())] +
                           [T.StructField(c, T.StringType()) for c in TRANSLATED_FIELDS[1:]])
-    return (spark.read.schema(schema).options(**_TSV).option("header", "true")
+    return (spark.read.schema(schema).options(**_TSV_READ).option("header", "true")
             .option("enforceSchema", "true").csv(path))
 
 
@@ -65,12 +69,12 @@ def write_samples(df: DataFrame, path: str, index: str = "pos",
                   cols: Sequence[str] = TRANSLATED_FIELDS[1:], mode: str = "errorifexists") -> None:
     """TSV with a header and the index column first, in index order.
 
-    The header of the index column is empty, as a pandas index writes it.
+    The index column has an empty name.  An empty text is written as a quoted
+    empty field and a null as a bare one, so both come back as they were.
     """
-    out = df.select(F.col(index).alias("_c0"), *cols)
-    (out.repartitionByRange(F.col("_c0")).sortWithinPartitions("_c0").write.mode(mode)
-     .options(**_TSV).option("header", "true").option("emptyValue", "")
-     .csv(path))
+    out = df.repartitionByRange(F.col(index)).sortWithinPartitions(index)
+    (out.select(F.col(index).alias(""), *cols).write.mode(mode)
+     .options(**_TSV).option("header", "true").csv(path))
 
 
 def write_headerless(df: DataFrame, path: str, cols: Sequence[str] = ("text", "label", "sem_type"),
@@ -116,14 +120,23 @@ def read_strict_tsv(spark: SparkSession, path: str, fields: Sequence[str] = TRAN
 
     Returns ``(good, bad)``: bad lines go to a quarantine frame with their raw
     text.  ``on_bad="raise"`` fails as the reference does when any line is
-    bad (one short job that stops at the first bad line).  The header line
-    (the field names joined by tab) is skipped.
+    bad (one short job that stops at the first bad line).  Every line is
+    stripped before it is split.  A file's first line is its header, and
+    skipped, when its names after the first are ``fields[1:]`` (the index
+    column may be nameless); the same line further down is data.
     """
-    lines = spark.read.text(path)
-    parts = F.split(F.col("value"), "\t", -1)
-    tagged = lines.withColumn("_parts", parts)
+    lines = spark.read.text(path).select(
+        strip_text("value").alias("value"), F.col("_metadata.file_path").alias("_f"),
+        F.struct(F.col("_metadata.file_block_start").alias("b"),
+                 F.monotonically_increasing_id().alias("i")).alias("_at"))
+    tagged = lines.withColumn("_parts", F.split("value", "\t", -1))
     if header:
-        tagged = tagged.filter(F.col("value") != F.lit("\t".join(fields)))
+        # The stripped header of a nameless index has one field less.
+        names = F.array(*[F.lit(f) for f in fields[1:]])
+        like = F.slice("_parts", -(len(fields) - 1), len(fields) - 1) == names
+        like = F.when(F.size("_parts").isin(len(fields) - 1, len(fields)), like).otherwise(F.lit(False))
+        first = lines.groupBy(F.col("_f").alias("_ff")).agg(F.min("_at").alias("_first"))   # a row per file
+        tagged = tagged.join(first, F.col("_f") == F.col("_ff")).filter(~(like & (F.col("_at") == F.col("_first"))))
     ok = F.size("_parts") == F.lit(len(fields))
     good = tagged.filter(ok).select(
         *[F.element_at("_parts", i + 1).alias(f) for i, f in enumerate(fields)])
@@ -177,7 +190,7 @@ def write_prediction_batches(df: DataFrame, path: str, batch: str = "batch_id",
     """
     arr = F.transform(
         F.array_sort(F.collect_list(F.struct(F.col(pos).alias("pos"), *[F.col(f) for f in fields]))),
-        lambda s: F.struct(*[s[f].alias(f) for f in fields], s["pos"].alias("pos")))
+        lambda s: F.struct(*[s[f].alias(f) for f in fields]))
     lines = df.groupBy(batch).agg(F.to_json(arr).alias("line"))
     write_lines(lines, path, order=batch, mode=mode)
 
@@ -185,20 +198,39 @@ def write_prediction_batches(df: DataFrame, path: str, batch: str = "batch_id",
 def read_prediction_batches(spark: SparkSession, path: str,
                             fields: Sequence[str] = ("text", "label", "generated"),
                             cumulative: bool = False) -> DataFrame:
-    """A8 reader: explode each JSON array line back into rows.
+    """A8 reader: explode each JSON array line back into rows; ``pos`` is the
+    row's place in the whole file (rows of the lines before it plus its own).
+    Lines that are no JSON array are in ``malformed_prediction_lines``.
 
     ``cumulative`` reads the monolingual file form where line k repeats
-    batches 1..k: only the last line is kept.
+    batches 1..k: the last line is the whole, and the read fails if a line
+    does not begin with the rows of the one before it.
     """
-    elem = T.StructType([T.StructField(f, T.StringType()) for f in fields] +
-                        [T.StructField("pos", T.LongType())])
     lines = read_lines(spark, path, value="line", pos="line_no")
     if cumulative:
+        before = lines.select((F.col("line_no") + 1).alias("line_no"), F.col("line").alias("_before"))
+        opened = F.regexp_replace("_before", r"\]\s*$", "")
+        if lines.join(before, "line_no").filter(~F.startswith("line", opened)).limit(1).count():
+            raise ValueError("not a growing prediction file: a line does not repeat the one before it")
         last = lines.agg(F.max("line_no").alias("_last"))
         lines = lines.join(F.broadcast(last), F.col("line_no") == F.col("_last")).drop("_last")
-    rows = lines.select(F.col("line_no").alias("batch_id"),
-                        F.explode(F.from_json("line", T.ArrayType(elem))).alias("r"))
-    return rows.select("batch_id", "r.*")
+    parsed = lines.select(F.col("line_no").alias("batch_id"), _prediction_rows(fields).alias("_rows"))
+    sizes = parsed.select("batch_id", F.greatest(F.size("_rows"), F.lit(0)).alias("_n"))
+    offsets = running(sizes, None, ["batch_id"], {"_off": ("sum", "_n")}, exclusive=True).drop("_n")
+    rows = parsed.join(offsets, "batch_id").select("batch_id", "_off", F.posexplode("_rows").alias("_i", "r"))
+    return rows.select("batch_id", "r.*", (F.coalesce("_off", F.lit(0)) + F.col("_i")).cast("long").alias("pos"))
+
+
+def _prediction_rows(fields: Sequence[str]):
+    elem = T.StructType([T.StructField(f, T.StringType()) for f in fields])
+    return F.from_json("line", T.ArrayType(elem))
+
+
+def malformed_prediction_lines(spark: SparkSession, path: str,
+                               fields: Sequence[str] = ("text", "label", "generated")) -> DataFrame:
+    """A8 quarantine: the lines that ``read_prediction_batches`` cannot parse."""
+    return (spark.read.text(path).withColumnRenamed("value", "line")
+            .filter(_prediction_rows(fields).isNull()))
 
 
 def write_encoded(df: DataFrame, path: str, line: str = "line", pos: str = "pos",
@@ -214,13 +246,26 @@ def write_report(lines: DataFrame, path: str, line_no: str = "line_no") -> None:
 
 def read_vectors_text(spark: SparkSession, path: str, dim: int) -> DataFrame:
     """``token v1 ... vdim`` lines -> ``(token, vec ARRAY<DOUBLE>)``;
-    rows without exactly ``dim`` values are dropped."""
+    lines without exactly ``dim`` numbers are in ``malformed_vector_lines``."""
+    return _vector_lines(spark, path).filter(_whole_vector(dim)).select("token", "vec")
+
+
+def malformed_vector_lines(spark: SparkSession, path: str, dim: int) -> DataFrame:
+    """A12 quarantine: lines with another count of values, or with a value
+    that is no number."""
+    return _vector_lines(spark, path).filter(~_whole_vector(dim)).select("value")
+
+
+def _vector_lines(spark: SparkSession, path: str) -> DataFrame:
     parts = F.split(F.col("value"), " ")
-    return (spark.read.text(path)
-            .select(F.element_at(parts, 1).alias("token"),
-                    F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))),
-                                lambda x: x.try_cast("double")).alias("vec"))
-            .filter(F.size("vec") == F.lit(dim)))
+    return spark.read.text(path).select(
+        "value", F.element_at(parts, 1).alias("token"),
+        F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))),
+                    lambda x: x.try_cast("double")).alias("vec"))
+
+
+def _whole_vector(dim: int):
+    return (F.size("vec") == F.lit(dim)) & ~F.exists("vec", lambda x: x.isNull())
 
 
 def write_vectors_text(df: DataFrame, path: str, token: str = "token", vec: str = "vec",
