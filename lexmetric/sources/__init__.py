@@ -2,6 +2,8 @@
 
 from lexmetric.sources.codes import attach_codes  # noqa: F401
 from lexmetric.sources.files import (  # noqa: F401
+    malformed_prediction_lines,
+    malformed_vector_lines,
     read_lines,
     read_parallel_lines,
     read_prediction_batches,
