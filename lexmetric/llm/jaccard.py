@@ -43,8 +43,10 @@ GROUPS = ((1600, 2048), (96, 512), (0, 128))
 TILE, LEAF = 512, 16
 #: Hubs each class is verified against.
 HUBS = 1
-#: Bits of the filter of classes whose sets are needed again.
+#: Bits of the filter of texts whose sets are needed again.
 FILTER_BITS = 1 << 23
+#: Texts or classes a task remembers at a time; beyond it forgets them all and does some again.
+MET = 200_000
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
@@ -180,12 +182,35 @@ def _tie(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
+def _texts(docs: DataFrame, text_col: str) -> DataFrame:
+    return docs.select(F.col(text_col).alias("text"), _tie(F.col(text_col)).alias("tie"))
+
+
+def _unseen(frame: pd.DataFrame, seen: set[tuple[int, int]]) -> list[str]:
+    """Texts whose hash and length the task has not met."""
+    out = []
+    for tie, text in zip(frame["tie"].tolist(), frame["text"].fillna("").tolist(), strict=True):
+        if (tie, len(text)) not in seen:
+            if len(seen) >= MET:
+                seen.clear()
+            seen.add((tie, len(text)))
+            out.append(text)
+    return out
+
+
 def described(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, tie, n, node, check) of every row."""
+    """(doc_id, tie, n, node, check) of every row; a task works out a text once."""
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict[tuple[int, int], tuple[int, int, int]] = {}
         for frame in frames:
-            sets = list(map(lambda s: (len(s), *digest(s)),
-                            shingle_sets(frame["text"].fillna("").tolist(), k)))
+            texts = frame["text"].fillna("").tolist()
+            names = list(zip(frame["tie"].tolist(), map(len, texts), strict=True))
+            if len(known) >= MET:
+                known = {}
+            new = {name: text for name, text in zip(names, texts, strict=True) if name not in known}
+            for name, s in zip(new, shingle_sets(list(new.values()), k), strict=True):
+                known[name] = (len(s), *digest(s))
+            sets = [known[name] for name in names]
             yield pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64"), "tie": frame["tie"],
                                 "n": [x[0] for x in sets], "node": [x[1] for x in sets], "check": [x[2] for x in sets]})
     return _sets(docs, id_col, text_col).mapInPandas(
@@ -196,13 +221,14 @@ def entered(docs: DataFrame, k: int, rule: Rule, text_col: str) -> DataFrame:
     """(key, node): the entries of every class; a copy met again in a task is left out."""
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         met: set[int] = set()
+        seen: set[tuple[int, int]] = set()
         for frame in frames:
             keys, nodes, held = [], [], 0
-            for s in shingle_sets(frame["text"].fillna("").tolist(), k):
+            for s in shingle_sets(_unseen(frame, seen), k):
                 node = digest(s)[0]
                 if len(s) < 2 or node in met:
                     continue
-                if len(met) >= 200_000:
+                if len(met) >= MET:
                     met.clear()
                 met.add(node)
                 e = entries(s, rule)
@@ -214,7 +240,7 @@ def entered(docs: DataFrame, k: int, rule: Rule, text_col: str) -> DataFrame:
                     keys, nodes, held = [], [], 0
             if keys:
                 yield pd.DataFrame({"key": np.concatenate(keys), "node": np.concatenate(nodes)})
-    return docs.select(text_col).withColumnRenamed(text_col, "text").mapInPandas(work, "key long, node long")
+    return _texts(docs, text_col).mapInPandas(work, "key long, node long")
 
 
 def gathered(keyed: DataFrame) -> DataFrame:
@@ -233,8 +259,8 @@ def gathered(keyed: DataFrame) -> DataFrame:
 
 
 def _needed(nodes: DataFrame):
-    """A broadcast bit table of the nodes (one bit by hash; FILTER_BITS bits)."""
-    word = F.pmod(F.col("node"), F.lit(FILTER_BITS))
+    """A broadcast bit table of the ties of ``nodes`` (one bit by hash; FILTER_BITS bits)."""
+    word = F.pmod(F.col("tie"), F.lit(FILTER_BITS))
     # At most FILTER_BITS / 32 rows.
     got = nodes.select(F.floor(word / 32).alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), (word % 32).cast("int")).alias("b")) \
         .groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
@@ -243,20 +269,24 @@ def _needed(nodes: DataFrame):
     return nodes.sparkSession.sparkContext.broadcast(bits)
 
 
-def again(docs: DataFrame, nodes: DataFrame, k: int, text_col: str, make) -> DataFrame:
+def again(docs: DataFrame, nodes: DataFrame, classes: DataFrame, k: int, text_col: str, make) -> DataFrame:
     """(node, n, data) of the classes in ``nodes``, ``make(set)`` from the texts
-    again: a bit table keeps most other sets out of the shuffle, the join the rest."""
+    again.  One text stands for a class: a bit table of their hashes keeps most
+    other texts from being cut into shingles, the join the rest of the shuffle."""
+    nodes = cut(nodes.join(classes.select("node", "tie"), "node").groupBy("node").agg(F.min("tie").alias("tie")))
     bits = _needed(nodes)
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         met: set[int] = set()
+        seen: set[tuple[int, int]] = set()
         for frame in frames:
             out, held = [], 0
-            for s in shingle_sets(frame["text"].fillna("").tolist(), k):
+            at = frame["tie"].to_numpy() % FILTER_BITS
+            frame = frame[((bits.value[at // 32] >> (at % 32)) & 1).astype(bool)]
+            for s in shingle_sets(_unseen(frame, seen), k):
                 node = digest(s)[0]
-                at = node % FILTER_BITS
-                if len(s) and node not in met and (int(bits.value[at // 32]) >> (at % 32)) & 1:
-                    if len(met) >= 200_000:
+                if len(s) and node not in met:
+                    if len(met) >= MET:
                         met.clear()
                     met.add(node)
                     out.append((node, len(s), make(s)))
@@ -265,15 +295,16 @@ def again(docs: DataFrame, nodes: DataFrame, k: int, text_col: str, make) -> Dat
                         yield pd.DataFrame(out, columns=["node", "n", "data"])
                         out, held = [], 0
             yield pd.DataFrame(out, columns=["node", "n", "data"])
-    rows = docs.select(F.col(text_col).alias("text")).mapInPandas(work, "node long, n long, data binary")
-    return rows.join(nodes, "node", "left_semi").dropDuplicates(["node"])
+    rows = _texts(docs, text_col).mapInPandas(work, "node long, n long, data binary")
+    return rows.join(nodes.select("node"), "node", "left_semi").dropDuplicates(["node"])
 
 
-def verified(pairs: DataFrame, docs: DataFrame, k: int, rule: Rule, text_col: str) -> DataFrame:
+def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, rule: Rule,
+             text_col: str) -> DataFrame:
     """The pairs (a, b) whose whole sets link.  Each set moves once, and once more for each pair."""
     pairs = cut(pairs.select("a", "b").distinct())
-    nodes = cut(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
-    sets = again(docs, nodes, k, text_col, lambda s: s.tobytes())
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    sets = again(docs, nodes, classes, k, text_col, lambda s: s.tobytes())
     one = pairs.join(sets.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("data").alias("eb")), "b")
     two = one.join(sets.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("data").alias("ea")), "a")
 
@@ -322,7 +353,8 @@ def _surviving(a: Leaves, b: Leaves, rule: Rule) -> Iterator[tuple[int, int]]:
                 yield int(a.node[ai][x]), int(b.node[bj][y])
 
 
-def across(buckets: DataFrame, roots: DataFrame, docs: DataFrame, k: int, rule: Rule, text_col: str) -> DataFrame:
+def across(buckets: DataFrame, roots: DataFrame, docs: DataFrame, classes: DataFrame, k: int, rule: Rule,
+           text_col: str) -> DataFrame:
     """Pairs (a, b) of one bucket and different components that the R-tree
     lets through.  Buckets are cut into tiles of TILE members; every pair of
     tiles is one unit of work, so no bucket has to fit a task."""
@@ -330,7 +362,7 @@ def across(buckets: DataFrame, roots: DataFrame, docs: DataFrame, k: int, rule:
         "bucket", "node", F.coalesce("root", "node").alias("comp"), "members")
     mixed = rows.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("bucket")
     rows = cut(rows.join(mixed, "bucket"))
-    points = again(docs, cut(rows.select("node").distinct()), k, text_col, point)
+    points = again(docs, rows.select("node").distinct(), classes, k, text_col, point)
     rows = rows.withColumn("tiles", F.ceil(F.col("members") / TILE).cast("int"))
     rows = rows.withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
@@ -397,11 +429,11 @@ def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str
     rule = Rule(num, den)
     rows = cut(described(docs, k, id_col, text_col))
     classes = cut(rows.where("n > 0").groupBy("node", "check", "n").agg(
-        F.min("doc_id").alias("first")))
+        F.min("doc_id").alias("first"), F.min("tie").alias("tie")))
     buckets = cut(gathered(entered(docs, k, rule, text_col)))
-    links = cut(verified(hub_pairs(buckets), docs, k, rule, text_col))
+    links = cut(verified(hub_pairs(buckets), docs, classes, k, rule, text_col))
     roots = cut(components(links))
-    more = verified(across(buckets, roots, docs, k, rule, text_col), docs, k, rule, text_col)
+    more = verified(across(buckets, roots, docs, classes, k, rule, text_col), docs, classes, k, rule, text_col)
     roots = components(links.union(more))
     home = classes.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
     least = home.groupBy("root").agg(F.min("first").alias("component_id"))
