@@ -523,6 +523,24 @@ def q_c14c(spark, sf):
     return TK.banned_next_tokens(S.samples(spark, sf), 3)
 
 
+@register("c14_ban_tokens", with_ctes("samples") + NGRAMS_SQL + """
+, c AS (SELECT sample_id, token, count(*) AS n
+        FROM (SELECT sample_id, unnest(tokens) AS token FROM samples) GROUP BY ALL),
+b AS (SELECT DISTINCT s.sample_id, g.ngram[3] AS token
+      FROM samples s JOIN g ON g.sample_id = s.sample_id
+       AND list_slice(g.ngram, 1, 2) = list_slice(s.tokens, len(s.tokens) - 1, len(s.tokens))
+      WHERE len(s.tokens) >= 2)
+SELECT c.sample_id, c.token,
+       CASE WHEN b.token IS NULL THEN -1.0::DOUBLE / c.n ELSE '-Infinity'::DOUBLE END AS lprob
+FROM c LEFT JOIN b ON b.sample_id = c.sample_id AND b.token = c.token""")
+def q_c14d(spark, sf):
+    """Every word of a sample is a candidate; those that would repeat a trigram score -inf."""
+    s = S.samples(spark, sf)
+    cands = (s.select("sample_id", F.explode("tokens").alias("token")).groupBy("sample_id", "token")
+             .agg((F.lit(-1.0) / F.count(F.lit(1))).alias("lprob")))
+    return TK.ban_tokens(cands, TK.banned_next_tokens(s, 3))
+
+
 @register("c15_expand_prefixes", with_ctes("samples") + """
 SELECT sample_id, prefix_len,
        list_concat(list_concat([language, sem_type], list_slice(tokens, greatest(prefix_len - 2, 1), prefix_len)), ['</s>']) AS tokens
@@ -596,7 +614,24 @@ def q_d7_shuffled(spark, sf):
     return D.batches(S.samples(spark, sf), 64, shuffle=True, seed=7).select("sample_id", "batch_id")
 
 
-@register("d8_token_budget_batches")
+@register("d8_token_budget_batches", with_ctes("samples") + """
+SELECT * FROM (
+  WITH RECURSIVE sized AS (
+    SELECT sample_id, len(tokens) AS n,
+           CASE WHEN len(tokens) <= 1 THEN 0 ELSE length(bin(len(tokens) - 1)) END AS bucket
+    FROM samples),
+  cuts AS (
+    SELECT *, (row_number() OVER (ORDER BY bucket, n, sample_id) - 1) // 100000 AS part FROM sized),
+  placed AS (
+    SELECT *, row_number() OVER (PARTITION BY bucket, part ORDER BY n, sample_id) AS r FROM cuts),
+  packed AS (
+    SELECT bucket, part, r, sample_id, n, 0 AS k, 1 AS held FROM placed WHERE r = 1
+    UNION ALL
+    SELECT q.bucket, q.part, q.r, q.sample_id, q.n,
+           CASE WHEN p.held + 1 > 100 OR (p.held + 1) * q.n > 4096 THEN p.k + 1 ELSE p.k END,
+           CASE WHEN p.held + 1 > 100 OR (p.held + 1) * q.n > 4096 THEN 1 ELSE p.held + 1 END
+    FROM packed p JOIN placed q ON q.bucket = p.bucket AND q.part = p.part AND q.r = p.r + 1)
+  SELECT sample_id, CAST(n AS INTEGER) AS n_tokens, bucket || '-' || part || '-' || k AS batch_id FROM packed)""")
 def q_d8(spark, sf):
     s = S.samples(spark, sf).withColumn("n_tokens", F.size("tokens"))
     packed = D.token_budget_batches(s, max_tokens=4096, max_sentences=100)
@@ -879,6 +914,16 @@ def q_f6(spark, sf):
     return _ranked(spark, sf).select("sample_id", "beam", "tie1", "tie2", "rank")
 
 
+@register("e7_top1_of_ranked", with_ctes("hyps") + RANKED_SQL + """
+SELECT CAST(sum(correct) AS BIGINT) AS n_correct, CAST(sum(1 - correct) AS BIGINT) AS n_wrong,
+       count(*) AS n, sum(correct) / count(*) AS accuracy
+FROM (SELECT CASE WHEN tie1 % 3 = 0 THEN 1 ELSE 0 END AS correct FROM ranked WHERE rank = 1)""")
+def q_e7_ranked(spark, sf):
+    """Several hypotheses a sample, ranked by score; only the first counts."""
+    right = F.when(F.col("tie1") % 3 == 0, 1).otherwise(0)
+    return E.top1_accuracy(_ranked(spark, sf).withColumn("correct", right))
+
+
 @register("f7_top_candidates", with_ctes("cands") + """
 , top AS (SELECT *, CAST(row_number() OVER (PARTITION BY sample_id, step ORDER BY lprob DESC, token_id, model)
                          AS INTEGER) AS cand_rank FROM cands QUALIFY cand_rank <= 4)
@@ -1012,6 +1057,30 @@ def q_j1(spark, sf):
     return predict(S.samples(spark, sf), _reverse_words_predictor, batch_size=64)
 
 
+def _some_reversed_predictor():
+    """The words of a text, reversed where their number divides by 3."""
+    reverse = _reverse_words_predictor()
+
+    def fn(texts: list[str]) -> list[str]:
+        turned = reverse(texts)
+        return [t if t is None or (t.count(" ") + bool(t)) % 3 == 0 else u
+                for t, u in zip(turned, reverse(turned), strict=True)]
+    return fn
+
+
+@register("score_predictions", with_ctes("samples") + """
+SELECT language, sem_type, avg(CAST(correct AS DOUBLE)) AS accuracy, count(*) AS n,
+       CAST(GROUPING(language, sem_type) AS BIGINT) AS level
+FROM (SELECT language, sem_type,
+             CASE WHEN array_to_string(CASE WHEN len(tokens) % 3 = 0 THEN list_reverse(tokens) ELSE tokens END, ' ')
+                       = label THEN 1 ELSE 0 END AS correct
+      FROM samples) GROUP BY CUBE (language, sem_type)""")
+def q_score_predictions(spark, sf):
+    from lexmetric.plans.evaluation import score_predictions
+    s = S.samples(spark, sf).select("sample_id", "text", "label", "language", "sem_type")
+    return score_predictions(s, _some_reversed_predictor)["breakdown"].withColumn("level", F.col("level").cast("long"))
+
+
 def _strip_accents(s: str) -> str:
     return s.translate(str.maketrans(ACCENTED, PLAIN))
 

@@ -107,8 +107,9 @@ def token_budget_batches(df: DataFrame, max_tokens: int, max_sentences: int,
     row longer than ``max_tokens`` gets a batch of its own.  The batch id is
     ``<bucket>-<shard>-<k>``.
     """
+    # Bits of length - 1: the power of two that holds the length, in whole numbers.
     bucket = F.when(F.col(length) <= 1, F.lit(0)).otherwise(
-        F.ceil(F.log2(F.col(length).cast("double")))).cast("int")
+        F.length(F.bin(F.col(length).cast("long") - 1))).cast("int")
     staged = df.select(key, length).withColumn("_bucket", bucket)
     staged = with_position(staged, ["_bucket", length, key], name="_gpos")
     staged = staged.withColumn("_shard", F.floor(F.col("_gpos") / shard_rows).cast("long")).drop("_gpos")
