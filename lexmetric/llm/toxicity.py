@@ -1,8 +1,8 @@
 """Toxicity by nearest labelled examples.
 
 Terms are lower-cased words and word beginnings of 4 to 7 characters (marked
-"^").  A bounded sample of labelled documents picks the terms that go with the
-label (chi-squared); their document frequencies are counted over the whole
+"^").  A bounded sample of labelled documents picks the terms that go with
+either label (chi-squared); their document frequencies are counted over the whole
 corpus.  Each labelled example is a TF-IDF vector in a block-max inverted
 index, a document's nearest examples by cosine are found exactly (blocks whose
 bound cannot reach the k-th best are skipped), and distance-weighted votes,
@@ -25,8 +25,7 @@ from lexmetric.llm.common import cut
 #: Labelled rows used, at most (smallest hashed ids).
 MAX_EXAMPLES = 20_000
 #: Terms kept, at most, by chi-squared, and the least chi-squared and count of one.
-#: (Among millions of terms, chance alone reaches about 30.)
-MAX_TERMS, MIN_CHI, MIN_COUNT = 2000, 40.0, 4
+MAX_TERMS, MIN_CHI, MIN_COUNT = 4000, 12.0, 4
 #: Neighbours that vote, examples in an index block, and the weight of the base rate.
 K, BLOCK, PRIOR_WEIGHT = 15, 64, 1.0
 
@@ -81,7 +80,7 @@ def examples(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLE
 
 
 def choose_terms(sample: DataFrame, max_terms: int = MAX_TERMS) -> list[str]:
-    """Terms whose presence goes with label 1, best first (chi-squared, then name)."""
+    """Terms whose presence goes with label 1 or with label 0, best first (chi-squared, then name)."""
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             tally: dict[str, list[int]] = {}
@@ -99,7 +98,7 @@ def choose_terms(sample: DataFrame, max_terms: int = MAX_TERMS) -> list[str]:
     chi = total * F.pow(a * (n0 - b) - b * (n1 - a), F.lit(2.0)) / ((a + b) * (total - a - b + 1e-9) * n1 * n0)
     rows = (sample.mapInPandas(count, "term string, neg long, pos long").groupBy("term")
             .agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos"))
-            .where((a + b >= MIN_COUNT) & (a * (n0 - b) > b * (n1 - a)))
+            .where(a + b >= MIN_COUNT)
             .withColumn("chi", chi).where(F.col("chi") >= MIN_CHI)
             .orderBy(F.desc("chi"), "term").limit(max_terms).collect())
     return [r["term"] for r in rows]
@@ -136,9 +135,9 @@ class Index:
         labels = [r[1] for r in rows]
         self.prior = float(np.mean(labels)) if rows else 0.0
         silent = [r[1] for r in rows if not r[2]]
-        #: Base rate of examples without any term; they are never neighbours.
+        #: Base rate of examples without any term; their cosine is 0 with every text.
         self.silent = (sum(silent) + self.prior) / (len(silent) + 1.0)
-        rows = sorted((r for r in rows if r[2]), key=lambda r: (sorted(r[2]), r[0]))  # alike examples share blocks
+        rows = sorted(rows, key=lambda r: (sorted(r[2]), r[0]))  # alike examples share blocks
         self.ids = np.array([r[0] for r in rows], dtype=np.int64)
         self.y = np.array([r[1] for r in rows], dtype=np.float64)
         # Block b holds the weights of its examples by term: its posting lists side by side.

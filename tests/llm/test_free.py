@@ -193,6 +193,20 @@ def test_toxicity(spark, docs_of):
     assert {x.score for x in toxicity.score(docs, none).collect()} == {0.0}
 
 
+def test_terms_of_both_labels_and_all_examples(spark, docs_of):
+    """A term of 8 toxic texts (chi-squared 32) and one of clean texts (30) are evidence; no example is left out."""
+    bad, rows = range(0, 600, 5), []
+    for i in range(600):
+        rows.append((i, f"plain{i % 7}" + (" scum" if i in bad and i < 40 else "") + (" thanks" if i % 5 == 1 and i < 500 else ""), "s"))
+    docs = docs_of(rows)
+    sample = docs.withColumn("y", (docs.doc_id % 5 == 0).cast("int")).select("doc_id", "y", "text")
+    assert {"scum", "thanks"} <= set(toxicity.choose_terms(sample))
+    labels = [(i, int(i % 5 == 0)) for i in range(600)]
+    index = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    held = docs.select(toxicity.held_out(docs.doc_id)).collect()
+    assert len(index.ids) == sum(not r[0] for r in held)
+
+
 def test_nearest_is_exact():
     r = random.Random(7)
     names = [f"t{i}" for i in range(20)]
