@@ -18,6 +18,9 @@ from above.  Far apart points are never compared:
   into small leaves of points with bounding boxes; leaf pairs, then point
   pairs, are dropped when the summed minima show too little overlap, and the
   surviving pairs across components are verified on the whole sets.
+* Links.  All links lie inside components.  Each component is cut into tiles,
+  every pair of tiles is compared on the whole sets, and the links come out as
+  counts per class, never as pairs.
 
 A plain R-tree over all points would visit nearly every leaf (distances of
 unrelated points crowd together in many dimensions); the entries bring the
@@ -41,6 +44,8 @@ from lexmetric.llm.tiling import _MIX, _chunks, window_hashes
 GROUPS = ((1600, 2048), (96, 512), (0, 128))
 #: Members of an entry compared in one task at a time, and points in a leaf.
 TILE, LEAF = 512, 16
+#: Shingles in a tile whose links are counted, about, and different shingles compared at a time.
+TILE_SHINGLES, WIDTH = 1_000_000, 8192
 #: Hubs each class is verified against.
 HUBS = 1
 #: Bits of the filter of texts whose sets are needed again.
@@ -414,14 +419,84 @@ def hub_pairs(buckets: DataFrame, hubs: int = HUBS) -> DataFrame:
     return top.select(F.col("hub").alias("a"), F.col("node").alias("b"))
 
 
+def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Common elements of every set of ``left`` with every set of ``right``."""
+    def flat(sets):
+        return np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    (x, of_x), (y, of_y) = flat(left), flat(right)
+    both = np.intersect1d(x, y)
+    out = np.zeros((len(left), len(right)), dtype=np.int64)
+    spots = []
+    for v, of in ((x, of_x), (y, of_y)):
+        at = np.minimum(np.searchsorted(both, v), max(0, len(both) - 1))
+        held = both[at] == v if len(both) else np.zeros(len(v), dtype=bool)
+        order = np.argsort(at[held], kind="stable")
+        spots.append((at[held][order], of[held][order]))
+    for lo in range(0, len(both), WIDTH):
+        marks = []
+        for (at, of), n in zip(spots, out.shape, strict=True):
+            a, b = np.searchsorted(at, (lo, lo + WIDTH))
+            mark = np.zeros((n, min(WIDTH, len(both) - lo)), dtype=np.float32)
+            mark[of[a:b], at[a:b] - lo] = 1.0
+            marks.append(mark)
+        out += (marks[0] @ marks[1].T).astype(np.int64)
+    return out
+
+
+def link_counts(home: DataFrame, docs: DataFrame, classes: DataFrame, k: int, rule: Rule, text_col: str) -> DataFrame:
+    """(node, far): rows of other classes that each class of ``home`` (node, root, n,
+    copies) links to.  Tiles hold at most about TILE classes and TILE_SHINGLES
+    shingles; every pair of tiles of a component is one unit of work."""
+    sizes = home.groupBy("root").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("total")).where("members > 1")
+    rows = cut(home.join(sizes, "root").withColumn("tiles", F.ceil(F.greatest(
+        F.col("members") / TILE, F.col("total") / TILE_SHINGLES)).cast("int")))
+    sets = again(docs, rows.select("node"), classes, k, text_col, lambda s: s.tobytes())
+    rows = rows.withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select(
+        "root", F.least("tile", "other").alias("t"), F.greatest("tile", "other").alias("u"),
+        "tile", "node", "copies").join(sets, "node")
+
+    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, key = [], None
+        for frame in frames:
+            out = []
+            for row in frame[["root", "t", "u", "tile", "node", "copies", "n", "data"]].itertuples(index=False):
+                if row[:3] != key and held:
+                    out += unit(held)
+                    held = []
+                key = row[:3]
+                held.append(row)
+            yield pd.DataFrame(out, columns=["node", "far"])
+        yield pd.DataFrame(unit(held), columns=["node", "far"])
+
+    def unit(held: list) -> list[tuple[int, int]]:
+        left = [r for r in held if r.tile == r.t]
+        right = left if held and held[0].t == held[0].u else [r for r in held if r.tile == r.u]
+        if not left or not right:
+            return []
+        n, m = (np.array([r.n for r in x], dtype=np.int64) for x in (left, right))
+        sets = [np.frombuffer(r.data, np.uint64) for r in left]
+        same = overlaps(sets, sets if right is left else [np.frombuffer(r.data, np.uint64) for r in right])
+        link = rule.linked(n[:, None], m[None, :], same)
+        if right is left:
+            np.fill_diagonal(link, False)
+        out = list(zip([r.node for r in left], (link @ np.array([r.copies for r in right])).tolist(), strict=True))
+        if right is not left:
+            out += zip([r.node for r in right], (link.T @ np.array([r.copies for r in left])).tolist(), strict=True)
+        return out
+    dealt = rows.repartition(partitions(docs), "root", "t", "u").sortWithinPartitions("root", "t", "u")
+    return dealt.mapInPandas(work, "node long, far long").groupBy("node").agg(F.sum("far").alias("far"))
+
+
 def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id",
-         text_col: str = "text") -> DataFrame:
+         text_col: str = "text", counted: bool = True) -> DataFrame:
     """One row per row: doc_id, tie (hash of the text), n_shingles, root (class
     that stands for the component, null if empty), component_id (smallest id
-    reachable by links).
+    reachable by links), and if ``counted`` n_links (other rows it links to, those
+    of an equal set among them).
 
-    Rows without words (null, empty or blank texts) have no shingles and are
-    their own component.  Rows with a null id take part in linking, but
+    Rows without words (null, empty or blank texts) have no shingles, no links and
+    are their own component.  Rows with a null id take part in linking, but
     component ids come from the others (null when there is none).  Repeated
     rows and equal sets are one class.  An empty table gives no rows; other
     columns are not read.
@@ -429,18 +504,23 @@ def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str
     rule = Rule(num, den)
     rows = cut(described(docs, k, id_col, text_col))
     classes = cut(rows.where("n > 0").groupBy("node", "check", "n").agg(
-        F.min("doc_id").alias("first"), F.min("tie").alias("tie")))
+        F.min("doc_id").alias("first"), F.min("tie").alias("tie"), F.count(F.lit(1)).alias("copies")))
     buckets = cut(gathered(entered(docs, k, rule, text_col)))
     links = cut(verified(hub_pairs(buckets), docs, classes, k, rule, text_col))
     roots = cut(components(links))
     more = verified(across(buckets, roots, docs, classes, k, rule, text_col), docs, classes, k, rule, text_col)
     roots = components(links.union(more))
-    home = classes.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
+    home = cut(classes.join(roots, "node", "left").select(
+        "node", "first", "n", "copies", F.coalesce("root", "node").alias("root")))
     least = home.groupBy("root").agg(F.min("first").alias("component_id"))
-    home = home.join(least, "root").select("node", "root", "component_id")
-    return rows.withColumn("node", F.when(F.col("n") > 0, F.col("node"))).join(home, "node", "left").select(
+    full = home.join(least, "root").select("node", "root", "component_id", "copies")
+    links = []
+    if counted:
+        full = full.join(link_counts(home, docs, classes, k, rule, text_col), "node", "left")
+        links = [F.when(F.col("n") > 0, F.col("copies") - 1 + F.coalesce("far", F.lit(0))).otherwise(0).alias("n_links")]
+    return rows.withColumn("node", F.when(F.col("n") > 0, F.col("node"))).join(full, "node", "left").select(
         "doc_id", "tie", F.col("n").alias("n_shingles"), "root",
-        F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+        F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), *links)
 
 
 def keep_first(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id",
@@ -448,7 +528,7 @@ def keep_first(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_co
     """One row of each component stays: the one of its smallest id (null ids
     last, then by the text's hash; of rows alike in both, one).  Texts without
     words are linked with nothing and all stay."""
-    found = join(docs, k, num, den, id_col, text_col)
+    found = join(docs, k, num, den, id_col, text_col, counted=False)
     first = found.where("root is not null").groupBy("root").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie")).alias("f"))
     name = lambda c: F.coalesce(c.cast("string"), F.lit("none"))

@@ -67,7 +67,7 @@ def op9_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"), k=4, num=85, den=100).select(
-        "doc_id", "n_shingles", "component_id")
+        "doc_id", "n_shingles", "component_id", "n_links")
 
 
 @query

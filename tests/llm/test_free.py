@@ -303,6 +303,26 @@ def test_join_equals_all_pairs(docs_of, k, num):
         assert jaccard.join(docs.limit(0), k, num, 100).count() == 0
 
 
+@pytest.mark.parametrize("tile", [512, 4])
+def test_join_counts_all_links(docs_of, monkeypatch, tile):
+    """Links inside a component count as well, rows of equal texts each."""
+    monkeypatch.setattr(jaccard, "TILE", tile)
+    r = random.Random(10)
+    texts = []
+    for size in (30, 60, 120):
+        base = [f"b{size}x{i}" for i in range(size)]
+        for j in range(12):
+            t = list(base)
+            for _ in range(r.randint(0, size // 25)):
+                t[r.randrange(size)] = f"n{r.randrange(10 ** 6)}"
+            texts += [" ".join(t)] * (1 + j % 3)
+    texts += [None, "", "alone", "alone", "quite another text with some words"]
+    sets = [{tuple(w[i:i + 4]) for i in range(len(w) - 3)} or ({tuple(w)} if w else set()) for w in ((t or "").split() for t in texts)]
+    want = {i: sum(100 * len(a & b) >= 85 * len(a | b) for j, b in enumerate(sets) if a and b and i != j) for i, a in enumerate(sets)}
+    got = {x.doc_id: x.n_links for x in jaccard.join(docs_of([(i, t, "s") for i, t in enumerate(texts)]), 4, 85, 100).collect()}
+    assert got == want and 0 in want.values() and max(want.values()) > 5
+
+
 def test_entries_meet_for_every_linked_pair():
     r = random.Random(9)
     rule = jaccard.Rule(85, 100)
