@@ -124,6 +124,8 @@ class Rule:
     """Linked when den * overlap >= num * union."""
 
     def __init__(self, num: int, den: int):
+        if not 0 < num <= den:
+            raise ValueError(f"a threshold above 0 and up to 1 is needed, not {num}/{den}")
         self.num, self.den = num, den
 
     def apart(self, total: int) -> int:
@@ -135,8 +137,9 @@ class Rule:
 
     def ranges(self, n: int) -> list[tuple[int, int]]:
         """(number of the size range, most differing shingles) of every range a
-        set of n shingles is entered in: its own, and those shared with a
-        neighbour it may link to.  Ranges start at powers of the square root of 2."""
+        set of n shingles is entered in: its own, the one shared with larger sets,
+        and those shared with smaller sets it may link to, one for each border between.
+        Ranges start at powers of the square root of 2."""
         j = int(np.floor(2 * np.log2(n) + 1e-9))
         low, high = self._start(j), self._start(j + 1)
         while n < low:
@@ -144,12 +147,16 @@ class Rule:
         while n >= high:
             j, low, high = j + 1, high, self._start(j + 2)
         out = [(2 * j, self.apart(2 * (high - 1)))]
-        for b, mine in ((low, False), (high, True)):
-            # Sets under b against sets from b on.
-            reach = self.den * (b - 1) // self.num if self.num else 2 ** 62
-            if b > 1 and reach >= b and ((mine and self.den * n // self.num >= b)
-                                         or (not mine and n <= reach)):
-                out.append((2 * (j + mine) - 1, self.apart(b - 1 + reach)))
+        # Sets under a border b against sets from b on, up to the size they reach.
+        reach = self.den * (high - 1) // self.num
+        if self.den * n // self.num >= high:
+            out.append((2 * (j + 1) - 1, self.apart(high - 1 + reach)))
+        for i in range(j, 0, -1):
+            b = self._start(i)
+            reach = self.den * (b - 1) // self.num
+            if n > reach:
+                break
+            out.append((2 * i - 1, self.apart(b - 1 + reach)))
         return out
 
     @staticmethod
@@ -158,7 +165,7 @@ class Rule:
 
 
 def entries(s: np.ndarray, rule: Rule) -> np.ndarray:
-    """Entry keys of a set of two or more shingles."""
+    """Entry keys of a set with shingles."""
     out = []
     for number, apart in rule.ranges(len(s)):
         if apart == 0:  # only equal sets link
@@ -231,7 +238,7 @@ def entered(docs: DataFrame, k: int, rule: Rule, text_col: str) -> DataFrame:
             keys, nodes, held = [], [], 0
             for s in shingle_sets(_unseen(frame, seen), k):
                 node = digest(s)[0]
-                if len(s) < 2 or node in met:
+                if not len(s) or node in met:
                     continue
                 if len(met) >= MET:
                     met.clear()

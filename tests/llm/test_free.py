@@ -336,6 +336,19 @@ def test_entries_meet_for_every_linked_pair():
             assert np.intersect1d(x, y).size
 
 
+@pytest.mark.parametrize("num", [20, 40, 50, 60, 70, 75])
+def test_entries_meet_at_low_thresholds(num):
+    """Subsets of as few elements as may link lie up to several size ranges below."""
+    r = random.Random(12)
+    rule = jaccard.Rule(num, 100)
+    for m in [*range(2, 60), 90, 181, 182, 257, 363]:
+        whole = [r.getrandbits(64) for _ in range(m)]
+        for n in {-(-m * num // 100), (m + -(-m * num // 100)) // 2}:
+            assert n == m or rule.linked(n, m, n)
+            x, y = (jaccard.entries(np.array(sorted(s), np.uint64), rule) for s in (whole, whole[:n]))
+            assert n == m or set(x.tolist()) & set(y.tolist()), (num, n, m)
+
+
 def test_points_bound_the_overlap():
     r = random.Random(10)
     for n in (5, 150, 3000):
