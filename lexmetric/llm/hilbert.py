@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexmetric.llm.common import cut
+from lexmetric.llm.common import cut, partitions
 from lexmetric.operators.sizing import broadcast_if_small
 
 #: Bits per dimension (dimensions times bits is the curve's order; 3 * 4 = 4096 cells).
@@ -52,28 +52,48 @@ def hilbert_index(cells: np.ndarray, bits: int) -> np.ndarray:
     return out
 
 
-def as_number(column: Column, kind: T.DataType) -> Column:
-    """An order-keeping number: numbers themselves, texts by their first six bytes."""
-    if isinstance(kind, T.NumericType):
-        return column.cast("double")
-    first = F.rpad(F.hex(F.substring(F.encode(column.cast("string"), "UTF-8"), 1, 6)), 12, "0")
-    return F.conv(first, 16, 10).cast("double")
+def as_text(column: Column) -> Column:
+    """The whole value as text, a null before all others."""
+    return F.coalesce(F.concat(F.lit("1"), column.cast("string")), F.lit("0"))
+
+
+def text_cuts(docs: DataFrame, key: Column, shares: list[float]) -> list[str]:
+    """Distinct values at which the rows in order of ``key`` (whole strings) reach
+    the shares.  Values are counted and dealt by range; a total per partition and
+    at most one value per share come to the driver."""
+    counts = docs.groupBy(key.alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    rows = cut(counts.repartitionByRange(partitions(docs), "v").withColumn("p", F.spark_partition_id()))
+    before, n = {}, 0
+    for r in rows.groupBy("p").agg(F.sum("n").alias("n")).orderBy("p").collect():
+        before[r["p"]], n = n, n + r["n"]
+    if not n:
+        return []
+    ahead = docs.sparkSession.createDataFrame(list(before.items()), "p int, ahead long")
+    upto = F.col("ahead") + F.sum("n").over(Window.partitionBy("p").orderBy("v"))
+    reached = rows.join(F.broadcast(ahead), "p").select("v", "n", upto.alias("upto"))
+    wanted = [F.lit(s * n) for s in shares]
+    hit = F.exists(F.array(*wanted), lambda w: (w > F.col("upto") - F.col("n")) & (w <= F.col("upto")))
+    return sorted((r[0] for r in reached.where(hit).select("v").collect()), key=lambda v: v.encode())
 
 
 def curve(docs: DataFrame, dims, bits: int = BITS) -> Column:
     """The cell of a row on the curve.  ``dims`` are (column, type) pairs; nulls
-    come before all values.  One pass finds the cut points: 2**bits - 1 numbers
-    per dimension come to the driver."""
-    numbers = [F.coalesce(as_number(c, k), F.lit(-1.0)) for c, k in dims]
+    come before all values.  One pass finds the cut points of all numbers, one
+    each those of a text: at most 2**bits - 1 values per dimension come to the driver."""
     shares = [i / 2 ** bits for i in range(1, 2 ** bits)]
-    found = docs.agg(*[F.percentile_approx(x, shares, 10_000) for x in numbers]).first()
-    cuts = [np.unique(q if q else [0.0]) for q in found]
+    numeric = [isinstance(k, T.NumericType) for _, k in dims]
+    keys = [F.coalesce(c.cast("double"), F.lit(-1.0)) if x else as_text(c) for (c, _), x in zip(dims, numeric, strict=True)]
+    of_numbers = [F.percentile_approx(c, shares, 10_000) for c, x in zip(keys, numeric, strict=True) if x]
+    found = iter(docs.agg(*of_numbers).first() if of_numbers else ())
+    bins = []
+    for c, x in zip(keys, numeric, strict=True):
+        cuts = np.unique(next(found) or [0.0]).tolist() if x else text_cuts(docs, c, shares)
+        bins.append(sum(((c > F.lit(q)).cast("int") for q in cuts), F.lit(0)))
 
     @F.pandas_udf("long")
-    def index(*values: pd.Series) -> pd.Series:
-        bins = [np.searchsorted(q, v.to_numpy(), side="left") for v, q in zip(values, cuts, strict=True)]
-        return pd.Series(hilbert_index(np.stack(bins, axis=1), bits), dtype="int64")
-    return index(*numbers)
+    def index(*bins: pd.Series) -> pd.Series:
+        return pd.Series(hilbert_index(np.stack([b.to_numpy() for b in bins], axis=1), bits), dtype="int64")
+    return index(*bins)
 
 
 def placed(docs: DataFrame, cell: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -250,6 +250,16 @@ def test_shards(docs_of):
     assert hilbert.assign(docs.limit(0)).count() == 0
 
 
+def test_long_common_beginnings_are_told_apart(docs_of):
+    """Sources that share their first bytes fall into bins of their own, in order."""
+    rows = [(i, "same", f"https://host/{i % 16:02}") for i in range(320)] + [(1000 + i, "same", None) for i in range(20)]
+    docs = docs_of(rows)
+    source = [(docs.source, docs.schema["source"].dataType)]
+    got = docs.select("source", hilbert.curve(docs, source, 4).alias("cell")).distinct().collect()
+    by = sorted((r.source or "", r.cell) for r in got)
+    assert len(by) == 17 and [c for _, c in by] == sorted(c for _, c in by) and len({c for _, c in by}) >= 15
+
+
 # ---- 10
 def test_components(spark):
     links = [(1, 2), (2, 3), (3, 1), (10, 11), (12, 11), (20, 20), *((100 + i, 101 + i) for i in range(30))]
