@@ -26,7 +26,9 @@ BASE = (
 )
 #: Characters of the Markov chains; a candidate is a run of them.
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
-CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+LEAST = 16
+#: Runs of 16 to 19 without a letter are numbers (cards, accounts, times), no keys.
+CANDIDATE = r"(?![0-9+/_=-]{16,19}(?![A-Za-z0-9+/_=-]))[A-Za-z0-9+/_=-]{16,}"
 #: Labelled sample for training: at most so many documents (smallest hashed ids).
 TRAIN_DOCS = 2000
 #: Weight of the back-off distribution in a row, as so many steps.
@@ -144,7 +146,7 @@ def scan(docs: DataFrame, model: list[float], id_col: str = "doc_id", text_col:
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"),
                        F.array_sort(F.concat(*base_spans(text))).alias("base"),
-                       _matches(text, CANDIDATE, 0, 20, 3, "markov").alias("runs"),
+                       _matches(text, CANDIDATE, 0, LEAST, 3, "markov").alias("runs"),
                        F.when(text.rlike(CANDIDATE), F.regexp_extract_all(
                            text, F.lit(CANDIDATE), F.lit(0))).alias("tokens"))
     scored = F.filter(

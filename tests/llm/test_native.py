@@ -111,3 +111,17 @@ def test_secrets(docs_of):
         assert [tuple(s) for s in got[i].base] == _brute(t or ""), i
     assert [(s.start, s.end) for s in got[6].found] == [(4, 44)]
     assert got[2].found == [] and secrets.scan(docs.limit(0), model).count() == 0
+
+
+def test_random_keys_of_sixteen_characters(docs_of):
+    """Free keys of 16 to 19 characters are found, words and numbers of that length are not."""
+    r = random.Random(3)
+    letters = string.ascii_letters + string.digits
+    keys = ["".join(r.choice(letters) for _ in range(n)) for n in (16, 17, 18, 19) for _ in range(10)]
+    words = docs_of([(i, " ".join("".join(r.choice(["in", "ter", "na", "tion", "al", "re", "ly", "anti", "dis", "ment"]) for _ in range(5))
+                                  for _ in range(50)), "a") for i in range(60)])
+    texts = [f"see {k} here" for k in keys] + ["internationalment", "4111111111111111", "4111-1111-1111-1111"]
+    model = secrets.train(secrets.labelled_strings(words))
+    got = {x.doc_id: x.found for x in secrets.scan(docs_of([(i, t, "a") for i, t in enumerate(texts)]), model).collect()}
+    assert [[(s.start, s.end) for s in got[i]] for i in range(len(keys))] == [[(4, 4 + len(k))] for k in keys]
+    assert all(got[i] == [] for i in range(len(keys), len(texts)))
