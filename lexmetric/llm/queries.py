@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmetric.llm import chat, extraction, hilbert, jaccard, lines, mixing, secrets, spotsigs, tiling, toxicity
+from lexmetric.llm import (chat, extraction, hilbert, jaccard, lines, mixing, secrets, spelling, spotsigs, tiling,
+                           toxicity)
 from lexmetric.llm.common import table
 
 QUERIES: dict = {}
@@ -87,3 +88,11 @@ ORACLE["op2_line_dedup"] = lines.dedup_sql()
 @query
 def op4_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.repair(table(spark, sf_dir, "conversations"))
+
+
+@query
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+ORACLE["op11_spelling"] = spelling.VARIANTS_SQL
