@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmetric.llm import (chat, extraction, hilbert, jaccard, lines, mixing, secrets, spelling, spotsigs, tiling,
-                           toxicity)
+from lexmetric.llm import (chat, extraction, hilbert, jaccard, lines, mixing, phrases, secrets, spelling,
+                           spotsigs, tiling, toxicity)
 from lexmetric.llm.common import table
 
 QUERIES: dict = {}
@@ -96,3 +96,11 @@ def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE["op11_spelling"] = spelling.VARIANTS_SQL
+
+
+@query
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+ORACLE["op12_collocations"] = phrases.COLLOCATIONS_SQL

@@ -6,9 +6,10 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 
-from lexmetric.llm import spelling
+from lexmetric.llm import phrases, spelling
 
 LONG = "Wanderer wondered about the wanderers of Wunderland. " * 20_000
 
@@ -72,3 +73,68 @@ def test_variants_long_text_and_clashing_columns(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, run string, word string, n int, prefix string")
     got = {r.word: (r.form, r.root, r.n, r.n_near, r.form_n) for r in spelling.variants(docs).collect()}
     assert got == dict(plain_variants([(r[0], r[1]) for r in rows]))
+
+
+def plain_collocations(rows, min_count, max_words, top, covered=100):
+    lower = str.maketrans(spelling.UPPER, spelling.UPPER.lower())
+    n, f = Counter(), Counter()
+    for text, lang in rows:
+        lang = "und" if lang is None else lang
+        for piece in re.split("[.,;:!?\n-\r]", (text or "").translate(lower)):
+            words = re.findall("[^ \t]+", piece)
+            n[lang] += len(words)
+            f.update((lang, tuple(words[i:i + k])) for k in range(1, max_words + 1) for i in range(len(words) - k + 1))
+    often = {p for p, c in f.items() if c >= min_count and len(p[1]) > 1}
+    out = {}
+    for lang, p in often:
+        a = f[lang, p]
+        inside = [q for x, q in often if x == lang and len(q) > len(p)
+                  and any(q[i:i + len(p)] == p for i in range(len(q) - len(p) + 1))]
+        if any(100 * f[lang, q] >= covered * a for q in inside):
+            continue
+        cuts = [(1000 * a * n[lang] // (f[lang, p[:k]] * f[lang, p[k:]]), k) for k in range(1, len(p))]
+        s, k = min(cuts)
+        out.setdefault(lang, []).append((" ".join(p), a, f[lang, p[:k]], f[lang, p[k:]], n[lang], s))
+    for lang, found in out.items():
+        found.sort(key=lambda x: (-x[5], -x[1], x[0].encode()))
+        yield from ((lang, i, *x) for i, x in enumerate(found[:top], 1))
+
+
+def phrase_docs(spark, rows):
+    return spark.createDataFrame([(t, g, "x", 1, [2], 3) for t, g in rows],
+                                 "text string, lang string, phrase string, n int, ids array<int>, shard int")
+
+
+@pytest.mark.parametrize("shards,covered,top", [(1, 100, 2000), (3, 100, 7), (8, 60, 2000)])
+def test_collocations_equal_plain_counting(spark, shards, covered, top):
+    r = random.Random(shards)
+    words = ["The", "the", "of", "é", "Zoë x", "new", "york", "\x00", "a b"]
+    weights = [5, 5, 4, 3, 1, 2, 2, 1, 2]
+    rows = [("".join(w + r.choice([" ", " ", " ", "\t", ", ", ". ", "\n", "\x0b", "  "])
+                     for w in r.choices(words, weights, k=r.randint(0, 60))), r.choice(["en", "fr", None, "und"]))
+            for _ in range(150)] + [(None, "en"), ("", None), ("the new york " * 3000, "en")]
+    docs = phrase_docs(spark, rows).repartition(5)
+    got = [tuple(x) for x in phrases.collocations(docs, min_count=6, shards=shards, covered=covered, top=top).collect()]
+    assert sorted(got) == sorted(plain_collocations(rows, 6, 5, top, covered)) and got
+
+
+def test_collocations_exact_beyond_64_bits(spark):
+    a, n, part = 3_000_000_000, 9_000_000_000_000, 7_000_000_001
+    row = spark.createDataFrame([(a, n, part, part)], "a long, n long, l long, r long")
+    big = "cast({} as decimal(19,0))".format
+    got = row.selectExpr(f"({big('1000')} * {big('a')} * {big('n')}) div ({big('l')} * {big('r')}) AS s").first().s
+    assert got == 1000 * a * n // (part * part)
+
+
+@pytest.mark.parametrize("rows", [[], [(None, None)], [("", "en")], [("one two", "en")]])
+def test_collocations_none(spark, rows):
+    assert phrases.collocations(phrase_docs(spark, rows), min_count=2).collect() == []
+
+
+def test_filter_never_loses_a_gram(spark):
+    r = random.Random(3)
+    grams = [r.randint(-2 ** 63, 2 ** 63 - 1) for _ in range(3000)] + [0, -1, 2 ** 63 - 1, -2 ** 63]
+    bits = phrases.bit_filter(spark.createDataFrame([(g,) for g in grams], "gram long"))
+    assert phrases.maybe(bits, np.array(grams, dtype=np.int64).view(np.uint64)).all()
+    other = np.array([r.randint(0, 2 ** 63) for _ in range(3000)], dtype=np.uint64)
+    assert phrases.maybe(bits, other).mean() < 0.05
