@@ -211,7 +211,7 @@ def frequent_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "l
     ids.write.parquet(path)
     ids = spark.read.parquet(path)
     parts = cut(ids.groupBy("shard", "lang").agg(F.sum("n").alias("part")))
-    total = cut(parts.groupBy("lang").agg(F.sum("part").alias("n")))
+    total = cut(parts.groupBy("lang").agg(F.sum("part").alias("n")).where("n > 0"))
     support = parts.join(total, "lang").select(
         "shard", "lang", F.ceil(F.col("part").cast("decimal(19,0)") * min_count / F.col("n")).alias("support"))
     filters = []
