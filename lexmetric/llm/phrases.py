@@ -57,7 +57,7 @@ def rolling(ids: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     yield gram, inside
     for j in range(1, k):
         ahead = np.zeros_like(ids)
-        ahead[:len(ids) - j] = ids[j:]
+        ahead[:max(0, len(ids) - j)] = ids[j:]
         gram = gram * np.uint64(0x9E3779B97F4A7C15) + ahead
         gram = (gram ^ (gram >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
         inside = inside & (ahead != 0)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmetric.llm import (chat, extraction, hilbert, jaccard, lines, mixing, phrases, secrets, spelling,
+from lexmetric.llm import (chat, extraction, hilbert, jaccard, licenses, lines, mixing, phrases, secrets, spelling,
                            spotsigs, tiling, toxicity)
 from lexmetric.llm.common import table
 
@@ -104,3 +104,13 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE["op12_collocations"] = phrases.COLLOCATIONS_SQL
+
+
+@query
+def op13_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = licenses.scan(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_words", "n_base", "first_word", "last_word",
+                       F.array_join("base_labels", ",").alias("base_labels"),
+                       F.array_join("labels", ",").alias("labels"), "score",
+                       F.array_join(F.transform("spans", lambda s: F.concat_ws(
+                           ":", s["label"], s["start"], s["end"], s["edits"])), ",").alias("spans"))

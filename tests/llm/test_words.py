@@ -9,7 +9,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from lexmetric.llm import phrases, spelling
+from lexmetric.llm import licenses, phrases, spelling
 
 LONG = "Wanderer wondered about the wanderers of Wunderland. " * 20_000
 
@@ -138,3 +138,89 @@ def test_filter_never_loses_a_gram(spark):
     assert phrases.maybe(bits, np.array(grams, dtype=np.int64).view(np.uint64)).all()
     other = np.array([r.randint(0, 2 ** 63) for _ in range(3000)], dtype=np.uint64)
     assert phrases.maybe(bits, other).mean() < 0.05
+
+
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def plain_licenses(text):
+    low = (text or "").translate(str.maketrans(spelling.UPPER, spelling.UPPER.lower()))
+    plain = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
+    places = sorted((i, label) for phrase, label in licenses.BASE for i in range(len(plain))
+                    if plain[i:i + len(phrase.split())] == phrase.split())
+    return plain, places
+
+
+def noisy_notice(r):
+    n = r.choice(licenses.NOTICES)
+    s = list(n.text)
+    for _ in range(r.randint(0, n.errors + 1)):
+        i = r.randrange(len(s))
+        kind = r.randint(0, 2)
+        s[i:i + 1] = [] if kind == 0 else [r.choice("abelx ")] if kind == 1 else [s[i], r.choice("abelx")]
+    return "".join(s)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_notices_equal_edit_distance_of_every_span(seed):
+    r = random.Random(seed)
+    find = licenses.Finder()
+    for _ in range(15):
+        filler = r.choices("the of license licensed under public gnu cc by general mit software".split(), k=r.randint(0, 6))
+        words = " ".join([*filler, noisy_notice(r), *filler[:2], noisy_notice(r)]).split()
+        norm = " " + " ".join(words) + " "
+        got = {}
+        for i, start, end, edits in find.notices_in(norm):
+            assert norm[start - 1] == norm[end] == " "
+            assert edit_distance(norm[start:end], licenses.NOTICES[i].text) == edits
+            got[i] = min(edits, got.get(i, 99))
+        want = {}
+        for i, n in enumerate(licenses.NOTICES):
+            spans = (" ".join(words[a:b]) for a in range(len(words)) for b in range(a + 1, len(words) + 1))
+            near = [edit_distance(s, n.text) for s in spans if abs(len(s) - len(n.text)) <= n.errors]
+            if near and min(near) <= n.errors:
+                want[i] = min(near)
+        assert got == want
+
+
+def license_docs(spark, texts):
+    return spark.createDataFrame([(i, t, "n", 1, "x") for i, t in enumerate(texts)],
+                                 "doc_id long, text string, norm string, n_words int, found string")
+
+
+def test_licenses_of_documents(spark):
+    texts = [None, "", "Released under the MIT License.", "under the MIT-License; cc_by, CC BY. GNU General Public License!",
+             "Relaesed under the MTI Licence", "Licensed under CC BY-NC 4.0.", "Licensed under CC BY.",
+             "the GNU Lesser Genral Public License", "é the mit licénse", "submit license", "the emit licensee",
+             "plain words of nothing", "mit license " * 30_000, "the mit  license of", "APACHE LICENSE", "APACHE LICENSE",
+             "ẞİ Mit\tLicense", "license " * 20_000]
+    got = {r.doc_id: r for r in licenses.scan(license_docs(spark, texts)).collect()}
+    assert len(got) == len(texts)
+    for i, t in enumerate(texts):
+        plain, places = plain_licenses(t)
+        r = got[i]
+        assert (r.n_words, r.n_base) == (len(plain), len(places))
+        assert (r.first_word, r.last_word) == ((places[0][0], places[-1][0]) if places else (None, None))
+        assert r.base_labels == sorted({x for _, x in places}) and set(r.base_labels) <= set(r.labels)
+        assert 0 <= r.score <= 1 and (r.score > 0) == bool(r.labels)
+        assert all(0 <= s.start < s.end <= len(t) and 0 <= s.first_word < r.n_words for s in r.spans)
+    assert got[5].labels == ["cc-by", "cc-by-nc"] and got[6].labels == ["cc-by"] and got[7].labels == ["lgpl"]
+    span = got[7].spans[0]
+    assert texts[7][span.start:span.end] == "GNU Lesser Genral Public License" and span.edits == 1
+    assert got[8].labels == ["mit"] and not got[9].labels and not got[11].labels
+    assert licenses.scan(license_docs(spark, texts).where("doc_id < 0")).collect() == []
+
+
+def test_seeds_are_in_every_text_with_labels():
+    r = random.Random(9)
+    find, pieces = licenses.Finder(), licenses.seeds()
+    for _ in range(300):
+        text = f"a {noisy_notice(r)} b"
+        if find(text)["labels"]:
+            assert any(p in f" {text} " for p in pieces)
