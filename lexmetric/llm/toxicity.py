@@ -11,6 +11,7 @@ steadied by the base rate, give the score and its evidence.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -28,6 +29,8 @@ MAX_EXAMPLES = 20_000
 MAX_TERMS, MIN_CHI, MIN_COUNT = 4000, 12.0, 4
 #: Neighbours that vote, examples in an index block, and the weight of the base rate.
 K, BLOCK, PRIOR_WEIGHT = 15, 64, 1.0
+#: Blocks of highest bound read first.
+FIRST = 8
 
 _WORD = re.compile(r"[^\W_]+")
 
@@ -41,31 +44,52 @@ def words(text: str | None) -> Counter:
     return Counter(_WORD.findall(text.lower())) if text else Counter()
 
 
-def terms(counts: Counter, vocabulary=None) -> dict[str, int]:
-    """Terms with counts; with a vocabulary only its terms."""
-    out: dict[str, int] = {}
-    for w, n in counts.items():
-        if vocabulary is None:
-            out[w] = out.get(w, 0) + n
-            for k in range(4, min(7, len(w)) + 1):
-                out["^" + w[:k]] = out.get("^" + w[:k], 0) + n
-        else:
-            if w in vocabulary:
-                out[w] = out.get(w, 0) + n
-            if len(w) >= 4 and w[:4] in vocabulary.stems:
-                for k in range(4, min(7, len(w)) + 1):
-                    p = "^" + w[:k]
-                    if p in vocabulary:
-                        out[p] = out.get(p, 0) + n
+def all_terms(counts: Counter) -> set[str]:
+    """Every term of a text's words."""
+    out: set[str] = set()
+    for w in counts:
+        out.add(w)
+        for k in range(4, min(7, len(w)) + 1):
+            out.add("^" + w[:k])
     return out
 
 
 class Vocabulary(dict):
-    """Term -> number, with the first four letters of the marked beginnings."""
+    """Term -> number.  The terms of a word are looked up once and held, for
+    ``HELD`` words at a time."""
+
+    HELD = 200_000
 
     def __init__(self, names):
         super().__init__((t, i) for i, t in enumerate(names))
-        self.stems = {t[1:5] for t in names if t.startswith("^")}
+        self.held: dict[str, tuple[int, ...]] = {}
+
+    def __reduce__(self):
+        return Vocabulary, (list(self),)
+
+    def of_word(self, w: str) -> tuple[int, ...]:
+        found = [self[w]] if w in self else []
+        for k in range(4, min(7, len(w)) + 1):
+            t = self.get("^" + w[:k])
+            if t is not None:
+                found.append(t)
+        if len(self.held) >= self.HELD:
+            self.held.clear()
+        out = self.held[w] = tuple(found)
+        return out
+
+
+def terms(counts: Counter, vocabulary: Vocabulary) -> dict[int, int]:
+    """Term numbers of a text's words, with counts."""
+    out: dict[int, int] = {}
+    held = vocabulary.held
+    for w, n in counts.items():
+        found = held.get(w)
+        if found is None:
+            found = vocabulary.of_word(w)
+        for t in found:
+            out[t] = out.get(t, 0) + n
+    return out
 
 
 def examples(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) -> DataFrame:
@@ -85,7 +109,7 @@ def choose_terms(sample: DataFrame, max_terms: int = MAX_TERMS) -> list[str]:
         for frame in frames:
             tally: dict[str, list[int]] = {}
             for y, text in zip(frame["y"], frame["text"], strict=True):
-                for t in terms(words(text)):
+                for t in all_terms(words(text)):
                     tally.setdefault(t, [0, 0])[1 if y else 0] += 1
             yield pd.DataFrame([(t, a, b) for t, (a, b) in tally.items()], columns=["term", "neg", "pos"])
     n = sample.groupBy(F.col("y") > 0).count().collect()
@@ -113,7 +137,7 @@ def frequencies(docs: DataFrame, names: list[str]) -> tuple[int, np.ndarray]:
             for text in frame["text"]:
                 total += 1
                 for t in terms(words(text), vocabulary):
-                    tally[vocabulary[t]] += 1
+                    tally[t] += 1
         yield pd.DataFrame({"t": np.concatenate(([-1], np.flatnonzero(tally))),
                             "n": np.concatenate(([total], tally[tally > 0]))})
     out, total = np.zeros(len(names), dtype=np.int64), 0
@@ -127,9 +151,11 @@ def frequencies(docs: DataFrame, names: list[str]) -> tuple[int, np.ndarray]:
 
 
 class Index:
-    """Block-max inverted index over unit TF-IDF vectors of the examples."""
+    """Block-max inverted index over unit TF-IDF vectors of the examples: for each
+    term the examples that hold it with their weights, and for each term and
+    block of ``BLOCK`` examples the largest weight."""
 
-    def __init__(self, names: list[str], idf: np.ndarray, rows: list[tuple[int, int, dict[str, int]]],
+    def __init__(self, names: list[str], idf: np.ndarray, rows: list[tuple[int, int, dict[int, int]]],
                  k: int = K):
         self.vocabulary, self.idf, self.k = Vocabulary(names), idf, k
         labels = [r[1] for r in rows]
@@ -140,46 +166,54 @@ class Index:
         rows = sorted(rows, key=lambda r: (sorted(r[2]), r[0]))  # alike examples share blocks
         self.ids = np.array([r[0] for r in rows], dtype=np.int64)
         self.y = np.array([r[1] for r in rows], dtype=np.float64)
-        # Block b holds the weights of its examples by term: its posting lists side by side.
-        self.blocks, tops = [], []
-        for lo in range(0, len(rows), BLOCK):
-            weights = np.zeros((len(names), min(BLOCK, len(rows) - lo)))
-            for i, (_, _, counts) in enumerate(rows[lo:lo + BLOCK]):
-                at, weight = self.vector(counts)
-                weights[at, i] = weight
-            held = np.flatnonzero(weights.any(axis=1))
-            where = np.full(len(names), len(held), dtype=np.int32)
-            where[held] = np.arange(len(held))
-            self.blocks.append((where, np.vstack((weights[held], np.zeros((1, weights.shape[1]))))))
-            tops.append(weights.max(axis=1))
-        self.top = np.stack(tops, axis=1) if tops else np.zeros((len(names), 0))
+        held: list[list[tuple[int, float]]] = [[] for _ in names]
+        for i, (_, _, counts) in enumerate(rows):
+            for t, weight in zip(*self.vector(counts)):
+                held[t].append((i, weight))
+        self.who = [np.array([i for i, _ in p], dtype=np.int64) for p in held]
+        self.weight = [np.array([w for _, w in p]) for p in held]
+        self.top = np.zeros((len(names), -(-len(rows) // BLOCK)))
+        for t, (who, weight) in enumerate(zip(self.who, self.weight)):
+            np.maximum.at(self.top[t], who // BLOCK, weight)
         self.memo: dict = {}
 
-    def vector(self, counts: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-        at = np.array(sorted(self.vocabulary[t] for t in counts), dtype=np.int64)
+    def vector(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+        at = np.array(sorted(counts), dtype=np.int64)
         if not len(at):
             return at, np.zeros(0)
-        by = {self.vocabulary[t]: n for t, n in counts.items()}
-        weight = np.array([1.0 + np.log(by[t]) for t in at.tolist()]) * self.idf[at]
+        weight = (1.0 + np.log(np.array([counts[t] for t in at.tolist()]))) * self.idf[at]
         return at, weight / np.sqrt((weight ** 2).sum())
 
-    def nearest(self, counts: dict[str, int]) -> list[tuple[float, int]]:
-        """The k examples of highest cosine above 0 (ties by smaller id): (cosine, example)."""
+    def cosines(self, at: np.ndarray, weight: np.ndarray, open_blocks: np.ndarray) -> np.ndarray:
+        """Cosine with every example of the open blocks, 0 with the others."""
+        out = np.zeros(len(self.ids))
+        for t, w in zip(at.tolist(), weight.tolist()):
+            who = self.who[t]
+            inside = open_blocks[who // BLOCK]
+            out[who[inside]] += w * self.weight[t][inside]
+        return out
+
+    def nearest(self, counts: dict[int, int]) -> list[tuple[float, int]]:
+        """The k examples of highest cosine above 0 and all that tie with the last of
+        them: (cosine, example).  The blocks of highest bound set a floor; blocks
+        whose bound does not reach it stay closed."""
         at, weight = self.vector(counts)
-        if not len(at):
+        if not len(at) or not len(self.ids):
             return []
         bound = weight @ self.top[at]
-        best: list[tuple[float, int, int]] = []
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or (len(best) == self.k and bound[b] < -best[-1][0] - 1e-12):
-                break
-            where, weights = self.blocks[b]
-            acc = weight @ weights[where[at]]
-            floor = -best[-1][0] - 1e-12 if len(best) == self.k else 0.0
-            got = np.flatnonzero((acc > 0) & (acc >= floor))
-            best += [(-round(float(acc[i]), 12), int(self.ids[b * BLOCK + i]), b * BLOCK + int(i)) for i in got]
-            best = sorted(best)[:self.k]
-        return [(-c, i) for c, _, i in best]
+        floor = 0.0
+        if len(bound) > FIRST:
+            first = np.zeros(len(bound), dtype=bool)
+            first[np.argpartition(-bound, FIRST)[:FIRST]] = True
+            sure = np.sort(self.cosines(at, weight, first))[::-1]
+            floor = sure[self.k - 1] if len(sure) >= self.k else 0.0
+        got = np.round(self.cosines(at, weight, bound >= floor - 1e-9), 12)
+        near = np.flatnonzero(got > 0)
+        if len(near) > self.k:
+            last = np.partition(got[near], len(near) - self.k)[len(near) - self.k]
+            near = near[got[near] >= last]
+        order = np.lexsort((self.ids[near], -got[near]))
+        return [(float(got[i]), int(i)) for i in near[order]]
 
     def score(self, counts: dict[str, int]) -> tuple[float, list[int], list[float]]:
         """Share of label 1 among the neighbours, each weighing cos / (1.1 - cos),
@@ -189,10 +223,14 @@ class Index:
         key = tuple(sorted(counts.items()))
         if key not in self.memo:
             near = self.nearest(counts)
-            vote, weight = PRIOR_WEIGHT * self.prior, PRIOR_WEIGHT
-            for c, i in near:
-                x = c / (1.1 - c)
-                vote, weight = vote + x * self.y[i], weight + x
+            # All that tie with the k-th share the votes left to them, and sums are exact:
+            # no order among ties can change a score.
+            last = near[-1][0] if near else 0.0
+            ties = sum(c == last for c, _ in near)
+            share = min(1.0, (self.k - len(near) + ties) / ties) if ties else 1.0
+            votes = [(c / (1.1 - c) * (share if c == last else 1.0), self.y[i]) for c, i in near]
+            vote = math.fsum([PRIOR_WEIGHT * self.prior, *(x * y for x, y in votes)])
+            weight = math.fsum([PRIOR_WEIGHT, *(x for x, _ in votes)])
             if len(self.memo) >= 50_000:
                 self.memo.clear()
             self.memo[key] = (vote / weight if near else self.silent,
@@ -213,7 +251,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) ->
             got = [terms(words(t), vocabulary) for t in frame["text"]]
             yield pd.DataFrame({"doc_id": frame["doc_id"], "y": (frame["y"] > 0).astype("int64"),
                                 "terms": [list(g) for g in got], "counts": [list(g.values()) for g in got]})
-    rows = sample.mapInPandas(vectors, "doc_id long, y long, terms array<string>, counts array<long>").collect()
+    rows = sample.mapInPandas(vectors, "doc_id long, y long, terms array<int>, counts array<long>").collect()
     return Index(names, idf, [(r[0], r[1], dict(zip(r[2], r[3], strict=True))) for r in rows])
 
 
