@@ -9,7 +9,6 @@ in few files, so each file spans a narrow range of every column.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -79,7 +78,10 @@ def text_cuts(docs: DataFrame, key: Column, shares: list[float]) -> list[str]:
 def curve(docs: DataFrame, dims, bits: int = BITS) -> Column:
     """The cell of a row on the curve.  ``dims`` are (column, type) pairs; nulls
     come before all values.  One pass finds the cut points of all numbers, one
-    each those of a text: at most 2**bits - 1 values per dimension come to the driver."""
+    each those of a text: at most 2**bits - 1 values per dimension come to the driver.
+    There are 2**(bits * dimensions) cells; more than 2**20 are refused."""
+    if bits * len(dims) > 20:
+        raise ValueError(f"{len(dims)} dimensions of {bits} bits make more than 2**20 cells")
     shares = [i / 2 ** bits for i in range(1, 2 ** bits)]
     numeric = [isinstance(k, T.NumericType) for _, k in dims]
     keys = [F.coalesce(c.cast("double"), F.lit(-1.0)) if x else as_text(c) for (c, _), x in zip(dims, numeric, strict=True)]
@@ -90,10 +92,12 @@ def curve(docs: DataFrame, dims, bits: int = BITS) -> Column:
         cuts = np.unique(next(found) or [0.0]).tolist() if x else text_cuts(docs, c, shares)
         bins.append(sum(((c > F.lit(q)).cast("int") for q in cuts), F.lit(0)))
 
-    @F.pandas_udf("long")
-    def index(*bins: pd.Series) -> pd.Series:
-        return pd.Series(hilbert_index(np.stack([b.to_numpy() for b in bins], axis=1), bits), dtype="int64")
-    return index(*bins)
+    # The curve as a literal array, cell by cell: looked up where the row is read, without a Python worker.
+    cells = np.array(list(np.ndindex(*[2 ** bits] * len(dims))), dtype=np.int64)
+    at = F.lit(0)
+    for b in bins:
+        at = at * 2 ** bits + b
+    return F.get(F.lit(hilbert_index(cells, bits)), at)
 
 
 def placed(docs: DataFrame, cell: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -172,12 +176,12 @@ def shard_rows(docs: DataFrame, dims=None, shards: int = 16, id_col: str = "doc_
     cell = curve(docs, dims or metadata(docs), bits)
     one, n = positions(placed(docs, cell, id_col, text_col))
     keep = [c for c in docs.columns if c not in ("shard", "slot")]
-    ident = ["__id", "__tie", "__cell"]
-    plan = one.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("__id"),
-                      F.col("tie").alias("__tie"), F.col("cell").alias("__cell"), F.col("at").alias("__at"))
-    rows = docs.select(*keep, F.coalesce(F.col(id_col).cast("string"), F.lit("null")).alias("__id"),
-                       F.md5(F.coalesce(F.col(text_col), F.lit(""))).alias("__tie"), cell.alias("__cell"))
+    ident = ["id", "tie", "cell"]
+    plan = one.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("id"), "tie", "cell", "at")
+    # The row travels as one column, so its names cannot clash with ours.
+    rows = docs.select(F.struct(*keep).alias("row"), F.coalesce(F.col(id_col).cast("string"), F.lit("null")).alias("id"),
+                       F.md5(F.coalesce(F.col(text_col), F.lit(""))).alias("tie"), cell.alias("cell"))
     # Rows that agree in id, text and cell take their block of positions in any order of their other columns.
-    number = F.row_number().over(Window.partitionBy(*ident).orderBy(F.xxhash64(*[F.col(c) for c in keep]))) - 1
-    return rows.join(plan, ident).withColumn("__pos", F.col("__at") + number).select(
-        *keep, *_run(F.col("__pos"), n, shards))
+    number = F.row_number().over(Window.partitionBy(*ident).orderBy(F.xxhash64("row"))) - 1
+    return rows.join(plan, ident).withColumn("pos", F.col("at") + number).select(
+        "row.*", *_run(F.col("pos"), n, shards))
