@@ -359,8 +359,8 @@ def fit(pages: DataFrame, id_col: str = "page_id", html_col: str = "html",
     ids = (pages.where(F.col(id_col).isNotNull() & F.col(html_col).isNotNull()).select(F.col(id_col).alias("i"))
            .orderBy(F.xxhash64("i"), "i").limit(max_pages))
     # At most max_pages ids: the broadcast is bounded by the parameter.
-    sample = pages.join(F.broadcast(ids), pages[id_col] == F.col("i"), "left_semi")
-    prose = sorted({r[0] for r in sample.select(F.col(html_col).alias("html"))
+    sample = pages.select(F.col(id_col).alias("i"), F.col(html_col).alias("html")).join(F.broadcast(ids), "i", "left_semi")
+    prose = sorted({r[0] for r in sample.select("html")
                     .mapInPandas(sentences, "t string").collect()})
     return train(labelled_pages(prose or ["The text of the page is here and goes on for a while."], count))
 

@@ -129,15 +129,15 @@ def mixed_rows(docs: DataFrame, **options) -> DataFrame:
     id_col = options.get("id_col", "doc_id")
     text_col, source_col = options.get("text_col", "text"), options.get("source_col", "source")
     plan = cut(mix(docs, **options).where("copies > 0").select(
-        F.col("doc_id").alias("__id"), F.col("source").alias("__source"),
-        F.col("tie").alias("__tie"), F.col("copies").alias("__copies")).distinct())
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    hit = (docs[id_col].eqNullSafe(plan["__id"])
-           & docs[source_col].cast("string").eqNullSafe(plan["__source"])
-           & (F.md5(text) == plan["__tie"]))
-    return (docs.join(plan, hit).withColumn(
-        "__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies"))))
-        .select(*[docs[c] for c in docs.columns]))
+        "doc_id", "source", "tie", "copies").distinct())
+    # The row travels as one column, so its names cannot clash with ours.
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("row_id"),
+                       F.col(source_col).cast("string").alias("row_source"),
+                       F.md5(F.coalesce(F.col(text_col), F.lit(""))).alias("row_tie"))
+    hit = (F.col("row_id").eqNullSafe(F.col("doc_id")) & F.col("row_source").eqNullSafe(F.col("source"))
+           & (F.col("row_tie") == F.col("tie")))
+    return (rows.join(plan, hit).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+            .select("row.*"))
 
 
 MIX_SQL = r"""

@@ -89,14 +89,14 @@ def labelled_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     ids = docs.select(F.col(id_col).alias("i")).where("i is not null").distinct()
     ids = ids.orderBy(F.xxhash64("i"), "i").limit(n_docs)
     # At most n_docs ids: the broadcast is bounded by the parameter.
-    texts = docs.join(F.broadcast(ids), docs[id_col] == F.col("i"), "left_semi")
+    texts = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("text")).join(F.broadcast(ids), "i", "left_semi")
     digest = F.sha2(F.col("i").cast("string"), 256)
     b64 = F.base64(F.unhex(digest))
     random = ids.select(F.explode(F.array(
         digest, F.upper(digest), b64, F.regexp_replace(b64, "[+/=]", ""),
         F.translate(b64, "+/", "-_"))).alias("s")).select(F.lit("random").alias("label"), "s")
     word = F.explode(F.regexp_extract_all(
-        F.coalesce(F.col(text_col), F.lit("")), F.lit("[A-Za-z0-9_-]{6,40}"), F.lit(0)))
+        F.coalesce(F.col("text"), F.lit("")), F.lit("[A-Za-z0-9_-]{6,40}"), F.lit(0)))
     plain = texts.select(word.alias("s")).where(
         (F.length(F.regexp_replace("s", "[^0-9]", "")) < 4)).select(F.lit("plain").alias("label"), "s")
     return random.unionByName(plain)

@@ -237,8 +237,8 @@ def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     """The documents no benchmark item is covered by.  Flagged documents are
     few (at most one row per copied passage), and rows are told apart by id and
     text, so a clean row with a flagged row's id stays."""
-    keyed = docs.select("*", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("__text"))
-    numbered = keyed.select(F.col("__text").alias("doc_id"), F.col(text_col).alias("text"))
-    bad = coverage(numbered, benchmark, "doc_id", "text", **options).select(
-        F.col("doc_id").alias("__text")).distinct()
-    return keyed.join(bad, "__text", "left_anti").drop("__text")
+    # The row travels as one column, so its names cannot clash with ours.
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), F.col(text_col).alias("text"),
+                        F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("doc_id"))
+    bad = coverage(keyed.select("doc_id", "text"), benchmark, "doc_id", "text", **options).select("doc_id").distinct()
+    return keyed.join(bad, "doc_id", "left_anti").select("row.*")
