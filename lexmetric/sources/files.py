@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexmetric.functions.columns import strip_text
-from lexmetric.operators.sequence import running, with_position
+from lexmetric.operators.sequence import running
+from lexmetric.sources.splits import numbered_in_split, numbered_lines, quoted_records, scan_lines
 
 SAMPLE_SCHEMA = T.StructType([
     T.StructField("text", T.StringType()),
@@ -29,7 +30,7 @@ _TSV = {"sep": "\t", "quote": '"', "escape": '"', "multiLine": "true",
         "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
 # A bare empty field reads as null, a quoted one as the empty text: the marker
 # is a text that no field holds, else Spark takes both for null.
-_TSV_READ = {**_TSV, "nullValue": "\x00"}
+_TSV_RECORD = {**{k: v for k, v in _TSV.items() if k != "multiLine"}, "nullValue": "\x00"}
 
 
 def read_table(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
@@ -49,20 +50,31 @@ def read_table(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFram
     return df.repartition(want) if have < want else df
 
 
-def read_samples(spark: SparkSession, path: str, schema: T.StructType = SAMPLE_SCHEMA) -> DataFrame:
-    """A1: headerless three-column TSV (text, label, sem_type)."""
-    return spark.read.schema(schema).options(**_TSV_READ).option("header", "false").csv(path)
+def _parsed(spark: SparkSession, path: str, schema: T.StructType, header: bool, source_file: str | None) -> DataFrame:
+    """Fields of quoted records; every split of a file is read by its own task."""
+    records = quoted_records(spark, path)
+    if header:      # the first record of every file
+        records = records.where((F.col("block") != 0) | (F.col("n") != 0))
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
+    fields = F.from_csv("record", ddl, _TSV_RECORD)
+    named = [F.col("path").alias(source_file)] if source_file else []
+    return records.select(fields.alias("_r"), *named).select("_r.*", *([source_file] if source_file else []))
 
 
-def read_translated(spark: SparkSession, path: str) -> DataFrame:
-    """A2: TSV with a header whose first (index) column has no name.
+def read_samples(spark: SparkSession, path: str, schema: T.StructType = SAMPLE_SCHEMA,
+                 source_file: str | None = None) -> DataFrame:
+    """A1: headerless three-column TSV (text, label, sem_type); fields may hold
+    quoted tabs, quotes and line feeds, and large files are read in many tasks.
+    ``source_file`` names a column for the path of each row's file."""
+    return _parsed(spark, path, schema, header=False, source_file=source_file)
 
-    Spark names the nameless header ``_c0``; it becomes ``idx BIGINT``.
-    """
+
+def read_translated(spark: SparkSession, path: str, source_file: str | None = None) -> DataFrame:
+    """A2: TSV with a header whose first (index) column has no name; it
+    becomes ``idx BIGINT``.  Read as A1."""
     schema = T.StructType([T.StructField("idx", T.LongType())] +
                           [T.StructField(c, T.StringType()) for c in TRANSLATED_FIELDS[1:]])
-    return (spark.read.schema(schema).options(**_TSV_READ).option("header", "true")
-            .option("enforceSchema", "true").csv(path))
+    return _parsed(spark, path, schema, header=True, source_file=source_file)
 
 
 def write_samples(df: DataFrame, path: str, index: str = "pos",
@@ -94,16 +106,10 @@ def rebuild_output(df: DataFrame, path: str, writer=None) -> None:
 def read_lines(spark: SparkSession, path: str, value: str = "line", pos: str = "pos") -> DataFrame:
     """Lines of text files with their 0-based position in file order.
 
-    Files are ordered by name, lines by (split start, offset in split): the
-    split start and the in-task row id are taken right at the scan, so the
-    position needs no single-task read of the file.
+    Files are ordered by name.  A line's position is the number of lines in the
+    splits before its own plus its place there, so no text is sorted.
     """
-    raw = spark.read.text(path).select(
-        F.col("value").alias(value),
-        F.col("_metadata.file_name").alias("_f"),
-        F.col("_metadata.file_block_start").alias("_b"),
-        F.monotonically_increasing_id().alias("_i"))
-    return with_position(raw, ["_f", "_b", "_i"], name=pos).drop("_f", "_b", "_i")
+    return numbered_lines(spark, path, value, pos)
 
 
 def write_lines(df: DataFrame, path: str, line: str = "line", order: str = "pos",
@@ -125,18 +131,14 @@ def read_strict_tsv(spark: SparkSession, path: str, fields: Sequence[str] = TRAN
     skipped, when its names after the first are ``fields[1:]`` (the index
     column may be nameless); the same line further down is data.
     """
-    lines = spark.read.text(path).select(
-        strip_text("value").alias("value"), F.col("_metadata.file_path").alias("_f"),
-        F.struct(F.col("_metadata.file_block_start").alias("b"),
-                 F.monotonically_increasing_id().alias("i")).alias("_at"))
+    lines = numbered_in_split(scan_lines(spark, path)).withColumn("value", strip_text("value"))
     tagged = lines.withColumn("_parts", F.split("value", "\t", -1))
     if header:
         # The stripped header of a nameless index has one field less.
         names = F.array(*[F.lit(f) for f in fields[1:]])
         like = F.slice("_parts", -(len(fields) - 1), len(fields) - 1) == names
         like = F.when(F.size("_parts").isin(len(fields) - 1, len(fields)), like).otherwise(F.lit(False))
-        first = lines.groupBy(F.col("_f").alias("_ff")).agg(F.min("_at").alias("_first"))   # a row per file
-        tagged = tagged.join(first, F.col("_f") == F.col("_ff")).filter(~(like & (F.col("_at") == F.col("_first"))))
+        tagged = tagged.filter(~(like & (F.col("block") == 0) & (F.col("n") == 0)))
     ok = F.size("_parts") == F.lit(len(fields))
     good = tagged.filter(ok).select(
         *[F.element_at("_parts", i + 1).alias(f) for i, f in enumerate(fields)])
@@ -163,10 +165,11 @@ def scan_dir(spark: SparkSession, directory: str, name_contains: str, reader) ->
     """A4: read every entry of ``directory`` whose name contains a word.
 
     The word becomes a path glob, so unmatched files are never listed into
-    the scan; ``source_file`` tells which entry each row came from.
+    the scan; ``source_file`` tells which entry each row came from (``reader``
+    takes the column's name under that keyword).
     """
     pattern = f"{directory.rstrip('/')}/*{name_contains}*"
-    return reader(spark, pattern).withColumn("source_file", F.col("_metadata.file_path"))
+    return reader(spark, pattern, source_file="source_file")
 
 
 def read_parallel_lines(spark: SparkSession, paths: Sequence[str],
