@@ -620,18 +620,16 @@ SELECT * FROM (
     SELECT sample_id, len(tokens) AS n,
            CASE WHEN len(tokens) <= 1 THEN 0 ELSE length(bin(len(tokens) - 1)) END AS bucket
     FROM samples),
-  cuts AS (
-    SELECT *, (row_number() OVER (ORDER BY bucket, n, sample_id) - 1) // 100000 AS part FROM sized),
   placed AS (
-    SELECT *, row_number() OVER (PARTITION BY bucket, part ORDER BY n, sample_id) AS r FROM cuts),
+    SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY n, sample_id) AS r FROM sized),
   packed AS (
-    SELECT bucket, part, r, sample_id, n, 0 AS k, 1 AS held FROM placed WHERE r = 1
+    SELECT bucket, r, sample_id, n, 0 AS k, 1 AS held FROM placed WHERE r = 1
     UNION ALL
-    SELECT q.bucket, q.part, q.r, q.sample_id, q.n,
+    SELECT q.bucket, q.r, q.sample_id, q.n,
            CASE WHEN p.held + 1 > 100 OR (p.held + 1) * q.n > 4096 THEN p.k + 1 ELSE p.k END,
            CASE WHEN p.held + 1 > 100 OR (p.held + 1) * q.n > 4096 THEN 1 ELSE p.held + 1 END
-    FROM packed p JOIN placed q ON q.bucket = p.bucket AND q.part = p.part AND q.r = p.r + 1)
-  SELECT sample_id, CAST(n AS INTEGER) AS n_tokens, bucket || '-' || part || '-' || k AS batch_id FROM packed)""")
+    FROM packed p JOIN placed q ON q.bucket = p.bucket AND q.r = p.r + 1)
+  SELECT sample_id, CAST(n AS INTEGER) AS n_tokens, bucket || '-' || k AS batch_id FROM packed)""")
 def q_d8(spark, sf):
     s = S.samples(spark, sf).withColumn("n_tokens", F.size("tokens"))
     packed = D.token_budget_batches(s, max_tokens=4096, max_sentences=100)

@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from lexmetric.operators.packing import pack
 from lexmetric.operators.sequence import with_position
 
 # Fixed value: the languages every sample is expanded into, in this order.
@@ -95,41 +94,22 @@ def batches(df: DataFrame, size: int, order: str | None = "pos", shuffle: bool =
 
 
 def token_budget_batches(df: DataFrame, max_tokens: int, max_sentences: int,
-                         length: str = "n_tokens", key: str = "sample_id",
-                         shard_rows: int = 100_000, batch: str = "batch_id") -> DataFrame:
+                         length: str = "n_tokens", key: str = "sample_id", batch: str = "batch_id",
+                         num_chunks: int | None = None) -> DataFrame:
     """Batches limited by sentences and by padded tokens.
 
-    Packing is sequential, so it runs per shard in ``applyInPandas``: rows are
-    bucketed by length (power of two) and cut into shards of at most
-    ``shard_rows`` rows along (length, key), so no group is unbounded.  Inside
-    a shard rows are sorted by length and packed greedily while
-    ``count <= max_sentences`` and ``count * longest <= max_tokens``.  A single
-    row longer than ``max_tokens`` gets a batch of its own.  The batch id is
-    ``<bucket>-<shard>-<k>``.
+    Rows are bucketed by length (power of two) and packed greedily along
+    (length, key) while ``count <= max_sentences`` and ``count * longest <=
+    max_tokens``.  A single row longer than ``max_tokens`` gets a batch of its
+    own.  The batch id is ``<bucket>-<k>``.  Packing runs in ordered chunks
+    whose results are strung together (``packing``): the chunks' number has no
+    part in the result.
     """
     # Bits of length - 1: the power of two that holds the length, in whole numbers.
     bucket = F.when(F.col(length) <= 1, F.lit(0)).otherwise(
         F.length(F.bin(F.col(length).cast("long") - 1))).cast("int")
-    staged = df.select(key, length).withColumn("_bucket", bucket)
-    staged = with_position(staged, ["_bucket", length, key], name="_gpos")
-    staged = staged.withColumn("_shard", F.floor(F.col("_gpos") / shard_rows).cast("long")).drop("_gpos")
-
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([length, key], kind="stable")
-        ids, k, count, longest = [], 0, 0, 0
-        for n in pdf[length].tolist():
-            new_longest = max(longest, n)
-            if count and (count + 1 > max_sentences or (count + 1) * new_longest > max_tokens):
-                k, count, longest = k + 1, 0, 0
-                new_longest = n
-            count, longest = count + 1, new_longest
-            ids.append(k)
-        b = pdf["_bucket"].astype(str) + "-" + pdf["_shard"].astype(str) + "-"
-        return pd.DataFrame({key: pdf[key].values, batch: (b + pd.Series(ids, index=pdf.index).astype(str)).values})
-
-    schema = T.StructType([T.StructField(key, df.schema[key].dataType), T.StructField(batch, T.StringType())])
-    packed = staged.groupBy("_bucket", "_shard").applyInPandas(pack, schema)
-    return df.join(packed, key)
+    packed = pack(df, bucket, length, key, max_tokens, max_sentences, num_chunks)
+    return df.join(packed.select(key, F.concat_ws("-", "bucket", "number").alias(batch)), key)
 
 
 def shard(df: DataFrame, num_shards: int, shard_id: int, pos: str = "pos") -> DataFrame:

@@ -2,9 +2,8 @@
 
 Token sequences are ``ARRAY`` columns; padding is an operator, not a storage
 rule.  Lookups against the vocabulary explode with positions, join the
-vocabulary (AQE broadcasts it when its runtime size is under the broadcast
-threshold, and splits skewed token keys otherwise), and collect each sample
-back in position order -- a sample is bounded by its own length.  (A map
+vocabulary (``lookup``: broadcast up to a measured size, a shuffle join with
+hot tokens apart beyond it), and collect each sample back in position order -- a sample is bounded by its own length.  (A map
 value in a ``transform`` looks keys up linearly in Spark, so it is no
 substitute for the join beyond toy vocabularies.)
 """
@@ -17,8 +16,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexmetric.functions.columns import strip_text, words
+from lexmetric.operators.lookup import lookup
 from lexmetric.operators.sequence import with_position
-from lexmetric.operators.sizing import broadcast_if_small
+from lexmetric.operators.sizing import DEFAULT_MAX_BYTES
 
 # The special symbols and their ids, first in every vocabulary
 # (beginning of sentence, padding, end of sentence, unknown).
@@ -80,7 +80,8 @@ def _attach(df: DataFrame, values: DataFrame, key: str, keep: Sequence[str] | No
 
 
 def encode(df: DataFrame, vocab: DataFrame, tokens: str = "tokens", out: str = "ids",
-           key: str = "sample_id", unk: int = UNK, keep: Sequence[str] | None = None) -> DataFrame:
+           key: str = "sample_id", unk: int = UNK, keep: Sequence[str] | None = None,
+           max_bytes: int = DEFAULT_MAX_BYTES) -> DataFrame:
     """Tokens -> ids; unknown tokens -> ``unk``.  ``key`` must be unique.
 
     With ``keep`` (small scalar columns) the result is ``key, out, *keep``
@@ -89,7 +90,7 @@ def encode(df: DataFrame, vocab: DataFrame, tokens: str = "tokens", out: str = "
     """
     carry = list(keep or [])
     exploded = _by_key(df, key).select(key, *carry, F.posexplode_outer(tokens).alias("_p", "token"))
-    joined = exploded.join(broadcast_if_small(vocab.select("token", "token_id")), "token", "left")
+    joined = lookup(exploded, vocab.select("token", "token_id"), "token", max_bytes)
     ids = _ordered_values(joined, key, "_p", F.coalesce(F.col("token_id"), F.lit(unk)), out, carry)
     return _attach(df, ids, key, keep)
 
@@ -113,7 +114,8 @@ def pad(df: DataFrame, tokens: str = "ids", pad_id: int = PAD, length: int | Non
 
 def decode(df: DataFrame, vocab: DataFrame, ids: str = "ids", out: str = "decoded",
            key: str = "sample_id", skip_specials: bool = True, escape_unk: bool = False,
-           eos: int = EOS, unk: int = UNK, keep: Sequence[str] | None = None) -> DataFrame:
+           eos: int = EOS, unk: int = UNK, keep: Sequence[str] | None = None,
+           max_bytes: int = DEFAULT_MAX_BYTES) -> DataFrame:
     """Ids -> space-joined text.
 
     ``skip_specials`` drops every id the vocabulary marks as special, added
@@ -135,7 +137,7 @@ def decode(df: DataFrame, vocab: DataFrame, ids: str = "ids", out: str = "decode
     carry = list(keep or [])
     exploded = _by_key(df, key).select(key, *carry,
                                        F.posexplode_outer(F.filter(F.col(ids), keep_id)).alias("_p", "token_id"))
-    joined = exploded.join(broadcast_if_small(vocab.select("token_id", "token", "is_special")), "token_id", "left")
+    joined = lookup(exploded, vocab.select("token_id", "token", "is_special"), "token_id", max_bytes)
     toks = _ordered_values(joined, key, "_p",
                            render(F.col("token_id"), F.col("token")), "_toks", carry)
     toks = toks.select(key, *carry, F.array_join("_toks", " ").alias(out))
@@ -171,7 +173,8 @@ def unknown_rate(df: DataFrame, ids: str = "ids", unk: int = UNK, out: str = "un
 
 def embed_tokens(df: DataFrame, vectors: DataFrame, ids: str = "ids", key: str = "sample_id",
                  scale: float = 1.0, pad_id: int = PAD, dim: int | None = None,
-                 out: str = "vectors", keep: Sequence[str] | None = None) -> DataFrame:
+                 out: str = "vectors", keep: Sequence[str] | None = None,
+                 max_bytes: int = DEFAULT_MAX_BYTES) -> DataFrame:
     """Look up a vector per token, scaled by ``scale`` (1 or sqrt(dim));
     pad and ids without a vector give zero vectors."""
     if dim is None:
@@ -179,7 +182,7 @@ def embed_tokens(df: DataFrame, vectors: DataFrame, ids: str = "ids", key: str =
     zeros = F.array_repeat(F.lit(0.0), dim)
     carry = list(keep or [])
     exploded = _by_key(df, key).select(key, *carry, F.posexplode_outer(ids).alias("_p", "token_id"))
-    joined = exploded.join(broadcast_if_small(vectors.select("token_id", "vec")), "token_id", "left")
+    joined = lookup(exploded, vectors.select("token_id", "vec"), "token_id", max_bytes)
     vec = F.when((F.col("token_id") == F.lit(pad_id)) | F.col("vec").isNull(), zeros).otherwise(
         F.transform("vec", lambda x: x.cast("double") * F.lit(float(scale))))
     emb = _ordered_values(joined, key, "_p", vec, out, carry)
