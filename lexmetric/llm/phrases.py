@@ -7,7 +7,7 @@ completely at that lower support, level by level (a phrase of k words is
 counted where its first and last k - 1 words are frequent), the locally
 frequent phrases are united, and one more pass counts all of them exactly.
 
-A shard is no task: its files are read by many tasks that count 64-bit gram
+A shard is no task: its files are read by many tasks that count 32-bit gram
 hashes in bounded buffers, and a shuffle by (shard, language, gram) sums them.
 The united phrases travel as a bit filter of bounded size.  Whatever the
 filter or a hash lets through by mistake is counted by its words like any
@@ -30,11 +30,11 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Ends of a piece; all become a line feed.
 STOPS = ".,;:!?\x0b\x0c\r"
 #: Shards of the corpus; a locally frequent phrase stands min_count / SHARDS times in one of them.
-SHARDS = 8
+SHARDS = 3
 #: Grams a task holds before it sums them, and phrases before it hands them on.
-BUFFER_GRAMS, BUFFER_PHRASES = 2_000_000, 200_000
+BUFFER_GRAMS, BUFFER_PHRASES = 4_000_000, 400_000
 #: Bits of the largest filter (16 MB) and bits for each phrase below that.
-MAX_BITS, BITS_EACH = 2 ** 27, 32
+MAX_BITS, BITS_EACH = 2 ** 27, 64
 
 
 def tokens(text: Column) -> Column:
@@ -44,42 +44,39 @@ def tokens(text: Column) -> Column:
 
 
 def word_ids(lang: Column, words: Column) -> Column:
-    """64-bit hashes of (language, word), 0 at the end of a piece and of the text."""
-    ids = F.transform(words, lambda w: F.when(w == "\n", F.lit(0)).otherwise(
-        F.coalesce(F.nullif(F.xxhash64(lang, w), F.lit(0)), F.lit(1))))
-    return F.concat(ids, F.array(F.lit(0).cast("long")))
+    """32-bit hashes of (language, word), 0 at the end of a piece and of the text."""
+    def one(w):
+        h = F.hash(lang, w)
+        return F.when(w == "\n", F.lit(0)).when(h == 0, F.lit(1)).otherwise(h)
+    return F.concat(F.transform(words, one), F.array(F.lit(0)))
 
 
 def rolling(ids: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Hash and validity (inside one piece) of the j words from each place, for j = 1 to k."""
-    ids = ids.view(np.uint64)
-    gram, inside = ids, ids != 0
-    yield gram, inside
-    for j in range(1, k):
-        ahead = np.zeros_like(ids)
-        ahead[:max(0, len(ids) - j)] = ids[j:]
-        gram = gram * np.uint64(0x9E3779B97F4A7C15) + ahead
-        gram = (gram ^ (gram >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-        inside = inside & (ahead != 0)
-        yield gram, inside
+    """32-bit hash and validity (inside one piece) of the j words from each place, for j = 1 to k."""
+    ids = ids.view(np.uint32).astype(np.uint64)
+    mixed, inside = ids, ids != 0
+    for j in range(k):
+        if j:
+            ahead = np.zeros_like(ids)
+            ahead[:max(0, len(ids) - j)] = ids[j:]
+            mixed = (mixed ^ (mixed >> np.uint64(29))) + ahead
+            inside = inside & (ahead != 0)
+        mixed = mixed * np.uint64(0x9E3779B97F4A7C15)
+        yield mixed >> np.uint64(32), inside
 
 
 def maybe(bits: np.ndarray, grams: np.ndarray) -> np.ndarray:
-    """Whether the filter may hold a gram: two bits each."""
-    top = np.uint64(len(bits) * 64 - 1)
-
-    def lit(place):
-        return (bits[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1)
-    return (lit(grams & top) & lit((grams >> np.uint64(32)) & top)).astype(bool)
+    """Whether the filter may hold a gram."""
+    place = grams & np.uint64(len(bits) * 64 - 1)
+    return ((bits[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1)).astype(bool)
 
 
 def bit_filter(grams: DataFrame) -> np.ndarray:
     """Bits of the distinct grams, set in Spark: at most MAX_BITS come to the driver."""
     n = grams.count()
     size = min(MAX_BITS, max(2 ** 12, 1 << (n * BITS_EACH - 1).bit_length())) if n else 2 ** 12
-    place = F.explode(F.array(F.col("gram"), F.shiftrightunsigned("gram", 32)))
-    rows = (grams.select(place.alias("p")).select(F.col("p").bitwiseAND(F.lit(size - 1)).alias("p"))
-            .groupBy(F.shiftright("p", 6).cast("int").alias("word"))
+    place = F.col("gram").bitwiseAND(F.lit(size - 1))
+    rows = (grams.select(place.alias("p")).groupBy(F.shiftright("p", 6).cast("int").alias("word"))
             .agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("bits")))
     # At most size / 64 rows.
     found = rows.toArrow()
