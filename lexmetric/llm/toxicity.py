@@ -55,8 +55,8 @@ def all_terms(counts: Counter) -> set[str]:
 
 
 class Vocabulary(dict):
-    """Term -> number.  The terms of a word are looked up once and held, for
-    ``HELD`` words at a time."""
+    """Term -> number.  The terms that are beginnings of a word hang on its first
+    seven letters; they are looked up once for each and held, ``HELD`` at a time."""
 
     HELD = 200_000
 
@@ -67,26 +67,26 @@ class Vocabulary(dict):
     def __reduce__(self):
         return Vocabulary, (list(self),)
 
-    def of_word(self, w: str) -> tuple[int, ...]:
-        found = [self[w]] if w in self else []
-        for k in range(4, min(7, len(w)) + 1):
-            t = self.get("^" + w[:k])
-            if t is not None:
-                found.append(t)
+    def beginnings(self, start: str) -> tuple[int, ...]:
         if len(self.held) >= self.HELD:
             self.held.clear()
-        out = self.held[w] = tuple(found)
+        found = (self.get("^" + start[:k]) for k in range(4, len(start) + 1))
+        out = self.held[start] = tuple(t for t in found if t is not None)
         return out
 
 
 def terms(counts: Counter, vocabulary: Vocabulary) -> dict[int, int]:
     """Term numbers of a text's words, with counts."""
     out: dict[int, int] = {}
-    held = vocabulary.held
+    get, held = vocabulary.get, vocabulary.held.get
     for w, n in counts.items():
-        found = held.get(w)
+        t = get(w)
+        if t is not None:
+            out[t] = out.get(t, 0) + n
+        start = w[:7]
+        found = held(start)
         if found is None:
-            found = vocabulary.of_word(w)
+            found = vocabulary.beginnings(start)
         for t in found:
             out[t] = out.get(t, 0) + n
     return out
@@ -172,7 +172,8 @@ class Index:
                 held[t].append((i, weight))
         self.who = [np.array([i for i, _ in p], dtype=np.int64) for p in held]
         self.weight = [np.array([w for _, w in p]) for p in held]
-        self.top = np.zeros((len(names), -(-len(rows) // BLOCK)))
+        blocks = -(-len(rows) // BLOCK)
+        self.top = np.zeros((len(names), blocks))
         for t, (who, weight) in enumerate(zip(self.who, self.weight)):
             np.maximum.at(self.top[t], who // BLOCK, weight)
         self.memo: dict = {}
@@ -184,36 +185,32 @@ class Index:
         weight = (1.0 + np.log(np.array([counts[t] for t in at.tolist()]))) * self.idf[at]
         return at, weight / np.sqrt((weight ** 2).sum())
 
-    def cosines(self, at: np.ndarray, weight: np.ndarray, open_blocks: np.ndarray) -> np.ndarray:
-        """Cosine with every example of the open blocks, 0 with the others."""
-        out = np.zeros(len(self.ids))
-        for t, w in zip(at.tolist(), weight.tolist()):
-            who = self.who[t]
-            inside = open_blocks[who // BLOCK]
-            out[who[inside]] += w * self.weight[t][inside]
-        return out
-
     def nearest(self, counts: dict[int, int]) -> list[tuple[float, int]]:
         """The k examples of highest cosine above 0 and all that tie with the last of
-        them: (cosine, example).  The blocks of highest bound set a floor; blocks
-        whose bound does not reach it stay closed."""
+        them: (cosine, example).  The blocks of highest bound give a floor under the
+        k-th best; blocks whose bound does not reach it are left out."""
         at, weight = self.vector(counts)
         if not len(at) or not len(self.ids):
             return []
         bound = weight @ self.top[at]
+        cosine = np.zeros((len(bound), BLOCK))
+        flat = cosine.reshape(-1)
+        # Lists are short beside their blocks, so they are added whole; blocks tell who is compared.
+        for t, w in zip(at.tolist(), weight.tolist()):
+            flat[self.who[t]] += w * self.weight[t]
         floor = 0.0
         if len(bound) > FIRST:
-            first = np.zeros(len(bound), dtype=bool)
-            first[np.argpartition(-bound, FIRST)[:FIRST]] = True
-            sure = np.sort(self.cosines(at, weight, first))[::-1]
-            floor = sure[self.k - 1] if len(sure) >= self.k else 0.0
-        got = np.round(self.cosines(at, weight, bound >= floor - 1e-9), 12)
-        near = np.flatnonzero(got > 0)
-        if len(near) > self.k:
-            last = np.partition(got[near], len(near) - self.k)[len(near) - self.k]
-            near = near[got[near] >= last]
-        order = np.lexsort((self.ids[near], -got[near]))
-        return [(float(got[i]), int(i)) for i in near[order]]
+            sure = cosine[np.argpartition(-bound, FIRST)[:FIRST]].reshape(-1)
+            floor = np.partition(sure, len(sure) - self.k)[len(sure) - self.k]
+        blocks = np.flatnonzero(bound >= floor - 1e-9)
+        got = cosine[blocks].reshape(-1)
+        near = np.flatnonzero((got > 0) & (got >= floor - 1e-9))
+        got, place = np.round(got[near], 12), blocks[near // BLOCK] * BLOCK + near % BLOCK
+        if len(got) > self.k:
+            keep = got >= np.partition(got, len(got) - self.k)[len(got) - self.k]
+            got, place = got[keep], place[keep]
+        ranked = np.lexsort((self.ids[place], -got))
+        return [(float(got[i]), int(place[i])) for i in ranked]
 
     def score(self, counts: dict[str, int]) -> tuple[float, list[int], list[float]]:
         """Share of label 1 among the neighbours, each weighing cos / (1.1 - cos),
