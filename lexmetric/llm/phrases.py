@@ -31,8 +31,8 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 STOPS = ".,;:!?\x0b\x0c\r"
 #: Shards of the corpus; a locally frequent phrase stands min_count / SHARDS times in one of them.
 SHARDS = 3
-#: Grams a task holds before it sums them, and phrases before it hands them on.
-BUFFER_GRAMS, BUFFER_PHRASES = 4_000_000, 400_000
+#: Grams a task holds before it sums them.
+BUFFER_GRAMS = 4_000_000
 #: Bits of the largest filter (16 MB) and bits for each phrase below that.
 MAX_BITS, BITS_EACH = 2 ** 27, 64
 
@@ -136,16 +136,7 @@ def counted(texts: DataFrame, filters: list, max_words: int) -> DataFrame:
     """(lang, phrase, words, f): places of every phrase of 1 to ``max_words`` words that the
     filters may hold, counted by its words."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = {}, 0
-
-        def drain():
-            for (lang, k), found in held.items():
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(found), pa.string()), pa.array(list(found.keys()), pa.string()),
-                     pa.array(np.full(len(found), k, dtype=np.int32)), pa.array(list(found.values()), pa.int64())],
-                    ["lang", "phrase", "words", "f"])
-            held.clear()
-
+        # The sums of a batch go straight on: Spark's own aggregate adds them up before the shuffle.
         for batch in batches:
             langs = batch.column("lang").to_pylist()
             for lang in dict.fromkeys(langs):
@@ -163,29 +154,23 @@ def counted(texts: DataFrame, filters: list, max_words: int) -> DataFrame:
                     hit &= inside
                     at = np.flatnonzero(hit)
                     at = at[maybe(filters[k - 1].value, gram[at])]
-                    hit = np.zeros(len(ids), dtype=bool)
-                    hit[at] = True
                     if not len(at):
                         break
+                    hit = np.zeros(len(ids), dtype=bool)
+                    hit[at] = True
                     # Equal numbers are equal words: number of the phrase before, then its last word.
                     last = codes[at + k - 1]
                     which = last if k == 1 else same[at] * len(names) + last
                     _, first, inverse, c = np.unique(which, return_index=True, return_inverse=True, return_counts=True)
                     ends = last[first].tolist()
-                    new = ([names[e] for e in ends] if k == 1 else
-                           [f"{phrases[s]} {names[e]}" for s, e in zip(same[at[first]].tolist(), ends)])
+                    phrases = ([names[e] for e in ends] if k == 1 else
+                               [f"{phrases[s]} {names[e]}" for s, e in zip(same[at[first]].tolist(), ends)])
                     same = np.zeros(len(ids), dtype=np.int64)
                     same[at] = inverse
-                    phrases = new
-                    into = held.setdefault((lang, k), {})
-                    size -= len(into)
-                    for p, x in zip(new, c.tolist()):
-                        into[p] = into.get(p, 0) + x
-                    size += len(into)
-                if size >= BUFFER_PHRASES:
-                    yield from drain()
-                    size = 0
-        yield from drain()
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([lang] * len(phrases), pa.string()), pa.array(phrases, pa.string()),
+                         pa.array(np.full(len(phrases), k, dtype=np.int32)), pa.array(c.astype(np.int64))],
+                        ["lang", "phrase", "words", "f"])
 
     parts = texts.mapInArrow(count, "lang string, phrase string, words int, f long")
     return parts.groupBy("lang", "phrase", "words").agg(F.sum("f").alias("f"))
