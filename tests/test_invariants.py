@@ -91,7 +91,7 @@ def test_stream_final_state_equals_batch(spark):
 
 def test_token_budget_batches_respect_limits(spark):
     s = S.samples(spark, SF_SMALL).withColumn("n_tokens", F.size("tokens"))
-    packed = D.token_budget_batches(s, max_tokens=2048, max_sentences=16, shard_rows=50)
+    packed = D.token_budget_batches(s, max_tokens=2048, max_sentences=16)
     rows = packed.collect()
     assert sorted(r.sample_id for r in rows) == sorted(r.sample_id for r in s.collect())
     groups = {}
@@ -207,35 +207,25 @@ def test_chunks_agree_with_the_window_on_a_hot_group(spark):
     assert {r.t: r.s for r in a.collect()} == {r.t: r.s for r in b.collect()}
 
 
-def _brute_force_packing(rows, max_tokens, max_sentences, shard_rows):
-    """Pure-Python restatement of D8's rule on a small fixture."""
-    import math as m
-    def bucket(n):
-        return 0 if n <= 1 else int(m.ceil(m.log2(n)))
-    ordered = sorted(rows, key=lambda r: (bucket(r[1]), r[1], r[0]))
-    out = {}
-    shards = {}
-    for gpos, (key, n) in enumerate(ordered):
-        shards.setdefault((bucket(n), gpos // shard_rows), []).append((key, n))
-    for (b, sh), members in shards.items():
-        members.sort(key=lambda r: (r[1], r[0]))
-        k = count = longest = 0
-        for key, n in members:
-            new_longest = max(longest, n)
-            if count and (count + 1 > max_sentences or (count + 1) * new_longest > max_tokens):
-                k, count, longest = k + 1, 0, 0
-                new_longest = n
-            count, longest = count + 1, new_longest
-            out[key] = f"{b}-{sh}-{k}"
+def _brute_force_packing(rows, max_tokens, max_sentences):
+    """Row by row over each length bucket in order of (length, key)."""
+    out, held, k, last = {}, 0, 0, None
+    for bucket, n, key in sorted((max(n - 1, 0).bit_length(), n, key) for key, n in rows):
+        if bucket != last:
+            last, held, k = bucket, 0, 0
+        elif held + 1 > max_sentences or (held + 1) * n > max_tokens:
+            held, k = 0, k + 1
+        held += 1
+        out[key] = f"{bucket}-{k}"
     return out
 
 
 def test_token_budget_batches_match_brute_force(spark):
     s = S.samples(spark, SF_SMALL).withColumn("n_tokens", F.size("tokens"))
     got = {r.sample_id: r.batch_id for r in
-           D.token_budget_batches(s, max_tokens=3000, max_sentences=8, shard_rows=40).collect()}
+           D.token_budget_batches(s, max_tokens=3000, max_sentences=8, num_chunks=5).collect()}
     rows = [(r.sample_id, r.n_tokens) for r in s.select("sample_id", "n_tokens").collect()]
-    assert got == _brute_force_packing(rows, 3000, 8, 40)
+    assert got == _brute_force_packing(rows, 3000, 8)
 
 
 def test_stream_totals_over_several_micro_batches(spark):
