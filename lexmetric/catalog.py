@@ -159,7 +159,7 @@ def q_a7(spark, sf):
     path = shared_dir(spark, "a7") + "/gen_translated.tsv"
     A.write_samples(_localized(spark, sf), path)
     schema = "_c0 STRING, text STRING, label STRING, sem_type STRING, language STRING"
-    return (spark.read.schema(schema).options(**A._TSV_READ).option("header", "true").csv(path))
+    return (spark.read.schema(schema).options(**A._TSV, nullValue="\x00").option("header", "true").csv(path))
 
 
 @register("a8_prediction_batches", with_ctes("preds") + """
