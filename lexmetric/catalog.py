@@ -153,6 +153,19 @@ def q_a6(spark, sf):
     return A_codes.attach_codes(S.samples(spark, sf), S.codes(spark, sf)).select("sample_id", "code")
 
 
+@register("a6_read_codes", with_ctes("samples", "codes") + """
+, n AS (SELECT code, row_number() OVER (ORDER BY pos) - 1 AS line_no FROM codes)
+, s AS (SELECT sample_id, row_number() OVER (ORDER BY pos) - 1 AS line_no FROM samples)
+SELECT sample_id, code FROM s LEFT JOIN n USING (line_no)""")
+def q_a6b(spark, sf):
+    """The side file holds a code per line; samples past its end have none."""
+    path = shared_dir(spark, "a6") + "/test.word-predicate.code"
+    A.write_lines(S.codes(spark, sf), path, line="code")
+    numbered = with_position(S.samples(spark, sf).select("sample_id", "pos"), ["pos"], name="line_no")
+    codes = A_codes.read_codes(spark, path, pos="line_no")
+    return A_codes.attach_codes(numbered, codes, pos="line_no").select("sample_id", "code")
+
+
 @register("a7_write_samples", with_ctes("localized") + """
 SELECT CAST(pos AS VARCHAR) AS _c0, text, label, sem_type, language FROM localized""")
 def q_a7(spark, sf):
@@ -210,6 +223,27 @@ def q_a10(spark, sf):
     return A.read_lines(spark, path, value="line", pos="line_no")
 
 
+MODEL = "checkpoint_last.pt"
+
+FULL_REPORT_SQL = REPORT_SQL.replace("SELECT row_number()", f""",
+c AS (SELECT * FROM t WHERE NOT is_overall)
+SELECT 0 AS line_no, 'Model : {MODEL} ;  Accuracy : ' || CAST(full_v AS VARCHAR) AS line FROM t WHERE is_overall
+UNION ALL
+SELECT 1, 'Code type Accuracy : ' || string_agg(key || ' : ' || CAST(full_v AS VARCHAR), '  ;  ' ORDER BY first_pos)
+FROM c
+UNION ALL
+SELECT 2, '  acc: [' || string_agg(CAST(full_v AS VARCHAR), ', ' ORDER BY first_pos) || ']' FROM c
+UNION ALL
+SELECT 3 + row_number()""")
+
+
+@register("a10_full_report", FULL_REPORT_SQL)
+def q_a10b(spark, sf):
+    path = shared_dir(spark, "a10") + "/generate-test.txt"
+    A.write_report(E.full_report(E.summary_table(S.scored(spark, sf)), MODEL), path)
+    return A.read_lines(spark, path, value="line", pos="line_no")
+
+
 @register("a11_rebuild_output", with_ctes("localized") + """
 SELECT sample_id, pos, text, label, sem_type, language FROM localized""")
 def q_a11(spark, sf):
@@ -457,6 +491,47 @@ def q_c10b(spark, sf):
     return TK.unknown_rate(_encoded(spark, sf)).select("sample_id", "unk_rate")
 
 
+# A vocabulary of the conversations alone knows less than half of the documents' words.
+TALK_SQL = with_ctes("samples") + r"""
+, w AS (SELECT unnest(string_split_regex(text, '[\t\n\x0B\f\r ]+')) AS token FROM conversations)
+, v AS (SELECT token, row_number() OVER (ORDER BY count(*) DESC, token) + 3 AS token_id FROM w
+        WHERE token NOT IN ('', '<s>', '<pad>', '</s>', '<unk>') GROUP BY token)
+, x AS (SELECT sample_id, unnest(tokens) AS token, generate_subscripts(tokens, 1) AS p FROM samples)
+, e AS (SELECT x.sample_id, list(coalesce(v.token_id, 3) ORDER BY x.p) AS ids
+        FROM x LEFT JOIN v USING (token) GROUP BY x.sample_id)
+"""
+
+
+def _encoded_by_talk(spark, sf) -> tuple[DataFrame, DataFrame]:
+    talk = S.table(spark, sf, "conversations").select(C.words("text").alias("tokens"))
+    vocab = TK.build_vocab(talk, "tokens")
+    return _encoded(spark, sf, vocab), vocab
+
+
+@register("c3_encode_unknown", TALK_SQL + """
+SELECT sample_id, coalesce(md5(array_to_string(ids, ',')), md5('')) AS ids_md5
+FROM samples LEFT JOIN e USING (sample_id)""")
+def q_c3b(spark, sf):
+    return _encoded_by_talk(spark, sf)[0].select("sample_id", F.md5(C.ids_to_string("ids", ",")).alias("ids_md5"))
+
+
+@register("c10_unknown_rate_of_new_words", TALK_SQL + """
+SELECT sample_id, CASE WHEN len(ids) > 0 THEN len(list_filter(ids, lambda x: x = 3)) / len(ids) END AS unk_rate
+FROM samples LEFT JOIN e USING (sample_id)""")
+def q_c10c(spark, sf):
+    return TK.unknown_rate(_encoded_by_talk(spark, sf)[0]).select("sample_id", "unk_rate")
+
+
+@register("c7_decode_new_words", TALK_SQL + """
+, d AS (SELECT x.sample_id, string_agg(CASE WHEN v.token IS NULL THEN '<<unk>>' ELSE x.token END, ' ' ORDER BY x.p) AS text
+        FROM x LEFT JOIN v USING (token) GROUP BY x.sample_id)
+SELECT sample_id, md5(coalesce(d.text, '')) AS text_md5 FROM samples LEFT JOIN d USING (sample_id)""")
+def q_c7c(spark, sf):
+    ids, vocab = _encoded_by_talk(spark, sf)
+    return TK.decode(ids, vocab, "ids", "decoded", skip_specials=False, escape_unk=True).select(
+        "sample_id", F.md5("decoded").alias("text_md5"))
+
+
 @register("c11_l2_normalize", with_ctes("vecs") + """
 SELECT vec_id, list_transform(vec, lambda x: round(x / greatest(sqrt(list_reduce(list_transform(vec, lambda y: y * y), lambda a, b: a + b)), 1e-12), 6)) AS unit
 FROM vecs""")
@@ -1036,6 +1111,28 @@ def q_i1(spark, sf):
     return stream_accuracy(spark, results).select("code", "n_correct", "n", "accuracy")
 
 
+ARRIVALS = 3
+
+
+@register("i1_stream_history", with_ctes("scored") + f"""
+SELECT CAST(b.batch_id AS INTEGER) AS batch_id, CASE WHEN GROUPING(code) = 1 THEN 'average' ELSE code END AS key,
+       GROUPING(code) = 1 AS is_overall, count(*) AS n, CAST(sum(correct) AS BIGINT) AS n_correct,
+       sum(correct) / count(*) AS full, round(avg(partial), 6) AS partial
+FROM range({ARRIVALS}) b(batch_id) JOIN scored ON pos % {ARRIVALS} <= b.batch_id
+GROUP BY GROUPING SETS ((b.batch_id, code), (b.batch_id))""")
+def q_i1b(spark, sf):
+    """Results arrive in three loads; after each the stream is started anew,
+    adds what has come, and writes its report as the next batch."""
+    from lexmetric.streaming.accuracy import stream_accuracy
+    results = S.scored(spark, sf).select("pos", "code", F.col("correct").alias("ok"), "partial")
+    base = shared_dir(spark, "i1")
+    for k in range(ARRIVALS):
+        results.filter(F.col("pos") % ARRIVALS == k).write.mode("append").parquet(f"{base}/arrived")
+        stream = spark.readStream.schema(results.schema).parquet(f"{base}/arrived")
+        _, history = stream_accuracy(spark, stream, out_dir=base, history=True, partial="partial")
+    return history.select("batch_id", "key", "is_overall", "n", "n_correct", "full", r6("partial").alias("partial"))
+
+
 # ---------------------------------------------------------------- J: user functions
 
 def _reverse_words_predictor():

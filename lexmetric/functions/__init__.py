@@ -9,6 +9,7 @@ from lexmetric.functions.columns import (  # noqa: F401
     exact,
     format_exact,
     format_fixed,
+    format_repr,
     from_offset,
     ids_to_string,
     l2_normalize,

@@ -105,6 +105,16 @@ def format_exact(c, decimals: int = 3) -> Column:
     return fixed(_col(c).cast("double"))
 
 
+def format_repr(c) -> Column:
+    """Python's ``str(x)`` of a number; a missing value prints as ``nan``.
+    For small report tables, like ``format_exact``."""
+    @F.pandas_udf("string")
+    def plain(v: pd.Series) -> pd.Series:
+        return v.map(lambda x: "nan" if pd.isna(x) else repr(float(x)))
+
+    return plain(_col(c).cast("double"))
+
+
 def render_scores(c, decimals: int = 4, sep: str = " ") -> Column:
     """An array of scores rendered with 4 decimals and space-joined."""
     return F.array_join(F.transform(_col(c), lambda x: format_fixed(x, decimals)), sep)

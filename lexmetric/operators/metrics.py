@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexmetric.functions.columns import exact, format_exact, partial_accuracy
+from lexmetric.functions.columns import exact, format_exact, format_repr, partial_accuracy
 
 OVERALL = "average"
 
@@ -154,6 +154,32 @@ def report_lines(summary: DataFrame) -> DataFrame:
     return ranked.select("line_no", "line")
 
 
+def full_report(summary: DataFrame, model: str) -> DataFrame:
+    """The whole text report of a run, one row per line.
+
+    Three lines come before those of ``report_lines``: the model with its
+    overall accuracy, the accuracy per code by name, and the same as a plain
+    list, both in order of first appearance.  ``summary`` is a
+    ``summary_table``; the lines are as long as there are codes.  Without rows
+    the accuracy is ``nan`` and no code is listed.
+    """
+    # The shapes of the report's first lines.
+    codes = F.array_sort(F.collect_list(F.when(~F.col("is_overall"), F.struct(
+        F.col("first_pos").isNull().alias("last"), F.col("first_pos").alias("at"), "name", "shown"))))
+    head = (summary.withColumn("shown", format_repr("full"))
+            .withColumn("name", F.coalesce(F.col("key"), F.lit("None")))
+            .agg(codes.alias("codes"),
+                 F.coalesce(F.max(F.when(F.col("is_overall"), F.col("shown"))), F.lit("nan")).alias("all")))
+    named = F.transform("codes", lambda s: F.concat(s["name"], F.lit(" : "), s["shown"]))
+    first = F.array(
+        F.concat(F.lit(f"Model : {model} ;  Accuracy : "), F.col("all")),
+        F.concat(F.lit("Code type Accuracy : "), F.array_join(named, "  ;  ")),
+        F.concat(F.lit("  acc: ["), F.array_join(F.transform("codes", lambda s: s["shown"]), ", "), F.lit("]")))
+    opening = head.select(F.posexplode(first).alias("line_no", "line")).withColumn(
+        "line_no", F.col("line_no").cast("long"))
+    return opening.unionByName(report_lines(summary).withColumn("line_no", F.col("line_no") + 3))
+
+
 def code_accuracy_line(by_code: DataFrame, code: str = "code") -> DataFrame:
     """``Code type Accuracy : a : 0.5  ;  b : 1.0`` (one row; its length
     is bounded by the number of codes).  Codes come in order of ``first_pos``

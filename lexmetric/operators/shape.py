@@ -31,33 +31,48 @@ def expand_languages(df: DataFrame, langs: Sequence[str] = LANGUAGES, pos: str =
             .withColumnRenamed("_lang", language).drop("_k"))
 
 
+def _named(df: DataFrame, text: str, language: str, *cols) -> DataFrame:
+    """``cols`` and the key of (text, language) that joins a memory: a 64-bit hash, which
+    sorts fast, and a SHA-256, which settles equality without the text.  The key
+    is null where either is null, so it meets nothing."""
+    whole = F.concat(F.length(F.col(language)), F.lit(":"), F.col(language), F.col(text))
+    return df.select(*cols, F.xxhash64(whole).alias("_h"), F.unhex(F.sha2(whole, 256)).alias("_s"))
+
+
 def localize(df: DataFrame, memory: DataFrame, source: str = SOURCE_LANGUAGE,
              text: str = "text", language: str = "language") -> DataFrame:
     """Source-language rows pass through; the others take their
     translation from a memory ``(src_text, language, translated)``; label and
     sem_type ride along.  A row with no translation keeps a null text (D3
     lists what is missing).  Only the rows that need a translation are
-    shuffled for the join."""
+    shuffled for the join, and both sides are sorted by digests, not by texts;
+    neither the original text of such a row nor that of the memory is moved."""
     is_source = F.col(language).eqNullSafe(F.lit(source))
     # The memory grows with the corpus (one row per text and language) and
     # its static size estimate is far below its real size: never broadcast.
     # Several translations of one text: the smallest, so no sample is doubled.
-    mem = memory.groupBy(F.col("src_text").alias("_src"), F.col("language").alias("_lang")).agg(
+    mem = _named(memory, "src_text", "language", "translated").groupBy("_h", "_s").agg(
         F.min("translated").alias("_tr")).hint("merge")
-    others = df.filter(~is_source)
-    joined = others.join(mem, (F.col(text) == F.col("_src")) & (F.col(language) == F.col("_lang")),
-                         "left")
-    translated = joined.withColumn(text, F.col("_tr")).drop("_src", "_lang", "_tr")
-    return df.filter(is_source).unionByName(translated)
+    others = _named(df.filter(~is_source), text, language, *[c for c in df.columns if c != text])
+    translated = others.join(mem, ["_h", "_s"], "left").withColumnRenamed("_tr", text)
+    return df.filter(is_source).unionByName(translated.select(*df.columns))
 
 
 def pending_translations(df: DataFrame, memory: DataFrame, source: str = SOURCE_LANGUAGE,
                          text: str = "text", language: str = "language") -> DataFrame:
-    """D3: distinct (text, language) pairs that still need a translation."""
-    need = df.filter(F.col(language) != F.lit(source)).select(
-        F.col(text).alias("text"), F.col(language).alias("language"))
-    mem = memory.select(F.col("src_text").alias("text"), "language").hint("merge")
-    return need.join(mem, ["text", "language"], "left_anti").dropDuplicates(["text", "language"])
+    """D3: distinct (text, language) pairs that still need a translation.
+
+    Pairs are made distinct and looked up by their digests, in one shuffle of
+    the samples.  A null text is one pending pair for its language.
+    """
+    need = _named(df.filter(F.col(language) != F.lit(source)), text, language,
+                  F.col(text).alias("text"), F.col(language).alias("language"))
+    # Null texts have no digest: the language keeps their pairs apart.
+    alone = F.when(F.col("_s").isNull(), F.col("language")).alias("_l")
+    pairs = need.groupBy("_h", "_s", alone).agg(F.first("text").alias("text"),
+                                                F.first("language").alias("language"))
+    mem = _named(memory, "src_text", "language").hint("merge")
+    return pairs.join(mem, ["_h", "_s"], "left_anti").select("text", "language")
 
 
 def rotating_sample(df: DataFrame, langs: Sequence[str] = LANGUAGES, pos: str = "pos",

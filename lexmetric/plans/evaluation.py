@@ -38,10 +38,11 @@ def score_predictions(samples: DataFrame, make_fn: Callable, batch_size: int = 6
 
 def evaluate_hypotheses(hyps: DataFrame, targets: DataFrame, vocab: DataFrame,
                         codes: DataFrame | None, n: int = 1, penalty: float = 1.0,
-                        key: str = "sample_id") -> dict[str, DataFrame]:
+                        key: str = "sample_id", model: str | None = None) -> dict[str, DataFrame]:
     """``hyps``: (sample_id, beam, tokens ARRAY<INT>, score); ``targets``:
     (sample_id, pos, target_tokens ARRAY<INT>).  A sample without a target
-    stays, as a wrong answer without partial accuracy."""
+    stays, as a wrong answer without partial accuracy.  With ``model`` (its name) the
+    report is the whole one (``full_report``)."""
     normed = hyps.withColumn("score", length_normalized("score", F.size("tokens") + 1, penalty))
     best = rank_hypotheses(normed, "score", key, tie=("beam",), top=n)
     decoded = decode(best.withColumn("_hid", F.struct(key, "beam")),
@@ -56,5 +57,5 @@ def evaluate_hypotheses(hyps: DataFrame, targets: DataFrame, vocab: DataFrame,
         "scored": scored,
         "summary": summary,
         "top1": E.top1_accuracy(scored),
-        "report": E.report_lines(summary),
+        "report": E.full_report(summary, model) if model else E.report_lines(summary),
     }

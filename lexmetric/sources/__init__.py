@@ -1,6 +1,6 @@
 """Sources and sinks: TSV samples, side files, prediction batches, reports."""
 
-from lexmetric.sources.codes import attach_codes  # noqa: F401
+from lexmetric.sources.codes import attach_codes, read_codes  # noqa: F401
 from lexmetric.sources.files import (  # noqa: F401
     malformed_prediction_lines,
     malformed_vector_lines,

@@ -1,3 +1,3 @@
 """Structured Streaming operators."""
 
-from lexmetric.streaming.accuracy import stream_accuracy, stream_totals  # noqa: F401
+from lexmetric.streaming.accuracy import report_totals, stream_accuracy, stream_totals  # noqa: F401
