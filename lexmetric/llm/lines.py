@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from lexmetric.llm.common import cut
 from lexmetric.operators.sizing import broadcast_if_small
 
-#: Share of a host's pages above which a line goes, and least pages that must hold it.
-RATIO, MIN_PAGES = 0.5, 3
+#: Share of a host's pages above which a line goes, and least pages that must hold it: one page alone repeats nothing.
+RATIO, MIN_PAGES = 0.5, 2
 
 #: Tags that end a line.
 _TAGS = ("address|article|aside|blockquote|body|br|button|caption|center|dd|details|dialog|div|dl|dt|fieldset|figcaption|"

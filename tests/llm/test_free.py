@@ -73,6 +73,26 @@ def test_line_dedup(spark):
     assert lines.dedup(df.limit(0)).count() == 0
 
 
+def test_line_dedup_on_hosts_of_all_sizes(spark):
+    """Hosts of one to five pages and every count of a line, against plain counting."""
+    from collections import Counter
+    rows, page = [], 0
+    for pages in range(1, 6):
+        for i in range(pages):
+            shown = [f"on {n} pages" for n in range(1, pages + 1) if i < n]
+            rows.append((page, f"http://h{pages}.example/{i}", "<br>".join([*shown, *shown, f"own {page}"])))
+            page += 1
+    per_host = Counter(r[1].split("/")[2] for r in rows)
+    seen = Counter((r[1].split("/")[2], x) for r in rows for x in set(r[2].split("<br>")))
+    want = {}
+    for key, url, html in rows:
+        host = url.split("/")[2]
+        want[key] = "\n".join(x for x in html.split("<br>") if seen[host, x] < 2 or 2 * seen[host, x] <= per_host[host])
+    got = {r.page_id: r.text for r in lines.dedup(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == want
+    assert "on 2 pages" not in got[1] and "on 1 pages" in got[0]
+
+
 # ---- 4
 def _least(roles):
     """Brute force over all legal outputs by shortest path."""
