@@ -24,7 +24,7 @@ from lexmetric.operators import shape as D
 from lexmetric.operators import text as B
 from lexmetric.operators import tokens as TK
 from lexmetric.operators.sequence import running, with_position
-from lexmetric.oracle import with_ctes
+from lexmetric.oracle import CTES, with_ctes
 from lexmetric.session import shared_dir
 from lexmetric.sources import codes as A_codes
 from lexmetric.sources import files as A
@@ -50,6 +50,17 @@ def r6(c) -> F.Column:
     return F.round(c * F.lit(1e6)) / F.lit(1e6)
 
 
+def _mixed(sql: str) -> str:
+    """The SQL of a query on ``scored``, asked of ``standins.mixed_scored``."""
+    return sql.replace(with_ctes("scored"), with_ctes("preds", "codes", extra={
+        "mixed": """
+        SELECT p.* EXCLUDE (hyp_tokens, generated),
+               CASE WHEN length(text) % 2 = 0 THEN tokens ELSE hyp_tokens END AS hyp_tokens,
+               CASE WHEN length(text) % 2 = 0 THEN label ELSE generated END AS generated
+        FROM preds p""",
+        "scored": CTES["scored"].replace("FROM preds p", "FROM mixed p")}), 1)
+
+
 # ---------------------------------------------------------------- flagship
 
 def evaluation_summary(scored: DataFrame, code: str = "code") -> DataFrame:
@@ -237,10 +248,10 @@ UNION ALL
 SELECT 3 + row_number()""")
 
 
-@register("a10_full_report", FULL_REPORT_SQL)
+@register("a10_full_report", _mixed(FULL_REPORT_SQL))
 def q_a10b(spark, sf):
     path = shared_dir(spark, "a10") + "/generate-test.txt"
-    A.write_report(E.full_report(E.summary_table(S.scored(spark, sf)), MODEL), path)
+    A.write_report(E.full_report(E.summary_table(S.mixed_scored(spark, sf)), MODEL), path)
     return A.read_lines(spark, path, value="line", pos="line_no")
 
 
@@ -800,6 +811,27 @@ def q_e7(spark, sf):
     return E.top1_accuracy(S.scored(spark, sf).withColumn("rank", F.lit(1)))
 
 
+# The same questions where some answers are right.
+@register("e2_accuracy_by_code_mixed", _mixed(ORACLE["e2_accuracy_by_code"]))
+def q_e2b(spark, sf):
+    return E.accuracy_by_code(S.mixed_scored(spark, sf))
+
+
+@register("e3_full_accuracy_mixed", _mixed(ORACLE["e3_full_accuracy"]))
+def q_e3b(spark, sf):
+    return E.full_accuracy(S.mixed_scored(spark, sf))
+
+
+@register("e6_accuracy_breakdown_mixed", _mixed(ORACLE["e6_accuracy_breakdown"]))
+def q_e6b(spark, sf):
+    return E.accuracy_breakdown(S.mixed_scored(spark, sf)).withColumn("level", F.col("level").cast("long"))
+
+
+@register("evaluation_summary_mixed", _mixed(ORACLE["evaluation_summary"]))
+def q_evaluation_summary_mixed(spark, sf):
+    return evaluation_summary(S.mixed_scored(spark, sf))
+
+
 @register("e8_outcome_counts", with_ctes("pairs") + r"""
 , t AS (SELECT CASE WHEN coalesce(regexp_replace(regexp_replace(src, '^[\t\n\x0B\f\r ]+', ''), '[\t\n\x0B\f\r ]+\z', '') = '', true)
                       OR coalesce(regexp_replace(regexp_replace(tgt, '^[\t\n\x0B\f\r ]+', ''), '[\t\n\x0B\f\r ]+\z', '') = '', true)
@@ -1114,17 +1146,17 @@ def q_i1(spark, sf):
 ARRIVALS = 3
 
 
-@register("i1_stream_history", with_ctes("scored") + f"""
+@register("i1_stream_history", _mixed(with_ctes("scored") + f"""
 SELECT CAST(b.batch_id AS INTEGER) AS batch_id, CASE WHEN GROUPING(code) = 1 THEN 'average' ELSE code END AS key,
        GROUPING(code) = 1 AS is_overall, count(*) AS n, CAST(sum(correct) AS BIGINT) AS n_correct,
        sum(correct) / count(*) AS full, round(avg(partial), 6) AS partial
 FROM range({ARRIVALS}) b(batch_id) JOIN scored ON pos % {ARRIVALS} <= b.batch_id
-GROUP BY GROUPING SETS ((b.batch_id, code), (b.batch_id))""")
+GROUP BY GROUPING SETS ((b.batch_id, code), (b.batch_id))"""))
 def q_i1b(spark, sf):
     """Results arrive in three loads; after each the stream is started anew,
     adds what has come, and writes its report as the next batch."""
     from lexmetric.streaming.accuracy import stream_accuracy
-    results = S.scored(spark, sf).select("pos", "code", F.col("correct").alias("ok"), "partial")
+    results = S.mixed_scored(spark, sf).select("pos", "code", F.col("correct").alias("ok"), "partial")
     base = shared_dir(spark, "i1")
     for k in range(ARRIVALS):
         results.filter(F.col("pos") % ARRIVALS == k).write.mode("append").parquet(f"{base}/arrived")
