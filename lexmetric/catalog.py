@@ -195,6 +195,16 @@ def q_a8(spark, sf):
     return A.read_prediction_batches(spark, path)
 
 
+@register("a8_growing_predictions", with_ctes("preds") + """
+SELECT pos // 256 AS batch_id, md5(text) AS text, md5(label) AS label, md5(generated) AS generated, pos FROM preds""")
+def q_a8b(spark, sf):
+    path = shared_dir(spark, "a8-growing") + "/predictions.jsonl"
+    # The file repeats every row in all later lines, so it holds digests of the texts.
+    short = S.predictions(spark, sf).select("pos", *[F.md5(c).alias(c) for c in ("text", "label", "generated")])
+    A.write_prediction_batches(D.batches(short, 256), path, cumulative=True)
+    return A.read_prediction_batches(spark, path, cumulative=True)
+
+
 A9_SQL = with_ctes("encoded") + """
 SELECT pos, '"' || trim(translate('[' || array_to_string(ids, ', ') || ']', '[],', '')) || '"' AS line
 FROM encoded"""
@@ -302,6 +312,12 @@ def q_b3(spark, sf):
     return B.tag_empty(pairs, ["src", "tgt"], keep_empty=True).select("pos", "src", "tgt", "outcome")
 
 
+@register("b3_drop_empty", "SELECT * FROM (" + B3_SQL + ") WHERE outcome = 'PASS'")
+def q_b3b(spark, sf):
+    pairs = S.conversation_pairs(spark, sf)
+    return B.tag_empty(pairs, ["src", "tgt"]).select("pos", "src", "tgt", "outcome")
+
+
 @register("b4_clean_id_string", with_ctes("encoded") + """
 SELECT sample_id, '"' || trim(translate('[' || array_to_string(ids, ', ') || ']', '[],', '')) || '"' AS cleaned
 FROM encoded""")
@@ -375,6 +391,16 @@ def q_b11(spark, sf):
                     C.format_fixed(C.to_log2("score"), 4).alias("rendered"))
 
 
+@register("b11_render_scores", with_ctes("hyps") + f"""
+SELECT sample_id, array_to_string(list(printf('%.4f', score / {math.log(2.0)!r}) ORDER BY score DESC), ' ') AS rendered
+FROM hyps GROUP BY sample_id""")
+def q_b11b(spark, sf):
+    # An order holds at most seven lines, so its list of scores is bounded.
+    per = S.hypotheses(spark, sf).groupBy("sample_id").agg(
+        F.sort_array(F.collect_list(C.to_log2("score")), asc=False).alias("scores"))
+    return per.select("sample_id", C.render_scores("scores").alias("rendered"))
+
+
 # ---------------------------------------------------------------- C: tokens and arrays
 
 def _vocab(spark, sf) -> DataFrame:
@@ -424,6 +450,15 @@ def q_c4(spark, sf):
                          F.md5(C.ids_to_string("padded", ",")).alias("padded"))
 
 
+@register("c4_pad_left", with_ctes("encoded") + """
+SELECT sample_id,
+       md5(array_to_string(list_concat(list_transform(range(greatest(512 - len(ids), 0)), lambda x: 1), ids), ',')) AS padded
+FROM encoded""")
+def q_c4b(spark, sf):
+    padded = TK.pad(_encoded(spark, sf), "ids", TK.PAD, out="padded", length=512, left=True)
+    return padded.select("sample_id", F.md5(C.ids_to_string("padded", ",")).alias("padded"))
+
+
 @register("c5_strip_pad", with_ctes("encoded") + "SELECT sample_id, ids FROM encoded")
 def q_c5(spark, sf):
     padded = TK.pad(_encoded(spark, sf), "ids", TK.PAD, length=512)
@@ -570,6 +605,24 @@ def q_c12(spark, sf):
     return emb.select("sample_id", F.size("vectors").alias("n_vectors"), r6(total).alias("checksum"))
 
 
+# Vectors of whole numbers (sums of eight floored values), so both engines add them exactly.
+@register("c12_embed_pieces", with_ctes("encoded") + """
+, w AS (SELECT vec_id, list_transform(range(8), lambda k: 8.0::DOUBLE * list_sum(list_transform(
+            list_slice(embedding, k * 8 + 1, k * 8 + 8), lambda y: floor(CAST(y AS DOUBLE) * 1000)))) AS vec
+        FROM embeddings),
+x AS (SELECT sample_id, unnest(ids) AS token_id, generate_subscripts(ids, 1) - 1 AS p FROM encoded)
+SELECT x.sample_id, CAST(x.p // 128 AS INTEGER) AS piece,
+       list(CASE WHEN x.token_id = 1 OR w.vec IS NULL THEN list_transform(range(8), lambda k: 0.0::DOUBLE) ELSE w.vec END
+            ORDER BY x.p) AS vectors
+FROM x LEFT JOIN w ON w.vec_id = x.token_id GROUP BY x.sample_id, x.p // 128""")
+def q_c12b(spark, sf):
+    scaled = F.transform("embedding", lambda y: F.floor(y.cast("double") * 1000).cast("double"))
+    sums = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.aggregate(
+        F.slice(scaled, k * 8 + 1, 8), F.lit(0.0), lambda a, y: a + y))
+    vecs = S.table(spark, sf, "embeddings").select(F.col("vec_id").cast("int").alias("token_id"), sums.alias("vec"))
+    return TK.embed_pieces(_encoded(spark, sf), vecs, "ids", piece=128, scale=8.0, dim=8)
+
+
 @register("c13_vocab_with_vectors", with_ctes("vocab") + """
 SELECT v.token_id, v.token, w.token IS NOT NULL AS has_vector
 FROM vocab v LEFT JOIN (SELECT u.token FROM embeddings e
@@ -593,6 +646,13 @@ def q_c14(spark, sf):
     return TK.repeated_ngrams(S.samples(spark, sf), 3)
 
 
+@register("c14_repeated_8grams", with_ctes("samples") + NGRAMS_SQL.replace("len(tokens) - 1", "len(tokens) - 6")
+          .replace("i + 2", "i + 7").replace(">= 3", ">= 8") + """
+SELECT sample_id, ngram, count(*) AS n FROM g GROUP BY sample_id, ngram HAVING count(*) > 1""")
+def q_c14e(spark, sf):
+    return TK.repeated_ngrams(S.samples(spark, sf), 8)
+
+
 @register("c14_ngram_continuations", with_ctes("samples") + NGRAMS_SQL + """
 SELECT sample_id, list_slice(ngram, 1, 2) AS prefix, list_sort(list(DISTINCT ngram[3])) AS continuations
 FROM g GROUP BY sample_id, list_slice(ngram, 1, 2)""")
@@ -854,12 +914,42 @@ def q_e9b(spark, sf):
     return E.wrong_examples(E.outcomes_per_code(S.scored(spark, sf)))
 
 
+BITS_SQL = _mixed(with_ctes("scored") + """
+, o AS (SELECT code, correct, row_number() OVER (PARTITION BY code ORDER BY pos) - 1 AS i FROM scored)
+SELECT code, i // 256 AS chunk, count(*) AS n, CAST(sum(correct) AS BIGINT) AS n_right,
+       string_agg(CAST(correct AS VARCHAR), '' ORDER BY i) AS outcomes
+FROM o GROUP BY code, i // 256""")
+
+
+@register("e9_outcome_lists", BITS_SQL)
+def q_e9c(spark, sf):
+    bits = E.outcome_bits(S.mixed_scored(spark, sf), chunk=256)
+    return E.outcomes_of_bits(bits).withColumn("outcomes", F.array_join(F.col("outcomes").cast("array<string>"), ""))
+
+
+@register("e9_accuracy_of_lists", _mixed(with_ctes("scored") + """
+SELECT code, count(*) AS n, CAST(sum(correct) AS BIGINT) AS n_correct, sum(correct) / count(*) AS accuracy
+FROM scored GROUP BY code"""))
+def q_e9d(spark, sf):
+    return E.accuracy_of_bits(E.outcome_bits(S.mixed_scored(spark, sf)))
+
+
 @register("e10_token_totals", with_ctes("preds") + """
 SELECT CAST(sum(len(hyp_tokens)) AS BIGINT) AS n_tokens, count(*) AS n_hypotheses FROM preds""")
 def q_e10(spark, sf):
     return E.token_totals(S.predictions(spark, sf).withColumn("rank", F.lit(1)), rank="rank")
 
 
+@register("e10_token_totals_of_best", with_ctes("hyps") + """
+, best AS (SELECT length FROM hyps
+           QUALIFY row_number() OVER (PARTITION BY sample_id ORDER BY score DESC, beam, tie1, tie2) = 1)
+SELECT CAST(sum(CAST(length AS BIGINT)) AS BIGINT) AS n_tokens, count(*) AS n_hypotheses FROM best""")
+def q_e10b(spark, sf):
+    # A hypothesis of ``length`` tokens; the rank is the real one.
+    ranked = _ranked(spark, sf).withColumn("tokens", F.sequence(F.lit(1), F.col("length").cast("int")))
+    return E.token_totals(ranked, "tokens", rank="rank")
+
+
 @register("e11_report_lines", REPORT_SQL)
 def q_e11(spark, sf):
     return _report(spark, sf)
@@ -894,6 +984,16 @@ def q_e13(spark, sf):
     return out.withColumn("ensemble_lprob", r6("ensemble_lprob"))
 
 
+@register("e13_ensemble_per_token", with_ctes("model_cands") + """
+, m AS (SELECT sample_id, step, token_id, max(lprob) AS m FROM model_cands GROUP BY ALL)
+SELECT c.sample_id, c.step, c.token_id,
+       round(max(m.m) + ln(sum(exp(c.lprob - m.m))) - ln(count(*)), 6) AS ensemble_lprob, count(*) AS n_models
+FROM model_cands c JOIN m USING (sample_id, step, token_id) GROUP BY c.sample_id, c.step, c.token_id""")
+def q_e13b(spark, sf):
+    out = E.ensemble_logprob(S.model_candidates(spark, sf), ["sample_id", "step", "token_id"])
+    return out.withColumn("ensemble_lprob", r6("ensemble_lprob"))
+
+
 @register("e14_mean_attention", with_ctes("attn") + """
 , per_model AS (SELECT sample_id, model, tgt_pos, src_pos, avg(attn) AS attn FROM attn
                 GROUP BY sample_id, model, tgt_pos, src_pos)
@@ -1104,6 +1204,39 @@ def q_f11(spark, sf):
     return out.select("sample_id", "step", "token_id", "model", "lprob")
 
 
+FORCED_SQL = with_ctes("broken") + """
+, v AS (SELECT * REPLACE (CASE WHEN token_id = 1 OR isnan(lprob) THEN '-inf'::DOUBLE
+                               WHEN token_id = 3 THEN lprob - 0.5 ELSE lprob END AS lprob) FROM broken),
+c AS (SELECT * REPLACE (CASE WHEN step >= 6 AND token_id <> 2 THEN '-inf'::DOUBLE
+                             WHEN coalesce(forced <> 1, false) THEN
+                                 (CASE WHEN token_id <> forced THEN '-inf'::DOUBLE ELSE lprob END)
+                             WHEN step < 5 AND token_id = 2 THEN '-inf'::DOUBLE ELSE lprob END AS lprob) FROM v)
+"""
+
+
+def _forced(spark, sf) -> DataFrame:
+    return R.constrain_scores(S.broken_candidates(spark, sf), pad=TK.PAD, unk=TK.UNK, eos=TK.EOS,
+                              unk_penalty=0.5, min_len=5, max_len=6, prefix="forced")
+
+
+@register("f11_constrain_with_prefix", FORCED_SQL + "SELECT sample_id, step, token_id, part, model, lprob FROM c")
+def q_f11b(spark, sf):
+    return _forced(spark, sf).select("sample_id", "step", "token_id", "part", "model", "lprob")
+
+
+# A sample's candidates of all steps, so that ends, ruled-out ends and other tokens compete.
+@register("f7_top_of_constrained", FORCED_SQL + """
+, top AS (SELECT *, CAST(row_number() OVER (PARTITION BY sample_id ORDER BY lprob DESC, token_id, step, part, model)
+                         AS INTEGER) AS cand_rank FROM c QUALIFY cand_rank <= 4)
+SELECT sample_id, step, token_id, part, model, lprob, cand_rank,
+       is_end AND cand_rank <= 2 AS finished,
+       NOT is_end AND row_number() OVER (PARTITION BY sample_id, is_end ORDER BY cand_rank) <= 2 AS active
+FROM (SELECT *, token_id = 2 AND lprob <> '-inf'::DOUBLE AS is_end FROM top)""")
+def q_f7b(spark, sf):
+    out = R.top_candidates(_forced(spark, sf), 2, ["sample_id"], TK.EOS, tie=("step", "part", "model"))
+    return out.select("sample_id", "step", "token_id", "part", "model", "lprob", "cand_rank", "finished", "active")
+
+
 @register("f12_force_prefix", with_ctes("cands") + """
 , p AS (SELECT sample_id, step, min(token_id) AS prefix_token FROM cands WHERE step <= 2 GROUP BY sample_id, step)
 SELECT c.sample_id, c.step, c.token_id, c.model,
@@ -1236,6 +1369,13 @@ def q_prepare_corpus(spark, sf):
     return trimmed.select("sample_id", "pos", "language", "text", "label", "sem_type")
 
 
+@register("prepare_corpus_pending", ORACLE["d3_pending_translations"])
+def q_prepare_pending(spark, sf):
+    from lexmetric.plans.corpus import prepare_corpus
+    _trimmed, pending = prepare_corpus(S.samples(spark, sf).drop("tokens"), S.translation_memory(spark, sf))
+    return pending
+
+
 EVAL_PLAN_SQL = with_ctes("encoded", "codes") + """
 , txt AS (
     SELECT x.sample_id,

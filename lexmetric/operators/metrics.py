@@ -12,8 +12,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexmetric.functions.columns import exact, format_exact, format_repr, partial_accuracy
+from lexmetric.operators.sequence import running
 
 OVERALL = "average"
+#: Outcomes a row of packed lists holds.
+CHUNK_BITS = 2 ** 16
 
 
 def with_outcomes(df: DataFrame, hyp: str = "generated", ref: str = "label",
@@ -92,11 +95,52 @@ def outcomes_per_code(df: DataFrame, code: str = "code", pos: str = "pos",
 
     The reference builds one Python list per code; a list per code grows with
     the data, so here the list is a table keyed by (code, pos).  Right and
-    wrong examples are ``right_examples`` / ``wrong_examples``.
+    wrong examples are ``right_examples`` / ``wrong_examples``; the list itself,
+    packed, is ``outcome_bits``.
     """
     return df.select(code, pos, (F.col(correct) == 1).alias("ok"))
 
 
+def outcome_bits(df: DataFrame, code: str = "code", pos: str = "pos", correct: str = "correct",
+                 chunk: int = CHUNK_BITS) -> DataFrame:
+    """The 0/1 list of every code, packed: ``(code, chunk, n, n_right, bits)``.
+
+    Bit ``i % 64`` of word ``i // 64`` is the i-th outcome of the code along
+    ``pos`` (unique within a code); a row holds at most ``chunk`` outcomes (a
+    multiple of 64), so no row grows with the data.  Places come from the
+    chunked running count, so a hot code is spread over tasks.  A null outcome
+    is wrong, a null code a list of its own, an empty table gives no rows.
+    """
+    if chunk < 64 or chunk % 64:
+        raise ValueError("chunk must be a multiple of 64")
+    ok = F.coalesce(F.col(correct) == 1, F.lit(False))
+    placed = running(df.select(F.col(code).alias("_code"), F.col(pos).alias("_pos"), ok.alias("_ok")),
+                     ["_code"], ["_pos"], {"_i": ("count", F.lit(1))}, exclusive=True)
+    bit = F.when(F.col("_ok"), F.expr("shiftleft(1L, CAST(_i % 64 AS INT))")).otherwise(F.lit(0).cast("long"))
+    by_word = placed.groupBy("_code", F.floor(F.col("_i") / 64).alias("_word")).agg(
+        F.bit_or(bit).alias("_bits"), F.count(F.lit(1)).alias("_n"))
+    packed = by_word.groupBy("_code", F.floor(F.col("_word") / (chunk // 64)).cast("long").alias("chunk")).agg(
+        F.sum("_n").alias("n"),
+        F.transform(F.array_sort(F.collect_list(F.struct("_word", "_bits"))), lambda w: w["_bits"]).alias("bits"))
+    right = F.aggregate("bits", F.lit(0).cast("long"), lambda acc, w: acc + F.bit_count(w))
+    return packed.select(F.col("_code").alias(code), "chunk", "n", right.alias("n_right"), "bits")
+
+
+def outcomes_of_bits(bits: DataFrame) -> DataFrame:
+    """The packed lists unpacked within their rows: ``outcomes``, an array
+    of 0/1 per (code, chunk)."""
+    def bit(i):
+        return F.expr("CAST(1 AS BIGINT)").bitwiseAND(F.call_function(
+            "shiftrightunsigned", F.get("bits", F.floor(i / 64).cast("int")), (i % 64).cast("int"))).cast("int")
+    return bits.withColumn("outcomes", F.transform(F.sequence(F.lit(0).cast("long"), F.col("n") - 1), bit)).drop("bits")
+
+
+def accuracy_of_bits(bits: DataFrame, code: str = "code") -> DataFrame:
+    """E2 from the packed lists: a count of bits per chunk, a sum per code."""
+    return bits.groupBy(code).agg(F.sum("n").alias("n"), F.sum("n_right").alias("n_correct")) \
+        .withColumn("accuracy", F.col("n_correct") / F.col("n"))
+
+
 def right_examples(outcomes: DataFrame) -> DataFrame:
     return outcomes.filter("ok")
 

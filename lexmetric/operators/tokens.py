@@ -189,6 +189,35 @@ def embed_tokens(df: DataFrame, vectors: DataFrame, ids: str = "ids", key: str =
     return _attach(df, emb, key, keep)
 
 
+def embed_pieces(df: DataFrame, vectors: DataFrame, ids: str = "ids", key: str = "sample_id",
+                 piece: int = 256, scale: float = 1.0, pad_id: int = PAD, dim: int | None = None,
+                 out: str = "vectors", max_bytes: int = DEFAULT_MAX_BYTES) -> DataFrame:
+    """C12 in pieces: ``(key, piece, out)``, where piece k holds the vectors of
+    positions ``k * piece`` to ``(k + 1) * piece - 1``, so no row grows with a
+    sample's length.
+
+    Every distinct id of a piece is looked up once and its vector placed at all
+    its positions inside the piece; beyond the broadcast a vector moves once per
+    piece and id, not once per token.  Pad, null and unknown ids give zero
+    vectors; a sample without ids has no piece.  ``key`` must be unique.
+    """
+    if dim is None:
+        dim = vectors.select(F.size("vec")).first()[0]
+    zeros = F.array_repeat(F.lit(0.0), dim)
+    starts = F.sequence(F.lit(0), F.floor((F.size(ids) - 1) / piece).cast("int"))
+    pieces = df.where(F.size(ids) > 0).select(key, F.posexplode(F.transform(
+        starts, lambda k: F.slice(ids, k * piece + 1, piece))).alias("piece", "_ids"))
+    places = (pieces.repartition(key, "piece").select(key, "piece", F.posexplode("_ids").alias("_p", "token_id"))
+              .groupBy(key, "piece", "token_id").agg(F.collect_list("_p").alias("_places")))
+    found = lookup(places, vectors.select("token_id", "vec"), "token_id", max_bytes)
+    vec = F.when((F.col("token_id") == F.lit(pad_id)) | F.col("vec").isNull(), zeros).otherwise(
+        F.transform("vec", lambda x: x.cast("double") * F.lit(float(scale))))
+    groups = found.groupBy(key, "piece").agg(F.collect_list(F.struct("_places", vec.alias("v"))).alias("_g"))
+    placed = F.flatten(F.transform("_g", lambda g: F.transform(
+        g["_places"], lambda p: F.struct(p.alias("p"), g["v"].alias("v")))))
+    return groups.select(key, "piece", F.transform(F.array_sort(placed), lambda x: x["v"]).alias(out))
+
+
 def vocab_with_vectors(vocab: DataFrame, vectors: DataFrame) -> DataFrame:
     """Attach pretrained vectors where the token is known; flag misses."""
     return (vocab.join(vectors.select("token", "vec"), "token", "left")
@@ -215,11 +244,45 @@ def ngram_continuations(df: DataFrame, n: int, tokens: str = "tokens",
             .groupBy(key, "prefix").agg(F.array_sort(F.collect_set("next")).alias("continuations")))
 
 
+def _with_ngram_hashes(df: DataFrame, n: int, tokens: str, out: str) -> DataFrame:
+    """``out``: the hash of the n-gram at every start (rows of ``n`` tokens or more).
+
+    Hashes of 1, 2, 4, ... tokens are combined, each level from the one before,
+    so a row holds a few numbers per token whatever ``n`` is and no n-gram is
+    cut out of it."""
+    def join(a: str, b: str, shift: int) -> Column:
+        return F.zip_with(a, F.slice(b, shift + 1, F.size(b)), lambda x, y: F.xxhash64(x, y))
+    df = df.withColumn("_level", F.transform(tokens, lambda x: F.xxhash64(x)))
+    width, done = 1, 0
+    while done < n:
+        if n & width:
+            df = df.withColumn("_got", join("_got", "_level", done) if done else F.col("_level"))
+            done += width
+        if done < n:
+            df = df.withColumn("_level", join("_level", "_level", width))
+        width *= 2
+    return df.withColumn(out, F.slice("_got", 1, F.greatest(F.size(tokens) - n + 1, F.lit(0)))).drop("_level", "_got")
+
+
 def repeated_ngrams(df: DataFrame, n: int, tokens: str = "tokens",
                     key: str = "sample_id") -> DataFrame:
-    """C14: n-grams that occur more than once in the same sample."""
-    return (ngrams(df, n, tokens, key).groupBy(key, "ngram")
-            .agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1))
+    """C14: n-grams that occur more than once in the same sample.
+
+    Hashes sorted inside the row find the starts that may repeat; only those
+    n-grams are cut out, and they are counted by their tokens, so a collision
+    of hashes counts nothing.  ``key`` must be unique."""
+    rows = _with_ngram_hashes(df.where(F.size(tokens) >= n).select(key, F.col(tokens).alias("_t")), n, "_t", "_h")
+    rows = rows.withColumn("_s", F.array_sort(F.transform(
+        "_h", lambda h, i: F.struct(h.alias("h"), i.alias("i")))))
+
+    def same(x, j):
+        return F.coalesce(F.get("_s", j)["h"] == x["h"], F.lit(False))
+    twice = F.filter("_s", lambda x, j: same(x, j - 1) | same(x, j + 1))
+    grams = F.transform(twice, lambda x: F.slice("_t", x["i"] + 1, n))
+    # An outer explode: for an inner one Spark would compute the hashes again in a filter at the scan.
+    return (_by_key(rows.select(key, grams.alias("_grams")), key)
+            .select(key, F.posexplode_outer("_grams").alias("_p", "ngram")).where(F.col("_p").isNotNull())
+            .groupBy(key, "ngram").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1))
 
 
 def banned_next_tokens(df: DataFrame, n: int, tokens: str = "tokens",
@@ -227,18 +290,20 @@ def banned_next_tokens(df: DataFrame, n: int, tokens: str = "tokens",
     """C14: tokens that would repeat an n-gram if generated next: every token
     that followed the sample's last n-1 tokens earlier in the same sample.
 
-    A scan inside each row (compare every window with the last one), so no
-    n-gram is shuffled; rows shorter than n give none.
+    A scan inside each row: hashes of n-1 tokens are compared with the last
+    one, and only where they agree the tokens themselves, so no n-gram is
+    shuffled; rows shorter than n give none.
     """
     if n < 2:
         raise ValueError("n must be at least 2")
-    t = F.col(tokens)
-    last = F.slice(t, -(n - 1), n - 1)
-    starts = F.filter(F.sequence(F.lit(1), F.size(t) - n + 1),
-                      lambda i: F.slice(t, i, n - 1) == last)
-    nxt = F.array_distinct(F.transform(starts, lambda i: F.element_at(t, i + (n - 1))))
-    return (df.filter(F.size(t) >= n)
-            .select(key, F.explode(nxt).alias("token")))
+    rows = _with_ngram_hashes(df.where(F.size(tokens) >= n).select(key, F.col(tokens).alias("_t")), n - 1, "_t", "_h")
+    last = F.slice("_t", -(n - 1), n - 1)
+    def agree(i):
+        return F.coalesce(F.get("_h", i - 1) == F.get("_h", F.size("_h") - 1), F.lit(False))
+    starts = F.filter(F.sequence(F.lit(1), F.greatest(F.size("_t") - n + 1, F.lit(1))),
+                      lambda i: agree(i) & (F.slice("_t", i, n - 1) == last))
+    nxt = F.array_distinct(F.transform(starts, lambda i: F.get("_t", i + (n - 2))))
+    return rows.select(key, F.posexplode_outer(nxt).alias("_p", "token")).where(F.col("_p").isNotNull()).drop("_p")
 
 
 def ban_tokens(cands: DataFrame, banned: DataFrame, key: str = "sample_id",

@@ -41,6 +41,17 @@ CTES: dict[str, str] = {
         SELECT l_orderkey AS sample_id, l_linenumber AS step, l_partkey AS token_id,
                l_suppkey AS model, -(10 * l_discount + 1) AS lprob
         FROM lineitem""",
+    "model_cands": """
+        SELECT l_orderkey AS sample_id, l_linenumber AS step, l_partkey AS token_id, m.model,
+               CASE WHEN m.model = 0 THEN -(10 * l_discount + 1)
+                    WHEN m.model = 1 THEN -(10 * l_discount + 1) - l_tax
+                    WHEN l_partkey % 3 = 0 THEN '-inf'::DOUBLE ELSE -(10 * l_discount + 1) / 2 END AS lprob
+        FROM lineitem, (VALUES (0), (1), (2)) m(model)""",
+    "broken": """
+        SELECT sample_id, step, CAST(token_id % 5 AS BIGINT) AS token_id, token_id AS part, model,
+               CASE WHEN model % 4 = 0 THEN 'nan'::DOUBLE WHEN model % 4 = 1 THEN '-inf'::DOUBLE ELSE lprob END AS lprob,
+               CASE WHEN step <= 3 THEN CAST(step % 5 AS BIGINT) END AS forced
+        FROM cands""",
     "tlog": """
         SELECT 'events' AS run, event_type AS split,
                CAST(epoch_us(ts) // 86400000000 AS BIGINT) AS epoch, value AS loss, event_id,
@@ -95,6 +106,7 @@ CTES: dict[str, str] = {
 DEPS: dict[str, list[str]] = {
     "preds": ["samples"],
     "scored": ["preds", "codes"],
+    "broken": ["cands"],
     "expanded": ["samples"],
     "localized": ["expanded", "memory"],
     "vocab": ["samples"],

@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexmetric.functions.columns import strip_text
+from lexmetric.operators.lookup import lookup
 from lexmetric.operators.sequence import running
+from lexmetric.session import materialize
 from lexmetric.sources.splits import numbered_in_split, numbered_lines, quoted_records, scan_lines
 
 SAMPLE_SCHEMA = T.StructType([
@@ -186,11 +188,17 @@ def read_parallel_lines(spark: SparkSession, paths: Sequence[str],
 
 def write_prediction_batches(df: DataFrame, path: str, batch: str = "batch_id",
                              pos: str = "pos", fields: Sequence[str] = ("text", "label", "generated"),
-                             mode: str = "errorifexists") -> None:
+                             mode: str = "errorifexists", cumulative: bool = False) -> None:
     """One JSON array per batch per line, batches in order.
 
     A batch is bounded by the batch size, so collecting it is bounded.
+    ``cumulative`` writes the monolingual file form, whose line k repeats the
+    batches before it: its size is quadratic in the batches by definition, so
+    it is for files of few batches.
     """
+    if cumulative:
+        last = df.agg(F.max(batch).alias("_last"))
+        df = df.join(F.broadcast(last)).withColumn(batch, F.explode(F.sequence(F.col(batch), F.col("_last"))))
     arr = F.transform(
         F.array_sort(F.collect_list(F.struct(F.col(pos).alias("pos"), *[F.col(f) for f in fields]))),
         lambda s: F.struct(*[s[f].alias(f) for f in fields]))
@@ -206,17 +214,13 @@ def read_prediction_batches(spark: SparkSession, path: str,
     Lines that are no JSON array are in ``malformed_prediction_lines``.
 
     ``cumulative`` reads the monolingual file form where line k repeats
-    batches 1..k: the last line is the whole, and the read fails if a line
-    does not begin with the rows of the one before it.
+    batches 1..k: every line gives the rows it adds to the line before, so
+    ``batch_id`` is the line a row came with, and no task parses the whole.
+    The read fails if a line does not begin with the rows of the one before it.
     """
     lines = read_lines(spark, path, value="line", pos="line_no")
     if cumulative:
-        before = lines.select((F.col("line_no") + 1).alias("line_no"), F.col("line").alias("_before"))
-        opened = F.regexp_replace("_before", r"\]\s*$", "")
-        if lines.join(before, "line_no").filter(~F.startswith("line", opened)).limit(1).count():
-            raise ValueError("not a growing prediction file: a line does not repeat the one before it")
-        last = lines.agg(F.max("line_no").alias("_last"))
-        lines = lines.join(F.broadcast(last), F.col("line_no") == F.col("_last")).drop("_last")
+        lines = _added_rows(lines)
     parsed = lines.select(F.col("line_no").alias("batch_id"), _prediction_rows(fields).alias("_rows"))
     sizes = parsed.select("batch_id", F.greatest(F.size("_rows"), F.lit(0)).alias("_n"))
     offsets = running(sizes, None, ["batch_id"], {"_off": ("sum", "_n")}, exclusive=True).drop("_n")
@@ -224,6 +228,27 @@ def read_prediction_batches(spark: SparkSession, path: str,
     return rows.select("batch_id", "r.*", (F.coalesce("_off", F.lit(0)) + F.col("_i")).cast("long").alias("pos"))
 
 
+def _added_rows(lines: DataFrame) -> DataFrame:
+    """Of every line of a growing file, the JSON array of the rows it adds.
+
+    Length and digest of the line before decide where the addition begins and
+    whether the repetition is true; no line meets another, and only additions
+    (together one file's last line) are written to the shared folder."""
+    opened = F.regexp_replace("line", r"\]\s*$", "")
+    before = lines.select((F.col("line_no") + 1).alias("line_no"), F.length(opened).alias("_len"),
+                          F.sha2(opened, 256).alias("_sha"))
+    joined = lookup(lines, before, "line_no")
+    tail = F.ltrim(F.expr("substring(line, _len + 1)"))
+    first, none_yet = F.col("_len").isNull(), F.col("_len") == 1
+    true = (F.sha2(F.expr("substring(line, 1, _len)"), 256) == F.col("_sha")) & (
+        none_yet | F.substring(tail, 1, 1).isin(",", "]"))
+    added = F.when(first, F.col("line")).otherwise(F.concat(F.lit("["), F.regexp_replace(tail, "^,", "")))
+    parts = materialize(joined.select("line_no", added.alias("line"), (first | true).alias("_true")))
+    if parts.where(~F.col("_true")).limit(1).count():
+        raise ValueError("not a growing prediction file: a line does not repeat the one before it")
+    return parts.drop("_true")
+
+
 def _prediction_rows(fields: Sequence[str]):
     elem = T.StructType([T.StructField(f, T.StringType()) for f in fields])
     return F.from_json("line", T.ArrayType(elem))

@@ -92,6 +92,31 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
         (-(F.lit(10) * F.col("l_discount") + F.lit(1))).alias("lprob"))
 
 
+def model_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every candidate scored by three models: model 0 as it is, model 1 lower
+    by the tax, model 2 rules out every third part (``-inf``)."""
+    li = table(spark, sf_dir, "lineitem")
+    base = -(F.lit(10) * F.col("l_discount") + F.lit(1))
+    score = (F.when(F.col("model") == 0, base).when(F.col("model") == 1, base - F.col("l_tax"))
+             .when(F.col("l_partkey") % 3 == 0, F.lit(float("-inf"))).otherwise(base / 2))
+    rows = li.withColumn("model", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
+    return rows.select(
+        F.col("l_orderkey").alias("sample_id"), F.col("l_linenumber").alias("step"),
+        F.col("l_partkey").alias("token_id"), "model", score.alias("lprob"))
+
+
+def broken_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``candidates`` with few tokens (part % 5, so pad, end and unknown are
+    common), NaN where the supplier is divisible by 4 and ``-inf`` where it
+    leaves 1; ``forced`` is step % 5 up to step 3, else null."""
+    c = candidates(spark, sf_dir)
+    score = (F.when(F.col("model") % 4 == 0, F.lit(float("nan")))
+             .when(F.col("model") % 4 == 1, F.lit(float("-inf"))).otherwise(F.col("lprob")))
+    return (c.withColumn("part", F.col("token_id")).withColumn("token_id", (F.col("part") % 5).cast("long"))
+            .withColumn("lprob", score)
+            .withColumn("forced", F.when(F.col("step") <= 3, (F.col("step") % 5).cast("long"))))
+
+
 def training_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events as a training log: epoch = day number of ts (its calendar date;
     ts carries no time zone), step = position along (ts, event_id),
