@@ -14,7 +14,6 @@ larger benchmark takes more blocks.
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +32,7 @@ CHUNK_BYTES = 1 << 20
 
 _PRIME = np.uint64(0x100000001B3)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+_UNMIX = np.uint64(pow(int(_MIX), -1, 1 << 64))
 _WORDBYTE = np.ones(256, dtype=bool)
 for _c in range(128):
     _WORDBYTE[_c] = chr(_c).isalnum()
@@ -83,6 +83,19 @@ def window_hashes(tokens: np.ndarray, k: int) -> np.ndarray:
     return out ^ (out >> np.uint64(31))
 
 
+class Rolling:
+    """Hashes of the runs of any length of one sequence: sums of tokens times
+    powers of an odd number, so a run is a difference of two sums, shifted."""
+
+    def __init__(self, tokens: np.ndarray):
+        powers = _powers(len(tokens) + 1, _MIX)
+        self.sums = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(tokens * powers[:-1], dtype=np.uint64)))
+        self.back = _powers(len(tokens) + 1, _UNMIX)
+
+    def at(self, first: np.ndarray, k: int) -> np.ndarray:
+        return (self.sums[first + k] - self.sums[first]) * self.back[first]
+
+
 def _free_runs(marked: np.ndarray, k: int) -> np.ndarray:
     """First positions of the windows of ``k`` tokens without a mark."""
     if len(marked) < k:
@@ -93,45 +106,55 @@ def _free_runs(marked: np.ndarray, k: int) -> np.ndarray:
 
 def tile(item: np.ndarray, doc: np.ndarray, min_match: int = MIN_MATCH) -> list[tuple[int, int, int]]:
     """Tiles (item position, document position, length), longest first, ties by
-    item then document position."""
+    item then document position.
+
+    The longest unmarked common run is found by halving (a run of some length
+    holds runs of every smaller one); all runs of that length are then marked
+    in order.  Positions that hold the same run are walked once, by a pointer
+    over those already marked, so repeated words cost no pairs."""
     a_mark, b_mark = np.zeros(len(item), dtype=bool), np.zeros(len(doc), dtype=bool)
+    a_roll, b_roll = Rolling(item), Rolling(doc)
     tiles: list[tuple[int, int, int]] = []
-    size = len(item)
-    while size >= min_match:
-        # Longest unmarked common run: halve the search length until a window matches, then extend.
-        found: list[tuple[int, int, int]] = []
+
+    def runs(size: int):
         a_at, b_at = _free_runs(a_mark, size), _free_runs(b_mark, size)
-        if len(a_at) and len(b_at):
-            ah, bh = window_hashes(item, size)[a_at], window_hashes(doc, size)[b_at]
-            hit = np.isin(bh, ah)
-            if hit.any():
-                at = defaultdict(list)
-                for h, i in zip(ah.tolist(), a_at.tolist(), strict=True):
-                    at[h].append(i)
-                for h, j in zip(bh[hit].tolist(), b_at[hit].tolist(), strict=True):
-                    for i in at[h]:
-                        if np.array_equal(item[i:i + size], doc[j:j + size]):
-                            n = size
-                            while (i + n < len(item) and j + n < len(doc) and item[i + n] == doc[j + n]
-                                   and not a_mark[i + n] and not b_mark[j + n]):
-                                n += 1
-                            found.append((-n, i, j))
-        if not found:
-            if size == min_match:
-                break
-            size = max(min_match, size // 2)
-            continue
-        longest = -min(found)[0]
-        if longest > size and size * 2 <= len(item) and longest >= 2 * size:
-            size = longest
-            continue
-        for n, i, j in sorted(found):
-            n = -n
-            if n < longest:
-                break
-            if not a_mark[i:i + n].any() and not b_mark[j:j + n].any():
-                a_mark[i:i + n] = b_mark[j:j + n] = True
-                tiles.append((i, j, n))
+        ah, bh = a_roll.at(a_at, size), b_roll.at(b_at, size)
+        return a_at, ah, b_at, bh, np.isin(ah, bh)
+
+    most = min(len(item), len(doc))
+    while most >= min_match:
+        low, high = min_match - 1, most     # the longest run lies in low..high
+        while low < high:
+            size = (low + high + 1) // 2
+            if runs(size)[4].any():
+                low = size
+            else:
+                high = size - 1
+        if low < min_match:
+            break
+        size = low
+        a_at, ah, b_at, bh, hit = runs(size)
+        order = np.argsort(bh, kind="stable")       # equal runs by document position
+        b_at, bh = b_at[order], bh[order]
+        first = np.searchsorted(bh, ah[hit], "left").tolist()
+        ends = np.searchsorted(bh, ah[hit], "right").tolist()
+        passed: dict[int, int] = {}
+        for i, lo, end in zip(a_at[hit].tolist(), first, ends, strict=True):
+            # A run meets a tile of its own length only with one of its ends.
+            if a_mark[i] or a_mark[i + size - 1]:
+                continue
+            p = start = passed.get(lo, lo)
+            while p < end:
+                j = int(b_at[p])
+                if b_mark[j] or b_mark[j + size - 1]:
+                    start = p + 1 if start == p else start
+                elif np.array_equal(item[i:i + size], doc[j:j + size]):
+                    a_mark[i:i + size] = b_mark[j:j + size] = True
+                    tiles.append((i, j, size))
+                    break
+                p += 1
+            passed[lo] = start
+        most = size - 1
     return tiles
 
 
