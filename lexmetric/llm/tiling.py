@@ -96,12 +96,20 @@ class Rolling:
         return (self.sums[first + k] - self.sums[first]) * self.back[first]
 
 
-def _free_runs(marked: np.ndarray, k: int) -> np.ndarray:
-    """First positions of the windows of ``k`` tokens without a mark."""
-    if len(marked) < k:
-        return np.zeros(0, dtype=np.int64)
-    total = np.concatenate(([0], np.cumsum(marked)))
-    return np.flatnonzero(total[k:] == total[:-k])
+def _among(few: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """Which of ``many`` are among ``few``; only the few are sorted."""
+    if not len(few):
+        return np.zeros(len(many), dtype=bool)
+    few = np.sort(few)
+    return few[np.minimum(np.searchsorted(few, many), len(few) - 1)] == many
+
+
+def _streak(at: np.ndarray) -> int:
+    """Length of the longest run of neighbouring positions."""
+    if not len(at):
+        return 0
+    breaks = np.flatnonzero(np.diff(at) != 1) + 1
+    return int(np.diff(np.concatenate(([0], breaks, [len(at)]))).max())
 
 
 def tile(item: np.ndarray, doc: np.ndarray, min_match: int = MIN_MATCH) -> list[tuple[int, int, int]]:
@@ -111,17 +119,29 @@ def tile(item: np.ndarray, doc: np.ndarray, min_match: int = MIN_MATCH) -> list[
     The longest unmarked common run is found by halving (a run of some length
     holds runs of every smaller one); all runs of that length are then marked
     in order.  Positions that hold the same run are walked once, by a pointer
-    over those already marked, so repeated words cost no pairs."""
+    over those already marked, so repeated words cost no pairs.  Only positions
+    where a run of ``min_match`` tokens is shared are looked at."""
+    if min(len(item), len(doc)) < min_match:
+        return []
     a_mark, b_mark = np.zeros(len(item), dtype=bool), np.zeros(len(doc), dtype=bool)
     a_roll, b_roll = Rolling(item), Rolling(doc)
     tiles: list[tuple[int, int, int]] = []
+    a_all, b_all = np.arange(len(item) - min_match + 1), np.arange(len(doc) - min_match + 1)
+    ah, bh = a_roll.at(a_all, min_match), b_roll.at(b_all, min_match)
+    b_hit = _among(ah, bh)
+    a_seed, b_seed = a_all[np.isin(ah, bh[b_hit])], b_all[b_hit]
+
+    def free(seed: np.ndarray, mark: np.ndarray, size: int) -> np.ndarray:
+        seed = seed[seed + size <= len(mark)]
+        total = np.concatenate(([0], np.cumsum(mark)))
+        return seed[total[seed + size] == total[seed]]
 
     def runs(size: int):
-        a_at, b_at = _free_runs(a_mark, size), _free_runs(b_mark, size)
+        a_at, b_at = free(a_seed, a_mark, size), free(b_seed, b_mark, size)
         ah, bh = a_roll.at(a_at, size), b_roll.at(b_at, size)
         return a_at, ah, b_at, bh, np.isin(ah, bh)
 
-    most = min(len(item), len(doc))
+    most = min(_streak(a_seed), _streak(b_seed)) + min_match - 1
     while most >= min_match:
         low, high = min_match - 1, most     # the longest run lies in low..high
         while low < high:
@@ -154,7 +174,9 @@ def tile(item: np.ndarray, doc: np.ndarray, min_match: int = MIN_MATCH) -> list[
                     break
                 p += 1
             passed[lo] = start
-        most = size - 1
+        # What is left lies at seeds whose run of min_match tokens is free.
+        a_seed, b_seed = free(a_seed, a_mark, min_match), free(b_seed, b_mark, min_match)
+        most = min(size - 1, min(_streak(a_seed), _streak(b_seed)) + min_match - 1)
     return tiles
 
 
