@@ -35,6 +35,18 @@ def cut(df: DataFrame) -> DataFrame:
     return materialize(df)
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """``cut``, for frames behind large shuffles.  Spark deletes the files of a
+    shuffle when the driver's JVM collects the frames that made it; a driver
+    with little garbage may not do so for a long time, so it is asked to."""
+    out = cut(df)
+    del df
+    jvm = getattr(out.sparkSession, "_jvm", None)      # a remote session has none
+    if jvm is not None:
+        jvm.System.gc()
+    return out
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once, however often the body uses it."""
     return F.element_at(F.transform(F.array(value), body), 1)

@@ -36,7 +36,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexmetric.llm.common import cut, partitions
+from lexmetric.llm.common import cut, partitions, settled
 from lexmetric.llm.graph import components
 from lexmetric.llm.tiling import _MIX, _chunks, window_hashes
 
@@ -314,7 +314,7 @@ def again(docs: DataFrame, nodes: DataFrame, classes: DataFrame, k: int, text_co
 def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, rule: Rule,
              text_col: str) -> DataFrame:
     """The pairs (a, b) whose whole sets link.  Each set moves once, and once more for each pair."""
-    pairs = cut(pairs.select("a", "b").distinct())
+    pairs = settled(pairs.select("a", "b").distinct())
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     sets = again(docs, nodes, classes, k, text_col, lambda s: s.tobytes())
     one = pairs.join(sets.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("data").alias("eb")), "b")
@@ -373,7 +373,7 @@ def across(buckets: DataFrame, roots: DataFrame, docs: DataFrame, classes: DataF
     rows = buckets.join(roots, "node", "left").select(
         "bucket", "node", F.coalesce("root", "node").alias("comp"), "members")
     mixed = rows.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("bucket")
-    rows = cut(rows.join(mixed, "bucket"))
+    rows = settled(rows.join(mixed, "bucket"))
     points = again(docs, rows.select("node").distinct(), classes, k, text_col, point)
     rows = rows.withColumn("tiles", F.ceil(F.col("members") / TILE).cast("int"))
     rows = rows.withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
@@ -512,8 +512,8 @@ def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str
     rows = cut(described(docs, k, id_col, text_col))
     classes = cut(rows.where("n > 0").groupBy("node", "check", "n").agg(
         F.min("doc_id").alias("first"), F.min("tie").alias("tie"), F.count(F.lit(1)).alias("copies")))
-    buckets = cut(gathered(entered(docs, k, rule, text_col)))
-    links = cut(verified(hub_pairs(buckets), docs, classes, k, rule, text_col))
+    buckets = settled(gathered(entered(docs, k, rule, text_col)))
+    links = settled(verified(hub_pairs(buckets), docs, classes, k, rule, text_col))
     roots = cut(components(links))
     more = verified(across(buckets, roots, docs, classes, k, rule, text_col), docs, classes, k, rule, text_col)
     roots = components(links.union(more))
