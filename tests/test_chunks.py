@@ -34,3 +34,31 @@ def test_every_row_stays_without_keep(case):
     want = [(1, ["a", "bé", None, "zz", "a"], [4, 5, 3, 6, 4]), (2, [], []), (3, None, []), (4, ["q", ""], [3, 3]),
             (5, ["a"], [4, 6, 3]), (5, ["zz", "q"], [4, 6, 3]), (None, ["a"], None), (None, ["zz"], None)]
     assert got == sorted(want, key=str)
+
+
+@pytest.mark.parametrize("n", [1, 2, 3])
+def test_continuations_by_numbers(spark, n):
+    rows = [(1, ["a", "b", "a", "b", "c", "a", "b", "a"]), (2, ["a"]), (2, ["a", "b", "é"]), (2, ["a", "b", "z"]),
+            (3, None), (4, ["x", None, "x", None, "y"]), (None, ["p", "q", "r"]), (None, ["p", "q", "s"])]
+    got = TK.ngram_continuations(spark.createDataFrame(rows, "sample_id long, tokens array<string>"), n)
+    assert "explode" not in got._jdf.queryExecution().optimizedPlan().toString()
+    want = {}
+    for key, t in rows:
+        for i in range(len(t or []) - n + 1):
+            want.setdefault((key, tuple(t[i:i + n - 1])), set()).add(t[i + n - 1])
+    assert {(r.sample_id, tuple(r.prefix)): r.continuations for r in got.collect()} == {
+        k: sorted(v - {None}) for k, v in want.items()}
+
+
+def test_memory_by_text_alone(spark):
+    from lexmetric.operators import shape as D
+    rows = spark.createDataFrame([(i, "t", x, "l") for i, x in enumerate(("en", "de", "fr", "es"))],
+                                 "sample_id long, text string, language string, label string")
+    memory = spark.createDataFrame([("t", "de", "T2"), ("t", "de", "T1"), ("t", "en", "no"), ("t", "es", None)],
+                                   "src_text string, language string, translated string")
+    got = D.localize(rows, memory)
+    assert {r.language: r.text for r in got.collect()} == {"en": "t", "de": "T1", "fr": None, "es": None}
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    # No translation is sorted or gathered before the shuffle.
+    assert not any("partial_" in x for x in plan[plan.rindex("Exchange hashpartitioning"):].splitlines())
+    assert [tuple(r) for r in D.pending_translations(rows, memory).collect()] == [("t", "fr")]
