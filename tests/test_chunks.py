@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
 from lexmetric.operators import tokens as TK
 
@@ -62,3 +63,17 @@ def test_memory_by_text_alone(spark):
     # No translation is sorted or gathered before the shuffle.
     assert not any("partial_" in x for x in plan[plan.rindex("Exchange hashpartitioning"):].splitlines())
     assert [tuple(r) for r in D.pending_translations(rows, memory).collect()] == [("t", "fr")]
+
+
+def test_compressed_parts(spark, tmp_path):
+    from lexmetric.sources import files as A
+    rows = spark.createDataFrame([(i, f'a\t"{i}\n' * 50, None, "", "de") for i in range(40)],
+                                 "pos long, text string, label string, sem_type string, language string")
+    A.write_samples(rows, f"{tmp_path}/s", compression="gzip")
+    assert sorted(map(tuple, A.read_translated(spark, f"{tmp_path}/s").collect())) == sorted(map(tuple, rows.collect()))
+    assert not [x for x in (tmp_path / "s").glob("part-*") if x.suffix != ".gz"]
+    plain = rows.select(F.col("pos").alias("idx"), F.lit("x").alias("text"), F.lit("y").alias("label"),
+                        F.lit("z").alias("sem_type"), "language")
+    A.write_plain_tsv(plain, f"{tmp_path}/p", compression="gzip")
+    good, bad = A.read_strict_tsv(spark, f"{tmp_path}/p")
+    assert sorted(int(r.idx) for r in good.collect()) == list(range(40)) and not bad.count()
