@@ -81,3 +81,27 @@ def test_ngrams_by_hashes(spark, n):
                   for i in range(len(t) - n + 1) if t[i:i + n - 1] == t[len(t) - n + 1:]}
         rows = TK.banned_next_tokens(df, n).collect()
         assert {(r.sample_id, r.token) for r in rows} == banned and len(rows) == len(banned)
+
+
+def test_vectors_of_repeated_and_null_keys(spark):
+    """Rows alike in key become one, by position and vector; with every column kept each row has them all."""
+    df = spark.createDataFrame([(1, "a", [4, 5, 1]), (1, "b", [5, None, 9, 4]), (None, "c", [4]), (2, "d", [4, 4, 7]),
+                                (3, "e", None), (4, "f", [])], "sample_id long, name string, ids array<int>")
+    table = spark.createDataFrame([(4, [1.0, 2.0]), (5, [3.0, None]), (7, [5.0, 6.0]), (7, [5.0, -6.0]), (1, [9.0, 9.0]), (8, None)],
+                                  "token_id int, vec array<double>")
+    zero, four, five = [0.0, 0.0], [2.0, 4.0], [6.0, None]
+    want = {1: [four, five, zero, five, zero, zero, four], None: [four], 2: [four, four, [10.0, -12.0], [10.0, 12.0]], 3: [], 4: []}
+    got = TK.embed_tokens(df, table, scale=2.0, dim=2, keep=[]).collect()
+    assert {r.sample_id: r.vectors for r in got} == want and len(got) == 5
+    got = {r.name: (r.sample_id, r.vectors) for r in TK.embed_tokens(df, table, scale=2.0, dim=2).collect()}
+    assert got == {"a": (1, want[1]), "b": (1, want[1]), "c": (None, None), "d": (2, want[2]), "e": (3, []), "f": (4, [])}
+
+
+def test_vectors_are_never_dealt_by_token(spark):
+    """Only a chunk's distinct ids meet the vectors: no join carries a row per token."""
+    df = spark.createDataFrame([(k, [4, 5] * 2000) for k in range(40)], "sample_id long, ids array<int>")
+    table = spark.createDataFrame([(4, [1.0]), (5, [2.0])], "token_id int, vec array<double>")
+    for emb in (TK.embed_tokens(df, table, dim=1, keep=[], max_bytes=0), TK.embed_pieces(df, table, dim=1, piece=8, max_bytes=0)):
+        plan = emb._jdf.queryExecution().optimizedPlan().toString()
+        assert "Generate explode(ids" not in plan and "posexplode(_ids" not in plan and "collect_list" not in plan
+        assert emb.selectExpr("sum(size(vectors)) n").first().n == 160_000
