@@ -1,5 +1,7 @@
 """Reports in whole, codes from a side file, totals over restarts, memory joins by digest."""
 
+from pyspark.sql import functions as F
+
 from lexmetric.operators import metrics as E
 from lexmetric.operators import shape as D
 from lexmetric.operators import tokens as TK
@@ -139,3 +141,14 @@ def test_unknown_words(spark):
     assert {r.sample_id: list(r.ids) for r in ids.collect()} == {1: [4, TK.UNK, 5], 2: []}
     text = TK.decode(ids.select("sample_id", "ids"), vocab, skip_specials=False, escape_unk=True)
     assert {r.sample_id: r.decoded for r in text.collect()}[1] == "a <<unk>> b"
+
+
+def test_prefixes_compute_the_tokens_once(spark):
+    """No filter at the scan computes the target again; rows without tokens give no prefix."""
+    df = spark.createDataFrame([(1, "a b c"), (2, ""), (3, None)], "sample_id long, text string").select(
+        "sample_id", F.array(F.lit("en")).alias("src_tokens"),
+        F.filter(F.split("text", " "), lambda x: x != "").alias("tgt_tokens"))
+    out = TK.expand_prefixes(df, horizon=2, end="</s>")
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+    assert sorted((r.sample_id, r.prefix_len, r.tokens) for r in out.collect()) == [
+        (1, 1, ["en", "a", "</s>"]), (1, 2, ["en", "a", "b", "</s>"]), (1, 3, ["en", "b", "c", "</s>"])]
