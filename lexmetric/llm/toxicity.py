@@ -33,6 +33,8 @@ K, BLOCK, PRIOR_WEIGHT = 15, 64, 1.0
 FIRST = 8
 
 _WORD = re.compile(r"[^\W_]+")
+#: UTF-8 with a space for every ASCII character that is in no word.
+_PARTED = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -41,7 +43,18 @@ def held_out(doc_id: Column) -> Column:
 
 
 def words(text: str | None) -> Counter:
-    return Counter(_WORD.findall(text.lower())) if text else Counter()
+    if not text:
+        return Counter()
+    text = text.lower()
+    # Most words end at an ASCII character; only pieces with others are searched.
+    parted = text.encode("utf-8", "surrogatepass").translate(_PARTED).decode("utf-8", "surrogatepass")
+    out = Counter(parted.split())
+    if not text.isascii():
+        for piece in [w for w in out if not w.isascii()]:
+            n = out.pop(piece)
+            for w in _WORD.findall(piece):
+                out[w] += n
+    return out
 
 
 def all_terms(counts: Counter) -> set[str]:
@@ -56,13 +69,16 @@ def all_terms(counts: Counter) -> set[str]:
 
 class Vocabulary(dict):
     """Term -> number.  The terms that are beginnings of a word hang on its first
-    seven letters; they are looked up once for each and held, ``HELD`` at a time."""
+    seven letters; they are looked up once for each and held, ``HELD`` at a time.  Most
+    words are no term and begin like none, which ``whole`` and ``starts`` tell."""
 
     HELD = 200_000
 
     def __init__(self, names):
         super().__init__((t, i) for i, t in enumerate(names))
         self.held: dict[str, tuple[int, ...]] = {}
+        self.whole = {t for t in names if t[0] != "^"}
+        self.starts = {t[1:5] for t in names if t[0] == "^"}
 
     def __reduce__(self):
         return Vocabulary, (list(self),)
@@ -78,12 +94,11 @@ class Vocabulary(dict):
 def terms(counts: Counter, vocabulary: Vocabulary) -> dict[int, int]:
     """Term numbers of a text's words, with counts."""
     out: dict[int, int] = {}
-    get, held = vocabulary.get, vocabulary.held.get
-    for w, n in counts.items():
-        t = get(w)
-        if t is not None:
-            out[t] = out.get(t, 0) + n
-        start = w[:7]
+    for w in counts.keys() & vocabulary.whole:
+        out[vocabulary[w]] = counts[w]
+    starts, held = vocabulary.starts, vocabulary.held.get
+    for w in [w for w in counts if w[:4] in starts]:
+        start, n = w[:7], counts[w]
         found = held(start)
         if found is None:
             found = vocabulary.beginnings(start)
@@ -187,11 +202,15 @@ class Index:
 
     def nearest(self, counts: dict[int, int]) -> list[tuple[float, int]]:
         """The k examples of highest cosine above 0 and all that tie with the last of
-        them: (cosine, example).  The blocks of highest bound give a floor under the
+        them: (cosine, example)."""
+        return list(zip(*(x.tolist() for x in self._nearest(counts)), strict=True))
+
+    def _nearest(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+        """``nearest`` as cosines and examples, best first.  The blocks of highest bound give a floor under the
         k-th best; blocks whose bound does not reach it are left out."""
         at, weight = self.vector(counts)
         if not len(at) or not len(self.ids):
-            return []
+            return np.zeros(0), np.zeros(0, dtype=np.int64)
         bound = weight @ self.top[at]
         cosine = np.zeros((len(bound), BLOCK))
         flat = cosine.reshape(-1)
@@ -210,7 +229,7 @@ class Index:
             keep = got >= np.partition(got, len(got) - self.k)[len(got) - self.k]
             got, place = got[keep], place[keep]
         ranked = np.lexsort((self.ids[place], -got))
-        return [(float(got[i]), int(place[i])) for i in ranked]
+        return got[ranked], place[ranked]
 
     def score(self, counts: dict[str, int]) -> tuple[float, list[int], list[float]]:
         """Share of label 1 among the neighbours, each weighing cos / (1.1 - cos),
@@ -219,19 +238,19 @@ class Index:
             return self.silent, [], []
         key = tuple(sorted(counts.items()))
         if key not in self.memo:
-            near = self.nearest(counts)
+            cosine, place = self._nearest(counts)
             # All that tie with the k-th share the votes left to them, and sums are exact:
             # no order among ties can change a score.
-            last = near[-1][0] if near else 0.0
-            ties = sum(c == last for c, _ in near)
-            share = min(1.0, (self.k - len(near) + ties) / ties) if ties else 1.0
-            votes = [(c / (1.1 - c) * (share if c == last else 1.0), self.y[i]) for c, i in near]
-            vote = math.fsum([PRIOR_WEIGHT * self.prior, *(x * y for x, y in votes)])
-            weight = math.fsum([PRIOR_WEIGHT, *(x for x, _ in votes)])
+            last = cosine == cosine[-1] if len(cosine) else np.zeros(0, dtype=bool)
+            ties = int(last.sum())
+            share = min(1.0, (self.k - len(cosine) + ties) / ties) if ties else 1.0
+            votes = cosine / (1.1 - cosine) * np.where(last, share, 1.0)
+            vote = math.fsum([PRIOR_WEIGHT * self.prior, *(votes * self.y[place]).tolist()])
+            weight = math.fsum([PRIOR_WEIGHT, *votes.tolist()])
             if len(self.memo) >= 50_000:
                 self.memo.clear()
-            self.memo[key] = (vote / weight if near else self.silent,
-                              [int(self.ids[i]) for _, i in near[:3]], [c for c, _ in near[:3]])
+            self.memo[key] = (vote / weight if len(cosine) else self.silent,
+                              self.ids[place[:3]].tolist(), cosine[:3].tolist())
         return self.memo[key]
 
 

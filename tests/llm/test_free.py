@@ -2,7 +2,9 @@
 
 import itertools
 import random
+import re
 import time
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -411,3 +413,28 @@ def test_points_bound_the_overlap():
         p, q = (jaccard._fold(jaccard.point(np.array(sorted(s), np.uint64))) for s in (a, b))
         w = min(len(p), len(q))
         assert np.minimum(p.reshape(-1, w).sum(0), q.reshape(-1, w).sum(0)).sum() >= len(a & b)
+
+
+def test_toxicity_words_and_terms_by_their_definition():
+    r = random.Random(3)
+    letters = "aBc_ 9.\x1c\t-'éÉßİ²Ⅷ»。漢字😀"
+    names = ["ab", "^abcd", "^abcda", "abcda", "^éaaa", "9"]
+    vocabulary = toxicity.Vocabulary(names)
+    for i in range(3000):
+        text = "".join(r.choice(letters if i % 2 else "aabcd 9") for _ in range(r.randint(0, 30)))
+        counts = Counter(re.findall(r"[^\W_]+", text.lower()))
+        assert toxicity.words(text) == counts
+        want = Counter()
+        for w, n in counts.items():
+            for t in [w, *("^" + w[:k] for k in range(4, min(7, len(w)) + 1))]:
+                if t in names:
+                    want[names.index(t)] += n
+        assert toxicity.terms(counts, vocabulary) == want
+
+
+def test_toxicity_searches_only_pieces_that_are_not_ascii(monkeypatch):
+    searched = []
+    word = toxicity._WORD
+    monkeypatch.setattr(toxicity, "_WORD", type("W", (), {"findall": staticmethod(lambda t: searched.append(t) or word.findall(t))}))
+    assert toxicity.words("Plain words, and «één» more_words") == Counter("plain words and één more words".split())
+    assert not any(t.isascii() for t in searched) and sum(map(len, searched)) < 10
