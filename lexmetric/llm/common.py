@@ -36,9 +36,10 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """``cut``, for frames behind large shuffles.  Spark deletes the files of a
-    shuffle when the driver's JVM collects the frames that made it; a driver
-    with little garbage may not do so for a long time, so it is asked to."""
+    """``cut``, for frames behind large shuffles.  The files of its own shuffles go at
+    once; those of other executions (a result written or counted before) Spark deletes
+    when the driver's JVM collects the frames that made them, which a driver with
+    little garbage may not do for a long time, so it is asked to."""
     out = cut(df)
     del df
     jvm = getattr(out.sparkSession, "_jvm", None)      # a remote session has none

@@ -515,9 +515,9 @@ def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str
     buckets = settled(gathered(entered(docs, k, rule, text_col)))
     links = settled(verified(hub_pairs(buckets), docs, classes, k, rule, text_col))
     roots = cut(components(links))
-    more = verified(across(buckets, roots, docs, classes, k, rule, text_col), docs, classes, k, rule, text_col)
+    more = settled(verified(across(buckets, roots, docs, classes, k, rule, text_col), docs, classes, k, rule, text_col))
     roots = components(links.union(more))
-    home = cut(classes.join(roots, "node", "left").select(
+    home = settled(classes.join(roots, "node", "left").select(
         "node", "first", "n", "copies", F.coalesce("root", "node").alias("root")))
     least = home.groupBy("root").agg(F.min("first").alias("component_id"))
     full = home.join(least, "root").select("node", "root", "component_id", "copies")
@@ -539,7 +539,7 @@ def keep_first(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_co
     first = found.where("root is not null").groupBy("root").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie")).alias("f"))
     name = lambda c: F.coalesce(c.cast("string"), F.lit("none"))
-    stay = cut(first.select(name(F.col("f.doc_id")).alias("__id"), F.col("f.tie").alias("__tie")))
+    stay = settled(first.select(name(F.col("f.doc_id")).alias("__id"), F.col("f.tie").alias("__tie")))
     blank = ~F.coalesce(F.col(text_col), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
     full = docs.where(~blank).withColumn("__id", name(F.col(id_col))).withColumn("__tie", _tie(F.col(text_col)))
     # Rows alike in id and text: one of them, by the hash of all columns.  The join's layout serves the window.
