@@ -14,7 +14,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -107,6 +107,12 @@ def terms(counts: Counter, vocabulary: Vocabulary) -> dict[int, int]:
     return out
 
 
+def arrays(counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Term numbers, ascending, and their counts."""
+    at = sorted(counts)
+    return np.array(at, dtype=np.int32), np.array([counts[t] for t in at], dtype=np.int32)
+
+
 def examples(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) -> DataFrame:
     """(doc_id, y, text) of at most ``max_examples`` labelled rows outside the
     held-out fold; several labels of one id count as toxic if any does."""
@@ -170,23 +176,28 @@ class Index:
     term the examples that hold it with their weights, and for each term and
     block of ``BLOCK`` examples the largest weight."""
 
-    def __init__(self, names: list[str], idf: np.ndarray, rows: list[tuple[int, int, dict[int, int]]],
+    def __init__(self, names: list[str], idf: np.ndarray, rows: Iterable[tuple[int, int, dict[int, int] | tuple]],
                  k: int = K):
+        """``rows``: (id, label, counts), the counts by term number or as two arrays (``arrays``)."""
         self.vocabulary, self.idf, self.k = Vocabulary(names), idf, k
+        # Entries stay in arrays: as Python numbers and pairs they take ten times the driver's room.
+        rows = [(i, y, *(arrays(counts) if isinstance(counts, dict) else counts)) for i, y, counts in rows]
         labels = [r[1] for r in rows]
         self.prior = float(np.mean(labels)) if rows else 0.0
-        silent = [r[1] for r in rows if not r[2]]
+        silent = [r[1] for r in rows if not len(r[2])]
         #: Base rate of examples without any term; their cosine is 0 with every text.
         self.silent = (sum(silent) + self.prior) / (len(silent) + 1.0)
-        rows = sorted(rows, key=lambda r: (sorted(r[2]), r[0]))  # alike examples share blocks
+        rows.sort(key=lambda r: (r[2].astype(">u4").tobytes(), r[0]))  # alike examples share blocks
         self.ids = np.array([r[0] for r in rows], dtype=np.int64)
         self.y = np.array([r[1] for r in rows], dtype=np.float64)
-        held: list[list[tuple[int, float]]] = [[] for _ in names]
-        for i, (_, _, counts) in enumerate(rows):
-            for t, weight in zip(*self.vector(counts)):
-                held[t].append((i, weight))
-        self.who = [np.array([i for i, _ in p], dtype=np.int64) for p in held]
-        self.weight = [np.array([w for _, w in p]) for p in held]
+        term = np.concatenate([np.zeros(0, dtype=np.int32), *(r[2] for r in rows)])
+        weight = np.concatenate([np.zeros(0), *(self.unit(r[2], r[3]) for r in rows)])
+        who = np.repeat(np.arange(len(rows)), np.array([len(r[2]) for r in rows], dtype=np.int64))
+        order = np.argsort(term, kind="stable")
+        ends = np.cumsum(np.bincount(term, minlength=len(names)))
+        parts = list(zip([0, *ends[:-1].tolist()], ends.tolist()))
+        who, weight = who[order], weight[order]
+        self.who, self.weight = [who[a:b] for a, b in parts], [weight[a:b] for a, b in parts]
         blocks = -(-len(rows) // BLOCK)
         self.top = np.zeros((len(names), blocks))
         for t, (who, weight) in enumerate(zip(self.who, self.weight)):
@@ -195,10 +206,14 @@ class Index:
 
     def vector(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
         at = np.array(sorted(counts), dtype=np.int64)
+        return at, self.unit(at, np.array([counts[t] for t in at.tolist()], dtype=np.int64))
+
+    def unit(self, at: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Weights of the terms ``at``, as a vector of length 1."""
         if not len(at):
-            return at, np.zeros(0)
-        weight = (1.0 + np.log(np.array([counts[t] for t in at.tolist()]))) * self.idf[at]
-        return at, weight / np.sqrt((weight ** 2).sum())
+            return np.zeros(0)
+        weight = (1.0 + np.log(counts)) * self.idf[at]
+        return weight / np.sqrt((weight ** 2).sum())
 
     def nearest(self, counts: dict[int, int]) -> list[tuple[float, int]]:
         """The k examples of highest cosine above 0 and all that tie with the last of
@@ -264,11 +279,11 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) ->
     def vectors(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         vocabulary = Vocabulary(names)
         for frame in frames:
-            got = [terms(words(t), vocabulary) for t in frame["text"]]
+            got = [arrays(terms(words(t), vocabulary)) for t in frame["text"]]
             yield pd.DataFrame({"doc_id": frame["doc_id"], "y": (frame["y"] > 0).astype("int64"),
-                                "terms": [list(g) for g in got], "counts": [list(g.values()) for g in got]})
-    rows = sample.mapInPandas(vectors, "doc_id long, y long, terms array<int>, counts array<long>").collect()
-    return Index(names, idf, [(r[0], r[1], dict(zip(r[2], r[3], strict=True))) for r in rows])
+                                "terms": [at.tobytes() for at, _ in got], "counts": [n.tobytes() for _, n in got]})
+    rows = sample.mapInPandas(vectors, "doc_id long, y long, terms binary, counts binary").collect()
+    return Index(names, idf, ((r[0], r[1], (np.frombuffer(r[2], np.int32), np.frombuffer(r[3], np.int32))) for r in rows))
 
 
 def score(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

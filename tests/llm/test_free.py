@@ -4,6 +4,7 @@ import itertools
 import random
 import re
 import time
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -270,6 +271,21 @@ def test_score_does_not_hang_on_ids():
             assert one.score(q)[0] == other.score(q)[0]
 
 
+def test_index_takes_little_room_on_the_driver(spark, docs_of):
+    """Examples of many terms come to the driver as arrays, not as Python numbers and pairs."""
+    r = random.Random(9)
+    pool = ["".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=7)) for _ in range(1200)]
+    rows = [(i, " ".join(r.sample(pool[i % 2 * 600:][:600], 150)), "s") for i in range(1000)]
+    docs, labels = docs_of(rows), spark.createDataFrame([(i, i % 2) for i in range(1000)], "doc_id long, toxic int")
+    tracemalloc.start()
+    index = toxicity.fit(docs, labels)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    held = sum(map(len, index.who))
+    assert held > 250_000 and held == sum(map(len, index.weight))
+    assert peak < 80 * held
+
+
 # ---- 9
 def test_hilbert_curve_visits_every_cell_once_in_unit_steps():
     cells = np.array(list(itertools.product(range(8), repeat=3)))
