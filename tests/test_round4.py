@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import gzip
+import re
+
 import pytest
 
 import __spark_entry__ as entry
+from lexmetric.functions.columns import STRIP_CHARS, STRIP_CLASS
+from lexmetric.sources import files as A
 
 QUERIES = entry.queries()
 
@@ -23,3 +28,52 @@ def test_growing_predictions_hold_whole_texts(spark, documents):
     assert {r["pos"]: r["text"] for r in got} == texts and len(got) == len(texts)
     assert {(r["pos"], r["batch_id"]) for r in got} == {(i, i // 256) for i in texts}
     assert "md5" not in entry.oracle_sql()["a8_growing_predictions"]
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+SAMPLE = "pos long, text string, label string, sem_type string, language string"
+
+
+def _samples(n=40):
+    return [(i, t, "l", None, "fr") for i, t in enumerate(["", None, 'a\t"b"\n\nc', "d\r", "\r\ne", "plain"] * n)]
+
+
+def test_writers_run_the_work_behind_their_rows_once(spark, tmp_path):
+    ran = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            ran.add(batch.num_rows)
+            yield batch
+    rows = _samples()
+    df = spark.createDataFrame(rows, SAMPLE).repartition(3)
+    A.write_samples(df.mapInArrow(count, SAMPLE), f"{tmp_path}/s", compression="gzip")
+    assert ran.value == len(rows)
+    A.write_plain_tsv(df.mapInArrow(count, SAMPLE).withColumnRenamed("pos", "idx"), f"{tmp_path}/p", compression="gzip")
+    assert ran.value == 2 * len(rows)
+    assert sorted(tuple(r) for r in A.read_translated(spark, f"{tmp_path}/s").collect()) == rows
+
+
+def test_files_that_cannot_be_split_are_read_once(spark, tmp_path):
+    with gzip.open(tmp_path / "a_translated.tsv.gz", "wt", encoding="utf-8", newline="") as f:
+        f.write('\ttext\tlabel\tsem_type\tlanguage\r\n0\t"x\r\ny"\t\t""\tfr\r\n\n1\t"z""\tw"\ta\tb\t"open\nto the end')
+    with gzip.open(tmp_path / "b_translated.tsv.gz", "wt", encoding="utf-8", newline="") as f:
+        f.write("\ttext\tlabel\tsem_type\tlanguage\n2\ta\tb\tc\td")
+    got = A.scan_dir(spark, str(tmp_path), "translated", A.read_translated)
+    assert "Join" not in _plan(got) and _plan(got).count("Scan text") == 1
+    assert sorted(tuple(r)[:4] for r in got.collect()) == [
+        (0, "x\r\ny", None, ""), (1, 'z"\tw', "a", "b"), (2, "a", "b", "c")]
+
+
+def test_strict_lines_are_stripped_and_counted_once(spark, tmp_path):
+    data = ("idx\ttext\tlabel\tsem_type\tlanguage\n" + "　\x1c 0\ta\tb\tc\td\x85 \n" + "\n" + "1\ta​\n").encode()
+    (tmp_path / "t.tsv").write_bytes(data + b"2\t\xff\tb\tc\td\n")
+    good, bad = A.read_strict_tsv(spark, str(tmp_path / "t.tsv"))
+    assert "regexp_replace" not in _plan(good) + _plan(bad)
+    assert sorted(map(tuple, good.collect())) == [("0", "a", "b", "c", "d"), ("2", "�", "b", "c", "d")]
+    assert sorted(map(tuple, bad.collect())) == [("", 1), ("1\ta​", 2)]
+    as_python = re.sub(r"\\x\{([0-9A-F]+)\}", lambda m: f"\\U{int(m[1], 16):08x}", STRIP_CLASS)
+    assert re.findall(as_python, "".join(map(chr, range(0x3100)))) == list(STRIP_CHARS)
