@@ -77,3 +77,10 @@ def test_strict_lines_are_stripped_and_counted_once(spark, tmp_path):
     assert sorted(map(tuple, bad.collect())) == [("", 1), ("1\ta​", 2)]
     as_python = re.sub(r"\\x\{([0-9A-F]+)\}", lambda m: f"\\U{int(m[1], 16):08x}", STRIP_CLASS)
     assert re.findall(as_python, "".join(map(chr, range(0x3100)))) == list(STRIP_CHARS)
+
+
+def test_rebuilt_output_is_zstd(spark, tmp_path):
+    A.rebuild_output(spark.range(5).toDF("a"), f"{tmp_path}/o")
+    A.rebuild_output(spark.range(3).toDF("a"), f"{tmp_path}/o")
+    assert [r.a for r in spark.read.parquet(f"{tmp_path}/o").orderBy("a").collect()] == [0, 1, 2]
+    assert all(".zstd." in f.name for f in (tmp_path / "o").glob("*.parquet"))
