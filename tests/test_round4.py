@@ -84,3 +84,16 @@ def test_rebuilt_output_is_zstd(spark, tmp_path):
     A.rebuild_output(spark.range(3).toDF("a"), f"{tmp_path}/o")
     assert [r.a for r in spark.read.parquet(f"{tmp_path}/o").orderBy("a").collect()] == [0, 1, 2]
     assert all(".zstd." in f.name for f in (tmp_path / "o").glob("*.parquet"))
+
+
+@pytest.mark.parametrize("compression", ["none", "gzip"])
+def test_predictions_move_once(spark, tmp_path, compression):
+    rows = [(i // 4, i, f"t{i}\n", None, "g") for i in range(50)] + [(None, 50, "n", "l", "g")]
+    df = spark.createDataFrame(rows, "batch_id long, pos long, text string, label string, generated string")
+    A.write_prediction_batches(df.repartition(5), f"{tmp_path}/p", compression=compression)
+    assert all(f.name.endswith(".gz") == (compression == "gzip") for f in (tmp_path / "p").glob("part-*"))
+    got = A.read_prediction_batches(spark, f"{tmp_path}/p")
+    assert "Exchange hashpartitioning" not in _plan(got) and "Sort" not in _plan(got)
+    # The rows of no batch are the file's first line, so the others' batches are one further.
+    want = [(0, "n", "l", "g", 0)] + [(b + 1, t, l, g, i + 1) for b, i, t, l, g in rows[:50]]
+    assert sorted(map(tuple, got.collect()), key=lambda r: r[-1]) == want
