@@ -44,6 +44,10 @@ from lexmetric.llm.tiling import _MIX, _chunks, window_hashes
 GROUPS = ((1600, 2048), (96, 512), (0, 128))
 #: Members of an entry compared in one task at a time, and points in a leaf.
 TILE, LEAF = 512, 16
+#: Members up to which a unit of work is compared pair by pair, with many others at once, and rows taken at a time.
+FEW, UNIT_ROWS = 64, 4096
+#: Groups put together for a first, rough sum of minima.
+ROUGH = 8
 #: Shingles in a tile whose links are counted, about, and different shingles compared at a time.
 TILE_SHINGLES, WIDTH = 1_000_000, 8192
 #: Hubs each class is verified against.
@@ -117,7 +121,12 @@ def point(s: np.ndarray) -> bytes:
 
 
 def _fold(vec: bytes) -> np.ndarray:
-    return np.frombuffer(vec, np.uint32 if vec[0] else np.uint8, offset=1).astype(np.int64)
+    return np.frombuffer(vec, np.uint32 if vec[0] else np.uint8, offset=1)
+
+
+def _narrowed(points: np.ndarray, width: int) -> np.ndarray:
+    """Points of fewer groups."""
+    return points.reshape(len(points), -1, width).sum(1, dtype=np.uint32)
 
 
 class Rule:
@@ -337,11 +346,15 @@ class Leaves:
         self.node, self.comp, self.n = nodes[order], comps[order], sizes[order]
         points = [vecs[i] for i in order]
         width = min(len(p) for p in points)
-        self.at = np.stack([p if len(p) == width else p.reshape(-1, width).sum(0) for p in points])
         cuts = np.arange(0, len(order), LEAF)
         self.cuts = np.append(cuts, len(order))
-        self.high = np.maximum.reduceat(self.at, cuts, axis=0)
         self.least = np.minimum.reduceat(self.n, cuts)
+        self.hold(np.stack([p if len(p) == width else _narrowed(p[None], width)[0] for p in points]))
+
+    def hold(self, at: np.ndarray) -> None:
+        """The points, their boxes, and the points in few groups, whose minima are summed sooner."""
+        self.at, self.high = at, np.maximum.reduceat(at, self.cuts[:-1], axis=0)
+        self.rough = _narrowed(at, at.shape[1] // ROUGH)
 
 
 def _surviving(a: Leaves, b: Leaves, rule: Rule) -> Iterator[tuple[int, int]]:
@@ -350,19 +363,68 @@ def _surviving(a: Leaves, b: Leaves, rule: Rule) -> Iterator[tuple[int, int]]:
         w = min(a.at.shape[1], b.at.shape[1])
         for x in (a, b):
             if x.at.shape[1] != w:
-                x.at = x.at.reshape(len(x.at), -1, w).sum(1)
-                x.high = np.maximum.reduceat(x.at, x.cuts[:-1], axis=0)
+                x.hold(_narrowed(x.at, w))
     share = rule.num / (rule.num + rule.den)
     for i in range(len(a.high)):
         ai = slice(a.cuts[i], a.cuts[i + 1])
-        box = np.minimum(a.high[i], b.high).sum(1)
-        for j in np.flatnonzero(box + 1e-9 >= share * (a.least[i] + b.least)).tolist():
-            bj = slice(b.cuts[j], b.cuts[j + 1])
-            bound = np.minimum(a.at[ai][:, None, :], b.at[bj][None, :, :]).sum(2)
-            ok = (bound + 1e-9 >= share * (a.n[ai][:, None] + b.n[bj][None, :])) \
-                & (a.comp[ai][:, None] != b.comp[bj][None, :])
-            for x, y in zip(*np.nonzero(ok), strict=True):
-                yield int(a.node[ai][x]), int(b.node[bj][y])
+        box = np.minimum(a.high[i], b.high).sum(1, dtype=np.int64)
+        met = np.flatnonzero(box + 1e-9 >= share * (a.least[i] + b.least))
+        if not len(met):
+            continue
+        bj = np.concatenate([np.arange(b.cuts[j], b.cuts[j + 1]) for j in met.tolist()])
+        least = share * (a.n[ai][:, None] + b.n[bj][None, :])
+        ok = (np.minimum(a.n[ai][:, None], b.n[bj][None, :]) + 1e-9 >= least) \
+            & (a.comp[ai][:, None] != b.comp[bj][None, :])
+        for at, of in ((a.rough, b.rough), (a.at, b.at)):
+            x, y = np.nonzero(ok)
+            ok[x, y] = _summed(at, of, x + ai.start, bj[y]) + 1e-9 >= least[x, y]
+        for x, y in zip(*np.nonzero(ok), strict=True):
+            yield int(a.node[ai][x]), int(b.node[bj[y]])
+
+
+def _summed(left: np.ndarray, right: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Summed minima of the rows ``a`` of ``left`` and ``b`` of ``right``, some at a time."""
+    out = np.zeros(len(a), dtype=np.int64)
+    step = max(1, (1 << 18) // left.shape[1])
+    for lo in range(0, len(a), step):
+        out[lo:lo + step] = np.minimum(left[a[lo:lo + step]], right[b[lo:lo + step]]).sum(1, dtype=np.uint32)
+    return out
+
+
+def _minima(vec: list[bytes], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Summed minima of the points of every pair; the wider of two is folded."""
+    used = np.unique(np.concatenate((left, right)))
+    points = [_fold(vec[i]) for i in used.tolist()]
+    width = np.array([len(p) for p in points], dtype=np.int64)
+    left, right = np.searchsorted(used, left), np.searchsorted(used, right)
+    narrow = np.minimum(width[left], width[right])
+    out = np.zeros(len(left), dtype=np.int64)
+    for w in np.unique(narrow).tolist():
+        of = np.flatnonzero(narrow == w)
+        rows = np.unique(np.concatenate((left[of], right[of])))
+        at = np.stack([points[i] if width[i] == w else _narrowed(points[i][None], w)[0] for i in rows.tolist()])
+        out[of] = _summed(at, at, np.searchsorted(rows, left[of]), np.searchsorted(rows, right[of]))
+    return out
+
+
+def _few(starts: np.ndarray, ends: np.ndarray, frame: dict, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs across components, of many small units at once, whose sizes and summed minima allow a link."""
+    node, comp, n, tile = (frame[c] for c in ("node", "comp", "n", "tile"))
+    one, two = [], []
+    for size in np.unique(ends - starts).tolist():
+        i, j = np.triu_indices(size, 1)
+        at = starts[ends - starts == size][:, None]
+        one.append((at + i).ravel())
+        two.append((at + j).ravel())
+    a, b = (np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in (one, two))
+    least = rule.num / (rule.num + rule.den) * (n[a] + n[b])
+    # Between two tiles, only pairs of one member of each.
+    keep = (comp[a] != comp[b]) & ((frame["t"][a] == frame["u"][a]) | (tile[a] != tile[b]))
+    keep &= np.minimum(n[a], n[b]) + 1e-9 >= least
+    a, b, least = a[keep], b[keep], least[keep]
+    ok = _minima(frame["data"], a, b) + 1e-9 >= least if len(a) else np.zeros(0, dtype=bool)
+    x, y = node[a[ok]], node[b[ok]]
+    return np.minimum(x, y), np.maximum(x, y)
 
 
 def across(buckets: DataFrame, roots: DataFrame, docs: DataFrame, classes: DataFrame, k: int, rule: Rule,
@@ -383,22 +445,34 @@ def across(buckets: DataFrame, roots: DataFrame, docs: DataFrame, classes: DataF
         F.col("tile"), "node", "comp").join(points, "node")
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest = None
+        held, size = [], 0
         for frame in frames:
-            rest = frame if rest is None else pd.concat([rest, frame], ignore_index=True)
-            new = rest[["bucket", "t", "u"]].ne(rest[["bucket", "t", "u"]].shift()).any(axis=1).to_numpy()
-            starts = np.flatnonzero(new)
-            yield from units(rest.iloc[:starts[-1]], starts)
-            rest = rest.iloc[starts[-1]:].reset_index(drop=True)
-        if rest is not None and len(rest):
-            yield from units(rest, np.array([0, len(rest)]))
+            held.append(frame)
+            size += len(frame)
+            if size >= UNIT_ROWS:
+                rest = pd.concat(held, ignore_index=True)
+                starts = first_rows(rest)
+                yield from units(rest.iloc[:starts[-1]], starts)
+                held = [rest.iloc[starts[-1]:]]
+                size = len(held[0])
+        if size:
+            rest = pd.concat(held, ignore_index=True)
+            yield from units(rest, np.append(first_rows(rest), len(rest)))
+
+    def first_rows(rows: pd.DataFrame) -> np.ndarray:
+        return np.flatnonzero(rows[["bucket", "t", "u"]].ne(rows[["bucket", "t", "u"]].shift()).any(axis=1).to_numpy())
 
     def units(frame: pd.DataFrame, starts) -> Iterator[pd.DataFrame]:
         out: list[tuple[int, int]] = []
         node, comp, n, tile = (frame[c].to_numpy() for c in ("node", "comp", "n", "tile"))
         vec, t, u = frame["data"].to_list(), frame["t"].to_numpy(), frame["u"].to_numpy()
-        for a, b in zip(starts[:-1], starts[1:], strict=True):
-            if b - a < 2 or (comp[a:b] == comp[a]).all():
+        starts, ends = starts[:-1], starts[1:]
+        few = ends - starts <= FEW
+        x, y = _few(starts[few], ends[few], {"node": node, "comp": comp, "n": n, "tile": tile, "t": t, "u": u,
+                                             "data": vec}, rule)
+        yield pd.DataFrame({"a": x, "b": y}).drop_duplicates()
+        for a, b in zip(starts[~few], ends[~few], strict=True):
+            if (comp[a:b] == comp[a]).all():
                 continue
             at = np.arange(a, b)
             left, right = at[tile[a:b] == t[a]], at[tile[a:b] == u[a]]

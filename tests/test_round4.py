@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import gzip
+import itertools
+import random
 import re
 
+import numpy as np
 import pytest
 
 import __spark_entry__ as entry
 from lexmetric.functions.columns import STRIP_CHARS, STRIP_CLASS
+from lexmetric.llm import jaccard
 from lexmetric.sources import files as A
 
 QUERIES = entry.queries()
@@ -97,3 +101,39 @@ def test_predictions_move_once(spark, tmp_path, compression):
     # The rows of no batch are the file's first line, so the others' batches are one further.
     want = [(0, "n", "l", "g", 0)] + [(b + 1, t, l, g, i + 1) for b, i, t, l, g in rows[:50]]
     assert sorted(map(tuple, got.collect()), key=lambda r: r[-1]) == want
+
+
+@pytest.mark.parametrize("few", [0, 64])
+def test_units_give_the_pairs_their_points_allow(few):
+    """Small units at once and leaves of large ones: every pair of close points across components, no other."""
+    r, rule = random.Random(few), jaccard.Rule(80, 100)
+    sizes = [3, 40, 2] if few else [150]
+    base = {k: [r.getrandbits(64) for _ in range(k)] for k in (40, 120, 1700)}
+    sets, starts = [], [0]
+    for size in sizes:
+        for _ in range(size):
+            whole = base[r.choice(list(base))]
+            sets.append(np.array(sorted(whole[:len(whole) - r.randint(0, len(whole) // 3)]), dtype=np.uint64))
+        starts.append(len(sets))
+    node, comp = np.arange(len(sets)) + 100, np.array([r.randint(0, 9) for _ in sets])
+    n, vec = np.array([len(s) for s in sets]), [jaccard.point(s) for s in sets]
+    want, linked = set(), set()
+    for a, b in zip(starts, starts[1:]):
+        for i, j in itertools.combinations(range(a, b), 2):
+            if comp[i] != comp[j]:
+                p, q = (jaccard._fold(vec[k]).astype(int) for k in (i, j))
+                w = min(len(p), len(q))
+                same = np.minimum(p.reshape(-1, w).sum(0), q.reshape(-1, w).sum(0)).sum()
+                want |= {(i + 100, j + 100)} if 180 * same >= 80 * (n[i] + n[j]) else set()
+                linked |= {(i + 100, j + 100)} if rule.linked(n[i], n[j], len(np.intersect1d(sets[i], sets[j]))) else set()
+    if few:
+        tile = np.zeros(len(sets), dtype=int)
+        x, y = jaccard._few(np.array(starts[:-1]), np.array(starts[1:]), {
+            "node": node, "comp": comp, "n": n, "tile": tile, "t": tile, "u": tile, "data": vec}, rule)
+        got = set(zip(x.tolist(), y.tolist()))
+        assert got == want
+    else:
+        leaves = jaccard.Leaves(node, comp, n, [jaccard._fold(v) for v in vec])
+        got = {tuple(sorted(p)) for p in jaccard._surviving(leaves, leaves, rule)}
+        assert got >= want      # points of one unit have the groups of its smallest set
+    assert linked and linked <= got
